@@ -82,3 +82,98 @@ class TwoAges(dict):
             self.old = dict(self)
             self.clear()
         self[key] = value
+
+
+def slices(batches, most: int = 6 << 20):
+    """Record batches cut so that the texts of each take about `most` bytes, or one row."""
+    import pyarrow.compute as pc
+
+    for b in batches:
+        size = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(size) // most
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(size)]
+        for a, z in zip(cuts, cuts[1:]):
+            if z > a:
+                yield b.slice(a, z - a)
+
+
+class WordHashes(dict):
+    """word -> its 64-bit hash; forgets when it has grown too large."""
+
+    def __init__(self, most: int = 400_000):
+        super().__init__()
+        self.most = most
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) >= self.most:
+            self.clear()
+        found = self[word] = xxhash.xxh64_intdigest(word)
+        return found
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_hashes = WordHashes()
+
+
+class Words:
+    """The ASCII-space words of some texts, as arrays over all of them.
+
+    data: the bytes, texts parted by a line end; text_at: where each text begins (one more at the end);
+    at: where each word begins; first: index of each text's first word (one more at the end); hash: 64-bit
+    hashes of the words; text: the text that each word belongs to.
+    """
+
+    def __init__(self, texts: list[str | None], lower: bool = True, hashed: bool = True):
+        raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+        joined = b"\n".join([*raw, b""])
+        self.data = np.frombuffer(joined, np.uint8)
+        self.text_at = np.concatenate([[0], np.cumsum([len(x) + 1 for x in raw])]).astype(np.int64)
+        space = _SPACE[self.data]
+        begins = ~space
+        begins[1:] &= space[:-1]
+        self.at = np.flatnonzero(begins)
+        self.first = np.searchsorted(self.at, self.text_at)
+        self.words = (joined.lower() if lower else joined).split()
+        if hashed:
+            self.hash = np.fromiter(map(_hashes.__getitem__, self.words), np.uint64, len(self.words))
+        self.n = np.diff(self.first)
+        self.text = np.repeat(np.arange(len(raw)), self.n)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Bits of 64-bit values well stirred."""
+    h = h.copy()
+    h ^= h >> np.uint64(33)
+    h *= np.uint64(0xFF51AFD7ED558CCD)
+    h ^= h >> np.uint64(33)
+    h *= np.uint64(0xC4CEB9FE1A85EC53)
+    h ^= h >> np.uint64(33)
+    return h
+
+
+def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each k-gram of a sequence of word hashes, by its first position (len - k + 1 of them)."""
+    if len(h) < k:
+        return np.zeros(0, np.uint64)
+    out = np.full(len(h) - k + 1, k, np.uint64)
+    for i in range(k):
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i])
+    return out
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, folds: int, out_fold: int) -> tuple[DataFrame, dict[int, int]]:
+    """At most per_class documents of each label (those whose id has the least hash), none of the held-out fold, with
+    _label; and how many documents each label marks outside of it. The sample's ids are bounded, and are broadcast."""
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != out_fold))
+    known = known.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label"))
+    counts = {r["_label"]: r["n"] for r in known.groupBy("_label").agg(F.count("*").alias("n")).collect()}
+    ids = None
+    for c in sorted(counts):
+        own = known.where(F.col("_label") == c).orderBy(F.xxhash64("_id"), "_id").limit(per_class)
+        ids = own if ids is None else ids.unionByName(own)
+    if ids is None:
+        ids = known.limit(0)
+    return docs.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).drop("_id"), counts
