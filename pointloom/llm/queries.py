@@ -1,7 +1,7 @@
 """The queries of the operators and the SQL of those that SQL can express."""
 
-from . import packing, quality, sharding
+from . import line_labels, packing, quality, sharding
 
-MODULES = (sharding, quality, packing)
+MODULES = (sharding, line_labels, quality, packing)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
