@@ -1,0 +1,35 @@
+"""Connected components of an edge table, by large and small stars; every round ends in a written table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import written
+
+ROUNDS = 60
+
+
+def _sum(e: DataFrame) -> tuple:
+    return tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """edges: a, b (long). Returns node, root for every node with an edge; root is the least of its component."""
+    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    seen = _sum(e)
+    for _ in range(ROUNDS):
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = large.where("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        e = written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        now = _sum(e)
+        if now == seen:
+            break
+        seen = now
+    else:
+        raise RuntimeError("the components did not settle")
+    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
