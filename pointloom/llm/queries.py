@@ -1,7 +1,7 @@
 """The queries of the operators and the SQL of those that SQL can express."""
 
-from . import jaccard, language, line_labels, packing, quality, sharding
+from . import jaccard, language, line_labels, packing, quality, sharding, tiling
 
-MODULES = (sharding, jaccard, line_labels, quality, language, packing)
+MODULES = (sharding, tiling, jaccard, line_labels, quality, language, packing)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
