@@ -1,7 +1,7 @@
 """The queries of the operators and the SQL of those that SQL can express."""
 
-from . import edit_counts, jaccard, language, line_labels, packing, perspectives, quality, sharding, tiling
+from . import edit_counts, jaccard, language, language_model, line_labels, packing, perspectives, quality, sharding, tiling
 
-MODULES = (sharding, tiling, jaccard, line_labels, perspectives, edit_counts, quality, language, packing)
+MODULES = (language_model, sharding, tiling, jaccard, line_labels, perspectives, edit_counts, quality, language, packing)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
