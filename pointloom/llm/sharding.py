@@ -71,7 +71,7 @@ def shard(df: DataFrame, key: Column, id_col: str, size: Column, n_shards: int =
     tie = F.monotonically_increasing_id()
     # The tie number is drawn once: the table is written, and every pass reads the same keys.
     keyed = written(
-        df.select(*own, F.struct(key.cast("bigint").alias("h"), F.col(id_col).cast("string").alias("id"), tie.alias("tie")).cast(_KEY).alias("_key"), F.coalesce(size, F.lit(1)).cast("bigint").alias("_size")),
+        df.select(F.struct(*own).alias("_row"), F.struct(key.cast("bigint").alias("h"), F.col(id_col).cast("string").alias("id"), tie.alias("tie")).cast(_KEY).alias("_key"), F.coalesce(size, F.lit(1)).cast("bigint").alias("_size")),
         "keyed",
     )
     rows, total = keyed.agg(F.count("*"), F.coalesce(F.sum("_size"), F.lit(0))).first()
@@ -115,7 +115,7 @@ def shard(df: DataFrame, key: Column, id_col: str, size: Column, n_shards: int =
         share = F.expr(f"least((2 * _at + _size) * {n_shards} div {2 * max(1, total)}, {n_shards - 1})")
     placed = placed.withColumn("shard", share.cast("int"))
     first = F.broadcast(placed.groupBy("shard").agg(F.min("_rank").alias("_first")))  # a row for each shard
-    return placed.join(first, "shard").select(*own, "shard", (F.col("_rank") - F.col("_first")).cast("bigint").alias("slot"))
+    return placed.join(first, "shard").select("_row.*", "shard", (F.col("_rank") - F.col("_first")).cast("bigint").alias("slot"))
 
 
 def _order(k: tuple) -> tuple:
