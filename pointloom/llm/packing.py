@@ -12,7 +12,6 @@ as often as they come; an empty table gives no pieces; further columns are not r
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +19,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TwoAges, documents, written
+from .common import TwoAges, documents, slices, written
 
 WINDOW = 4096
 END_ID = 2
 #: Words whose ids a worker remembers, in each of two ages.
-MEMO = 200_000
+MEMO = 400_000
+#: Stands between words that are encoded together; its id occurs in no word without it.
+MARK = b"|"
 
 _encoders: dict[str, tuple] = {}
 
@@ -45,21 +46,31 @@ def encoder(path: str):
 
         tok = Tokenizer.from_file(path)
         kind = "<u2" if tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
-        _encoders[path] = (tok, kind, TwoAges(MEMO))
-    tok, kind, memo = _encoders[path]
-
-    def encode(texts: list[str | None]) -> Iterator[bytes]:
-        for text in texts:
-            words = text.encode("utf-8", "surrogatepass").split() if text else []
-            found = [memo[w] for w in words]
-            if None in found:
-                new = list(dict.fromkeys(w for w, x in zip(words, found) if x is None))
-                made = {}
-                for w, e in zip(new, tok.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)):
-                    made[w] = np.array(e.ids, kind).tobytes()
-                    memo.put(w, made[w])
-                found = [made[w] if x is None else x for w, x in zip(words, found)]
-            yield b"".join(found)
+        mark = tok.encode(MARK.decode(), add_special_tokens=False).ids
+        _encoders[path] = (tok, kind, TwoAges(MEMO), mark[0] if len(mark) == 1 else None)
+    tok, kind, memo, mark = _encoders[path]
+
+    def fresh(words: list[bytes]) -> dict[bytes, bytes]:
+        """Words are encoded as one text with marks between; those that hold the mark are encoded by themselves."""
+        single = [w for w in words if mark is None or MARK in w]
+        joint = [w for w in words if mark is not None and MARK not in w]
+        made = {w: np.array(e.ids, kind).tobytes() for w, e in zip(single, tok.encode_batch_fast([w.decode() for w in single], add_special_tokens=False))}
+        for a in range(0, len(joint), 2048):
+            part = joint[a : a + 2048]
+            ids = np.array(tok.encode_batch_fast([(b" " + MARK + b" ").join(part).decode()], add_special_tokens=False)[0].ids, kind)
+            cuts = np.flatnonzero(ids == mark).tolist()
+            raw, width = ids.tobytes(), ids.itemsize
+            made.update((w, raw[i * width : j * width]) for w, i, j in zip(part, [0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True))
+        return made
+
+    def encode(texts: list[str | None]) -> list[bytes]:
+        split = [text.encode("utf-8", "replace").split() if text else [] for text in texts]
+        found = [[memo[w] for w in words] for words in split]
+        new = {w: None for words, got in zip(split, found) if None in got for w, x in zip(words, got) if x is None}
+        made = fresh(list(new))
+        for w, x in made.items():
+            memo.put(w, x)
+        return [b"".join([made[w] if x is None else x for w, x in zip(words, got)] if None in got else got) for words, got in zip(split, found)]
 
     return encode, kind
 
@@ -71,7 +82,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
         encode, kind = encoder(tokenizer)
         end = np.array([end_id], kind).tobytes()
         width, part, at = len(end), TaskContext.get().partitionId(), 0
-        for b in batches:
+        for b in slices(batches, 2 << 20):
             ids = [x + end for x in encode(b.column("text").to_pylist())]
             n = np.array([len(x) // width for x in ids], np.int64)
             start = at + np.cumsum(n) - n
