@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = ""
+from . import aggregates, clusters, kernels, rasters, scalars, sequences
+
+MODULES = (scalars, aggregates, sequences, clusters, rasters, kernels)
+QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
+FLAGSHIP = "single_linkage"
