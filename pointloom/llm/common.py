@@ -2,38 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.tables import scratch_dir, written  # noqa: F401
+
 #: ASCII white space: what separates words (fixed values).
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
-_own: list[str] = []
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for written tables: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not _own:
-            _own.append(f"file://{tempfile.mkdtemp(prefix='pointloom-')}")
-        at = _own[0]
-    return at.rstrip("/")
-
-
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """df as a table in the shared folder: lineage ends there and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -97,6 +75,19 @@ def slices(batches, most: int = 6 << 20):
                 yield b.slice(a, z - a)
 
 
+def trim() -> None:
+    """Gives freed memory back: workers live on between tasks, and two share an executor with its JVM."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 class WordHashes(dict):
     """word -> its 64-bit hash; forgets when it has grown too large."""
 

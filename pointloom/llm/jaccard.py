@@ -32,11 +32,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, documents, gram_hashes, mixed, pack_sorted, slices, unpack_sorted, written
-from .components import components
+from ..operators.graph import components
+from .common import Words, documents, gram_hashes, mixed, pack_sorted, slices, trim, unpack_sorted, written
 
 #: Bytes of text for each hash range.
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 6 << 20
+#: Bytes of text in a block.
+BLOCK_BYTES = 4 << 20
 #: A shingle in at least 2^4 documents is indexed in pairs, in at least 2^8 in triples.
 PAIRS_FROM, TRIPLES_FROM = 4, 8
 #: Of one verifying task: documents and shingles of a component's block, shingles over small components.
@@ -86,7 +88,7 @@ def _dealt(docs: DataFrame, k: int, ranges: int) -> DataFrame:
 
     def run(batches):
         part, block = TaskContext.get().partitionId(), -1
-        for b in slices(batches):
+        for b in slices(batches, BLOCK_BYTES):
             block += 1
             number = (part << 20) + block
             ids = b.column("doc_id").to_pylist()
@@ -112,6 +114,8 @@ def _dealt(docs: DataFrame, k: int, ranges: int) -> DataFrame:
                 [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), *(pa.array(c, pa.binary()) for c in rows[2:])],
                 ["range", "block", "hashes", "texts", "counts", "ids", "sizes"],
             )
+            del h, t, first_h, first_t, many, count, run_at, rows
+            trim()
 
     return docs.mapInArrow(run, _DEALT)
 
@@ -125,6 +129,7 @@ def _counted(table: pa.Table) -> pa.Table:
     """Of one range: what occurs in two or more documents, back to the blocks, with its class (log2 of the count)."""
     if table.column("range")[0].as_py() < 0:  # a block's own row passes
         return pa.table({"block": table.column("block"), "hashes": table.column("hashes"), "texts": table.column("texts"), "classes": table.column("counts"), "ids": table.column("ids"), "sizes": table.column("sizes")})
+    trim()
     blocks = table.column("block").to_pylist()
     hashes = [unpack_sorted(x) for x in table.column("hashes").to_pylist()]
     texts = np.concatenate([_unplanes(x) for x in table.column("texts").to_pylist()])
@@ -157,6 +162,7 @@ def _assembled(num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
         """Of one block: a row for each document; those that may link carry their shared shingles, rare first."""
         own = None
+        trim()
         parts = []
         block = table.column("block")[0].as_py()
         for r in table.select(["hashes", "texts", "classes", "ids", "sizes"]).to_pylist():
@@ -275,6 +281,7 @@ def linked(sets: list[np.ndarray], sizes: np.ndarray, num: int, den: int) -> np.
 def _verified(num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
         """Of one task: for each document but one of every part, an edge to the part's least key."""
+        trim()
         comp, key, n = (table.column(c).to_numpy() for c in ("comp", "key", "n"))
         blobs = table.column("shared")
         order = np.lexsort((key, comp))

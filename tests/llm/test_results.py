@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pointloom.llm import edit_counts, elias_fano, jaccard, language, language_model, line_labels, packing, perspectives, quality, queries, sharding, tiling
-from pointloom.llm.components import components
+from pointloom.operators.graph import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
