@@ -28,15 +28,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, documents, fold, mixed, pack_sorted, slices, unpack_sorted, written
+from .common import Words, documents, fold, mixed, pack_sorted, slices, trim, unpack_sorted, written
 from .elias_fano import Sequence, elias_fano, grouped, mapped, pack_bits, read_bits
 
 FOLDS, HELD_OUT = 5, 1
 L2, L3 = 0.15, 0.35
 BITS = 12
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 5 << 20
 #: Bytes of text for each hash range and each shard of positions; count from which a context is split.
-RANGE_BYTES, SHARD_BYTES, HOT = 24 << 20, 10 << 20, 1_000_000
+RANGE_BYTES, SHARD_BYTES, HOT = 12 << 20, 6 << 20, 1_000_000
 #: The end token's hash input; no word holds white space.
 _END = b"\n"
 _STEPS = 4096  # of a unit of log10, in what goes to the shards
@@ -92,6 +92,7 @@ def _dealt_words(ranges: int):
         for number, b in _blocks(batches):
             x = _Block(b)
             cuts = _range_cuts(x.hashes, ranges)
+            trim()
             rows = [(r, number, pack_sorted(x.hashes[a:z]), squeeze(x.counts[a:z], "<u4")) for r, (a, z) in enumerate(zip(cuts, cuts[1:])) if z > a]
             cols = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], ["range", "block", "hashes", "counts"])
@@ -105,6 +106,7 @@ _UNI = "block long, range long, ids binary, counts binary, tokens long, words lo
 def _numbered(ranges: int):
     def run(table: pa.Table) -> pa.Table:
         """Of one range: sums over the blocks; numbers and counts back to each; tokens and words of the range once."""
+        trim()
         r = table.column("range")[0].as_py()
         blocks = table.column("block").to_pylist()
         hashes = [unpack_sorted(x) for x in table.column("hashes").to_pylist()]
@@ -147,6 +149,7 @@ _DEALT_SCHEMA = "shard long, block long, " + ", ".join(f"{c} binary" for c in _D
 def _positions(n_tokens: int, n_words: int, n_docs: int, shards: int):
     def run(table: pa.Table) -> pa.Table:
         """Of one block: its documents' base scores, and its positions dealt to the shards."""
+        trim()
         rows = sorted(table.to_pylist(), key=lambda r: r["range"])
         own, number = rows[0], rows[0]["block"]
         ids = np.concatenate([np.zeros(0, np.uint64), *(unsqueeze(r["ids"], "<u8") for r in rows[1:])]).astype(np.uint64)
@@ -301,6 +304,7 @@ _PARTIAL = "block long, sums binary, sizes binary, train binary, known binary, b
 
 def _shard_scores(table: pa.Table) -> pa.Table:
     """Of one shard: the trie from its training positions; sums of all positions' scores by document."""
+    trim()
     names = ("block", "sums", "sizes", "train", "known", "base", "docs")
     if table.column("shard")[0].as_py() < 0:
         r = table.to_pylist()
