@@ -134,3 +134,96 @@ def gaussian_pdf2(dx, dy, xx, xy, yy) -> Column:
     det = xx * yy - xy * xy
     q = F.try_divide(yy * dx * dx - 2 * xy * dx * dy + xx * dy * dy, det)
     return F.when(det > 0, F.exp(-q / 2) / (2 * math.pi * F.sqrt(det)))
+
+
+# --- three dimensions: vectors are tuples of three Columns ------------------
+
+
+def dot3(a, b) -> Column:
+    return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+
+
+def cross3(a, b) -> tuple[Column, Column, Column]:
+    return a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]
+
+
+def difference3(a, b) -> tuple[Column, Column, Column]:
+    """b - a."""
+    return b[0] - a[0], b[1] - a[1], b[2] - a[2]
+
+
+def length3(a) -> Column:
+    return F.sqrt(dot3(a, a))
+
+
+def plane_normal(a, b, c) -> tuple[Column, Column, Column]:
+    """Of the plane through three points, turned to z >= 0; not of unit length."""
+    n = cross3(difference3(a, b), difference3(a, c))
+    s = F.when(n[2] < 0, -1.0).otherwise(1.0)
+    return n[0] * s, n[1] * s, n[2] * s
+
+
+def plane_line(op, normal, ol, u) -> Column:
+    """t with ol + t u on the plane through op; null for a parallel line."""
+    return F.try_divide(dot3(difference3(ol, op), normal), dot3(u, normal))
+
+
+def closest_on_line3(p, q, x) -> tuple[Column, Column, Column]:
+    """The foot of x on the line through p and q, in three dimensions; p where p = q."""
+    d = difference3(p, q)
+    t = F.coalesce(F.try_divide(dot3(difference3(p, x), d), dot3(d, d)), F.lit(0.0))
+    return p[0] + t * d[0], p[1] + t * d[1], p[2] + t * d[2]
+
+
+# --- predicates and pair metrics --------------------------------------------
+
+
+def collinear(ax, ay, bx, by, cx, cy, eps: float) -> Column:
+    """By the sine of the angle at a; coincident points are."""
+    ux, uy = unit(bx - ax, by - ay)
+    vx, vy = unit(cx - ax, cy - ay)
+    return F.abs(ux * vy - uy * vx) < eps
+
+
+def parallel(ax, ay, bx, by, cx, cy, dx, dy, eps: float) -> Column:
+    ux, uy = unit(bx - ax, by - ay)
+    vx, vy = unit(dx - cx, dy - cy)
+    return F.abs(ux * vy - uy * vx) < eps
+
+
+def approaching(ax, ay, avx, avy, bx, by, bvx, bvy) -> Column:
+    """Whether the gap closes, or stays."""
+    return (bvx - avx) * (bx - ax) + (bvy - avy) * (by - ay) <= 0
+
+
+def bisector(ox, oy, ax, ay, bx, by) -> tuple[Column, Column]:
+    """Unit bisector of the angle a-o-b; the left normal of a-o where the arms are opposite."""
+    ux, uy = unit(ax - ox, ay - oy)
+    vx, vy = unit(bx - ox, by - oy)
+    sx, sy = ux + vx, uy + vy
+    flat = sx * sx + sy * sy < 1e-10
+    nx, ny = unit(sx, sy)
+    return F.when(flat, -uy).otherwise(nx), F.when(flat, ux).otherwise(ny)
+
+
+def pair_metric(px, py, pz, pt, qx, qy, qz, qt, scale: float, wz: float, wt: float) -> Column:
+    """Distance of two pair features (middle, half length, angle), weighted."""
+    d = (px - qx) * (px - qx) + (py - qy) * (py - qy) + wz * (pz - qz) * (pz - qz)
+    s = F.sin(pt - qt)
+    return F.sqrt(d + wt * scale * scale * s * s)
+
+
+def off_axis(px, py, pt, qx, qy) -> Column:
+    """Distance of q from the line through p that is square to the direction pt."""
+    return F.abs((qx - px) * F.cos(pt) + (qy - py) * F.sin(pt))
+
+
+def compatibility(dx: Column, dy: Column, sigma: float) -> Column:
+    """Gaussian of a velocity difference; 0 beyond sqrt(2) sigma."""
+    d2 = dx * dx + dy * dy
+    return F.when(d2 > 2 * sigma * sigma, 0.0).otherwise(F.exp(-d2 / (2 * sigma * sigma)))
+
+
+def saliency(length: Column, angle: Column, beta: float, gamma: float) -> Column:
+    """Logistic in the length, times how straight the angle is."""
+    return (1 - F.cos(angle)) / 2 / (1 + F.exp(gamma * (length - beta)))
