@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import aggregates, clusters, images, kernels, motion, predicates, rasters, scalars, sequences
+from . import aggregates, clusters, exchange, figures, images, kernels, motion, predicates, rasters, scalars, sequences
 
-MODULES = (scalars, predicates, aggregates, sequences, clusters, motion, rasters, images, kernels)
+MODULES = (scalars, predicates, aggregates, sequences, clusters, motion, rasters, images, kernels, figures, exchange)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
 FLAGSHIP = "single_linkage"
