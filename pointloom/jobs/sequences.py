@@ -9,8 +9,15 @@ from ..sources import fixtures
 from .support import Registry, big, r, rs, with_sql
 
 reg = Registry()
-W = Window.partitionBy("contour_id").orderBy("pos")
-WHOLE = Window.partitionBy("contour_id")
+
+
+def along():
+    """Each contour's points in order."""
+    return Window.partitionBy("contour_id").orderBy("pos")
+
+
+def whole():
+    return Window.partitionBy("contour_id")
 
 
 @reg.query(f"""{with_sql('contours')}, s AS (SELECT contour_id, pos, lead(x) OVER w - x AS dx, (lead(y) OVER w - y)/50 AS dy FROM contours WINDOW w AS (PARTITION BY contour_id ORDER BY pos)),
@@ -19,11 +26,11 @@ c AS (SELECT contour_id, pos, CAST(CASE WHEN dy > .5 THEN (CASE WHEN dx > .5 THE
 SELECT contour_id, CAST(pos AS BIGINT) AS pos, code, (code - lag(code) OVER (PARTITION BY contour_id ORDER BY pos) + 8) % 8 AS turn FROM c WHERE code IS NOT NULL""")
 def chain_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight-way step codes (no move: none) and the turn from one to the next; values are scaled by 1/50."""
-    s = fixtures.contours(spark, sf_dir).select("contour_id", "pos", (F.lead("x").over(W) - F.col("x")).alias("dx"), ((F.lead("y").over(W) - F.col("y")) / 50).alias("dy")).where("dx IS NOT NULL")
+    s = fixtures.contours(spark, sf_dir).select("contour_id", "pos", (F.lead("x").over(along()) - F.col("x")).alias("dx"), ((F.lead("y").over(along()) - F.col("y")) / 50).alias("dy")).where("dx IS NOT NULL")
     row = lambda right, left, none: F.when(F.col("dx") > 0.5, right).when(F.col("dx") < -0.5, left).otherwise(none)
     code = F.when(F.col("dy") > 0.5, row(1, 3, 2)).when(F.col("dy") < -0.5, row(7, 5, 6)).otherwise(row(0, 4, None))
     c = s.select("contour_id", "pos", big(code).alias("code")).where("code IS NOT NULL")
-    return c.select("contour_id", big("pos").alias("pos"), "code", ((F.col("code") - F.lag("code").over(W) + 8) % 8).alias("turn"))
+    return c.select("contour_id", big("pos").alias("pos"), "code", ((F.col("code") - F.lag("code").over(along()) + 8) % 8).alias("turn"))
 
 
 @reg.query(f"""{with_sql('contours')}, g AS (SELECT *, CAST(floor(y / 50) AS BIGINT) AS cell, lag(CAST(floor(y / 50) AS BIGINT)) OVER (PARTITION BY contour_id ORDER BY pos) AS before FROM contours)
@@ -31,7 +38,7 @@ SELECT contour_id, CAST(pos AS BIGINT) AS pos, cell FROM g WHERE before IS NULL
 def grid_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells that a contour passes, without repeats in a row."""
     g = fixtures.contours(spark, sf_dir).withColumn("cell", big(F.floor(F.col("y") / 50)))
-    g = g.withColumn("before", F.lag("cell").over(W))
+    g = g.withColumn("before", F.lag("cell").over(along()))
     return g.where("before IS NULL OR cell <> before").select("contour_id", big("pos").alias("pos"), "cell")
 
 
@@ -39,7 +46,7 @@ def grid_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT contour_id, CAST(pos AS BIGINT) AS pos, {rs('y')} AS y FROM n WHERE (pos - 1) % 8 = 0 OR pos = n""")
 def fixed_interval_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every eighth point, and both ends."""
-    n = fixtures.contours(spark, sf_dir).withColumn("n", F.count("*").over(WHOLE))
+    n = fixtures.contours(spark, sf_dir).withColumn("n", F.count("*").over(whole()))
     return n.where("(pos - 1) % 8 = 0 OR pos = n").select("contour_id", big("pos").alias("pos"), r("y").alias("y"))
 
 
@@ -47,7 +54,7 @@ def fixed_interval_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT contour_id, CAST(pos AS BIGINT) AS pos, {rs('y')} AS y FROM n WHERE (pos - 1) % greatest(1, n // 10) = 0""")
 def fixed_count_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """About ten points of each contour; the step is one at least."""
-    n = fixtures.contours(spark, sf_dir).withColumn("n", F.count("*").over(WHOLE))
+    n = fixtures.contours(spark, sf_dir).withColumn("n", F.count("*").over(whole()))
     return n.where("(pos - 1) % greatest(1, n div 10) = 0").select("contour_id", big("pos").alias("pos"), r("y").alias("y"))
 
 
@@ -56,7 +63,7 @@ s AS (SELECT *, (pos - 1) * (n // 20 + 1) // n AS piece FROM n)
 SELECT contour_id, CAST(piece AS BIGINT) AS piece, CAST(min(pos) AS BIGINT) AS first_pos, CAST(max(pos) AS BIGINT) AS last_pos, {rs('avg(y)')} AS mean FROM s GROUP BY ALL""")
 def split_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contours in pieces of twenty points at most, as even as can be."""
-    n = fixtures.contours(spark, sf_dir).withColumn("n", F.count("*").over(WHOLE))
+    n = fixtures.contours(spark, sf_dir).withColumn("n", F.count("*").over(whole()))
     s = n.withColumn("piece", F.expr("(pos - 1) * (n div 20 + 1) div n"))
     return s.groupBy("contour_id", "piece").agg(big(F.min("pos")).alias("first_pos"), big(F.max("pos")).alias("last_pos"), r(F.avg("y")).alias("mean"))
 
@@ -68,8 +75,8 @@ SELECT contour_id, CAST(piece AS BIGINT) AS piece, strong, CAST(min(pos) AS BIGI
 def split_by_saliency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of points on one side of a strength threshold."""
     f = fixtures.contours(spark, sf_dir).withColumn("strong", F.col("strength") > 100)
-    f = f.withColumn("b", F.when(F.col("strong") != F.coalesce(F.lag("strong").over(W), ~F.col("strong")), 1).otherwise(0))
-    f = f.withColumn("piece", F.sum("b").over(W.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    f = f.withColumn("b", F.when(F.col("strong") != F.coalesce(F.lag("strong").over(along()), ~F.col("strong")), 1).otherwise(0))
+    f = f.withColumn("piece", F.sum("b").over(along().rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return f.groupBy("contour_id", "piece", "strong").agg(big(F.min("pos")).alias("first_pos"), F.count("*").alias("n"), r(F.max("strength")).alias("peak"))
 
 
@@ -78,7 +85,7 @@ UNION ALL SELECT contour_id, 2 * pos, (x + nx) / 2, (y + ny) / 2 FROM (SELECT *,
 SELECT contour_id, CAST(pos AS BIGINT) AS pos, {rs('x')} AS x, {rs('y')} AS y FROM m""")
 def midpoint_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points with the midpoints between: one pass, each row explodes into itself and what follows it."""
-    c = fixtures.contours(spark, sf_dir).withColumns({"nx": F.lead("x").over(W), "ny": F.lead("y").over(W)})
+    c = fixtures.contours(spark, sf_dir).withColumns({"nx": F.lead("x").over(along()), "ny": F.lead("y").over(along())})
     own = F.struct((2 * F.col("pos") - 1).alias("pos"), F.col("x").alias("x"), F.col("y").alias("y"))
     mid = F.when(F.col("nx").isNotNull(), F.struct((2 * F.col("pos")).alias("pos"), ((F.col("x") + F.col("nx")) / 2).alias("x"), ((F.col("y") + F.col("ny")) / 2).alias("y")))
     return c.select("contour_id", F.explode(F.array_compact(F.array(own, mid))).alias("p")).select("contour_id", big("p.pos").alias("pos"), r("p.x").alias("x"), r("p.y").alias("y"))
@@ -88,7 +95,7 @@ def midpoint_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT contour_id, CAST(pos AS BIGINT) AS pos, {rs('(b - a) / 2')} AS slope, {rs('b - 2*y + a')} AS second, {rs('(b - 2*y + a) / power(1 + (b-a)*(b-a)/4, 1.5)')} AS curvature FROM d WHERE a IS NOT NULL AND b IS NOT NULL""")
 def curvature_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Central differences along each contour."""
-    d = fixtures.contours(spark, sf_dir).select("contour_id", "pos", "y", F.lag("y").over(W).alias("a"), F.lead("y").over(W).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    d = fixtures.contours(spark, sf_dir).select("contour_id", "pos", "y", F.lag("y").over(along()).alias("a"), F.lead("y").over(along()).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     a, b, y = F.col("a"), F.col("b"), F.col("y")
     return d.select("contour_id", big("pos").alias("pos"), r((b - a) / 2).alias("slope"), r(b - 2 * y + a).alias("second"), r((b - 2 * y + a) / F.pow(1 + (b - a) * (b - a) / 4, 1.5)).alias("curvature"))
 
@@ -96,7 +103,7 @@ def curvature_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 @reg.query(f"""{with_sql('contours')} SELECT contour_id, CAST(pos AS BIGINT) AS pos, CAST(k AS BIGINT) AS k, {rs('strength')} AS strength FROM (SELECT *, row_number() OVER (PARTITION BY contour_id ORDER BY strength DESC, pos) AS k FROM contours) WHERE k <= 5""")
 def strongest_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five strongest points of each contour (top-k is the operator)."""
-    w = WHOLE.orderBy(F.col("strength").desc(), "pos")
+    w = whole().orderBy(F.col("strength").desc(), "pos")
     return fixtures.contours(spark, sf_dir).withColumn("k", F.row_number().over(w)).where("k <= 5").select("contour_id", big("pos").alias("pos"), big("k").alias("k"), r("strength").alias("strength"))
 
 

@@ -46,3 +46,13 @@ def test_entry(spark):
     assert e.entry(spark).columns
     assert set(e.oracle_sql()) <= set(e.queries())
     assert set(registry.QUERIES) <= set(e.queries())
+
+
+def test_imports_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = str(Path(__file__).resolve().parent.parent)
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=root, capture_output=True, text=True, timeout=120)
+    assert said.returncode == 0, said.stderr
