@@ -97,7 +97,7 @@ def city_block(cells: DataFrame, on: Column) -> DataFrame:
 
 
 def normalised(cells: DataFrame) -> DataFrame:
-    """z-scores and range scaling, from one aggregation that every cell sees."""
-    s = cells.agg(F.avg("val").alias("mean"), F.stddev_pop("val").alias("sd"), F.min("val").alias("lo"), F.max("val").alias("hi"))
-    both = cells.join(F.broadcast(s))  # one row
-    return both.select("x", "y", F.try_divide(F.col("val") - F.col("mean"), F.col("sd")).alias("z"), F.coalesce(F.try_divide(F.col("val") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)).alias("scaled"))
+    """z-scores and range scaling; the four numbers of one aggregation become literals."""
+    s = cells.agg(F.avg("val").alias("mean"), F.stddev_pop("val").alias("sd"), F.min("val").alias("lo"), F.max("val").alias("hi")).first()
+    n = {k: F.lit(None if s[k] is None else float(s[k])) for k in ("mean", "sd", "lo", "hi")}
+    return cells.select("x", "y", F.try_divide(F.col("val") - n["mean"], n["sd"]).alias("z"), F.coalesce(F.try_divide(F.col("val") - n["lo"], n["hi"] - n["lo"]), F.lit(0.0)).alias("scaled"))

@@ -73,9 +73,10 @@ def read_grey(spark: SparkSession, path: str) -> DataFrame:
 
 def grey_text(cells: DataFrame, width: int, height: int) -> DataFrame:
     """One row, text: the cells (x, y, val) as a plain grey image, scaled to 0-255; missing cells are 0."""
-    s = cells.agg(F.min("val").alias("lo"), F.max("val").alias("hi"))
-    v = F.coalesce(F.round(F.try_divide(255.0 * (F.col("val") - F.col("lo")), F.col("hi") - F.col("lo"))), F.lit(0)).cast("int")
-    rows = cells.join(F.broadcast(s)).groupBy("y").agg(F.map_from_entries(F.collect_list(F.struct("x", v.alias("v")))).alias("m"))
+    s = cells.agg(F.min("val").alias("lo"), F.max("val").alias("hi")).first()
+    lo, hi = (float(s[k] or 0) for k in ("lo", "hi"))
+    v = F.coalesce(F.round(F.try_divide(255.0 * (F.col("val") - lo), F.lit(hi - lo))), F.lit(0)).cast("int")
+    rows = cells.groupBy("y").agg(F.map_from_entries(F.collect_list(F.struct("x", v.alias("v")))).alias("m"))
     line = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda x: F.coalesce(F.try_element_at("m", x.cast(dict(cells.dtypes)["x"])), F.lit(0)).cast("string")), " ")
     lines = rows.select("y", line.alias("line")).groupBy().agg(F.array_sort(F.collect_list(F.struct("y", "line"))).alias("l"))
     return lines.select(F.concat(F.lit(f"P2\n{width} {height}\n255\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n")).alias("text"))
