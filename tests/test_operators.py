@@ -22,6 +22,7 @@ def test_pairs_match_brute_force(spark):
     r = np.random.default_rng(1)
     p = [(i, float(x), float(y)) for i, (x, y) in enumerate(r.normal(0, 1, (150, 2)))]
     p += [(200, 0.0, 0.0), (201, 0.0, 0.0), (202, None, 1.0)]
+    assert pairs.within(frame(spark, p), 0.2, parts=4).count() == pairs.within(frame(spark, p), 0.2).count()
     got = {(r["a"], r["b"]) for r in pairs.within(frame(spark, p), 0.2).collect()}
     want = {(a[0], b[0]) for a, b in itertools.combinations(p, 2) if None not in (a[1], b[1]) and math.dist(a[1:], b[1:]) <= 0.2}
     assert got == want and (200, 201) in got
