@@ -6,13 +6,26 @@ import tempfile
 
 import numpy as np
 
-_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 #: Position of the k-th set bit of a byte.
 _SELECT = np.zeros((256, 8), np.uint8)
 for _b in range(256):
     for _k, _p in enumerate(i for i in range(8) if _b >> i & 1):
         _SELECT[_b, _k] = _p
 
+_EACH, _HIGH = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+_FIVES, _THREES, _FIFTEENS = np.uint64(0x5555555555555555), np.uint64(0x3333333333333333), np.uint64(0x0F0F0F0F0F0F0F0F)
+
+
+def ordered(*columns: np.ndarray) -> np.ndarray:
+    """An order by the columns, the first one first; ties in any order. Packed into one number where that fits."""
+    bits = [int(c.max()).bit_length() if len(c) else 0 for c in columns]
+    if sum(bits) > 64:
+        return np.lexsort(columns[::-1])
+    key = columns[0].astype(np.uint64)
+    for c, b in zip(columns[1:], bits[1:]):
+        key = (key << np.uint64(b)) | c.astype(np.uint64) if b < 64 else c.astype(np.uint64)
+    return np.argsort(key)
+
 
 def pack_bits(values: np.ndarray, width: int) -> np.ndarray:
     """Values of `width` bits (at most 57), one after another in 64-bit words, with a word to spare."""
@@ -43,21 +56,24 @@ class BitVector:
 
     def __init__(self, words: np.ndarray):
         self.words = words
-        per = _ONES[words.view(np.uint8)].reshape(-1, 8).sum(1)
+        per = np.bitwise_count(words)
         self.ones = np.concatenate([[0], np.cumsum(per)]).astype(np.int64)
         self.zeros = np.arange(len(words) + 1, dtype=np.int64) * 64 - self.ones
 
     def select(self, i: np.ndarray, bit: int = 1) -> np.ndarray:
         counts = self.ones if bit else self.zeros
         word = np.searchsorted(counts, i, "right") - 1
-        left = (i - counts[word]).astype(np.int64)
-        data = self.words[word] if bit else ~self.words[word]
-        octets = np.ascontiguousarray(data).view(np.uint8).reshape(-1, 8)
-        sums = np.cumsum(_ONES[octets], 1, dtype=np.int64)
-        octet = (sums <= left[:, None]).sum(1)
-        rows = np.arange(len(left))
-        left -= np.where(octet > 0, sums[rows, octet - 1], 0)
-        return word * 64 + octet * 8 + _SELECT[octets[rows, octet], left]
+        left = (i - counts[word]).astype(np.uint64)
+        x = self.words[word] if bit else ~self.words[word]
+        # sums of set bits up to each byte, in the bytes of one number
+        s = x - ((x >> np.uint64(1)) & _FIVES)
+        s = (s & _THREES) + ((s >> np.uint64(2)) & _THREES)
+        s = ((s + (s >> np.uint64(4))) & _FIFTEENS) * _EACH
+        # bytes whose sum is not over what is left
+        octet = (((((left * _EACH) | _HIGH) - s) & _HIGH) >> np.uint64(7)) * _EACH >> np.uint64(56)
+        shift = octet << np.uint64(3)
+        left -= ((s << np.uint64(8)) >> shift) & np.uint64(255)
+        return word * 64 + shift.astype(np.int64) + _SELECT[(x >> shift) & np.uint64(255), left]
 
 
 def elias_fano(values: np.ndarray) -> dict[str, np.ndarray]:

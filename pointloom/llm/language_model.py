@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Words, documents, fold, mixed, pack_sorted, slices, trim, unpack_sorted, written
-from .elias_fano import Sequence, elias_fano, grouped, mapped, pack_bits, read_bits
+from .elias_fano import Sequence, elias_fano, grouped, mapped, ordered, pack_bits, read_bits
 
 FOLDS, HELD_OUT = 5, 1
 L2, L3 = 0.15, 0.35
@@ -216,7 +216,7 @@ class Trie:
         own = ~np.isin(v, np.unique(bv)) if len(bv) else np.ones(len(v), bool)
         v2, w2 = np.concatenate([v[own], bv]), np.concatenate([w[own], bw])
         c2, p2 = np.concatenate([np.ones(int(own.sum()), np.int64), bc]), np.concatenate([p[own], bp])
-        order = np.lexsort((w2, v2))
+        order = ordered(v2, w2)
         v2, w2, c2, p2 = v2[order], w2[order], c2[order], p2[order]
         at = np.flatnonzero(np.append(True, (v2[1:] != v2[:-1]) | (w2[1:] != w2[:-1]))) if len(v2) else np.zeros(0, np.int64)
         c2 = np.add.reduceat(c2, at) if len(at) else c2
@@ -230,7 +230,7 @@ class Trie:
         k = np.searchsorted(contexts, v)
         g = np.searchsorted(flat, w.astype(np.int64) + (flat[first] - w2[first].astype(np.int64))[k]) if len(v) else np.zeros(0, np.int64)
         rank = g - first[k] if len(v) else g
-        order = np.lexsort((rank, u, k))
+        order = ordered(k, u, rank)
         k, u, rank, g = k[order], u[order], rank[order], g[order]
         new_u = np.append(True, (k[1:] != k[:-1]) | (u[1:] != u[:-1])) if len(k) else np.zeros(0, bool)
         at_u = np.flatnonzero(new_u)
@@ -262,24 +262,34 @@ class Trie:
     def _child(self, pointers: str, below: str, parent: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of x among the children of parent: its index, its number inside the range, and whether it is there."""
         ptr, seq = self.seq[pointers], self.seq[below]
-        a, z = ptr.get(parent), ptr.get(parent + 1)
+        # one look at each parent of a run
+        new = np.flatnonzero(np.append(True, parent[1:] != parent[:-1])) if len(parent) else np.zeros(0, np.int64)
+        size = np.diff(np.append(new, len(parent)))
+        own = parent[new]
+        a, z = ptr.get(own), ptr.get(own + 1)
         before = np.zeros(len(a), np.int64)
         some = a > 0
         before[some] = seq.get(a[some] - 1) + 1
+        a, z, before = (np.repeat(y, size) for y in (a, z, before))
         i, equal = seq.successor(x + before)
         return i, i - a, equal & (i < z)
 
     def score(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """log10 P(w | u, v); p: log10 P(w)."""
-        u, v, w = (x.astype(np.int64) for x in (u, v, w))
+        """log10 P(w | u, v); p: log10 P(w). Positions are looked up in the order of their contexts."""
+        order = ordered(v, u, w)
+        out = np.empty(len(v))
+        out[order] = self._score(*(x[order].astype(np.int64) for x in (u, v, w)), p[order])
+        return out
+
+    def _score(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, p: np.ndarray) -> np.ndarray:
         out = p.astype(np.float64).copy()
-        # positions with one v share its search
-        vs, inverse = np.unique(v, return_inverse=True)
-        k_v, seen_v = self.seq["v"].successor(vs)
-        on = np.flatnonzero(seen_v[inverse])
+        new = np.flatnonzero(np.append(True, v[1:] != v[:-1])) if len(v) else np.zeros(0, np.int64)
+        size = np.diff(np.append(new, len(v)))
+        k_v, seen_v = self.seq["v"].successor(v[new])
+        on = np.flatnonzero(np.repeat(seen_v, size))
         if not len(on):
             return out
-        k = k_v[inverse[on]]
+        k = np.repeat(k_v, size)[on]
         g, rank, seen2 = self._child("v_w", "w", k, w[on])
         two = out[on] + np.log10(1 - L2)
         two[seen2] = self._log("q2", g[seen2])
@@ -318,10 +328,7 @@ def _shard_scores(table: pa.Table) -> pa.Table:
         none = np.zeros(0)
         bv, bw, bc, bp = (np.concatenate([none.astype(k), *(unsqueeze(x, k) for x in cols[c] if x)]) for c, k in (("bv", "<u8"), ("bw", "<u8"), ("bc", "<u4"), ("bp", "<u2")))
         trie = Trie(mapped(Trie.levels(u[train], v[train], w[train], p[train], bv, bw, bc.astype(np.int64), bp.astype(np.float64) / -_STEPS)))
-        s = np.empty(len(u))
-        for a in range(0, len(u), 1 << 18):
-            z = a + (1 << 18)
-            s[a:z] = trie.score(u[a:z], v[a:z], w[a:z], p[a:z])
+        s = trie.score(u, v, w, p)
         at, rows = 0, []
         for b, n in zip(cols["block"], sizes):
             m = int(n.sum())
