@@ -47,8 +47,9 @@ def encoder(path: str):
         tok = Tokenizer.from_file(path)
         kind = "<u2" if tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
         mark = tok.encode(MARK.decode(), add_special_tokens=False).ids
-        _encoders[path] = (tok, kind, TwoAges(MEMO), mark[0] if len(mark) == 1 else None)
-    tok, kind, memo, mark = _encoders[path]
+        lower = tok.normalizer is not None and tok.normalizer.normalize_str("ABCXYZ") == "abcxyz"
+        _encoders[path] = (tok, kind, TwoAges(MEMO), mark[0] if len(mark) == 1 else None, lower)
+    tok, kind, memo, mark, lower = _encoders[path]
 
     def fresh(words: list[bytes]) -> dict[bytes, bytes]:
         """Words are encoded as one text with marks between; those that hold the mark are encoded by themselves."""
@@ -64,7 +65,9 @@ def encoder(path: str):
         return made
 
     def encode(texts: list[str | None]) -> list[bytes]:
-        split = [text.encode("utf-8", "replace").split() if text else [] for text in texts]
+        # the vocabulary knows lower case only; marks of special tokens are kept as they are
+        raw = [text.encode("utf-8", "replace") if text else b"" for text in texts]
+        split = [(x if not lower or b"<|" in x else x.lower()).split() for x in raw]
         found = [[memo[w] for w in words] for words in split]
         new = {w: None for words, got in zip(split, found) if None in got for w, x in zip(words, got) if x is None}
         made = fresh(list(new))

@@ -385,7 +385,7 @@ def test_words_encode_as_texts():
 
     tok = Tokenizer.from_file(packing.default_tokenizer())
     encode, kind = packing.encoder(packing.default_tokenizer())
-    texts = ["a <|endoftext|> b", "a|b | c||", "x y  ́z é é İ ß", "don't  12 3.4\n\tend", "  a b", ""]
+    texts = ["a <|endoftext|> b", "The <|ENDOFTEXT|> END", "ÀÉ ΣΑΣ. Straße", "a|b | c||", "x y  ́z é é İ ß", "don't  12 3.4\n\tend", "  a b", ""]
     for t, got in zip(texts, encode(texts)):
         assert np.frombuffer(got, kind).tolist() == tok.encode(t, add_special_tokens=False).ids
 
