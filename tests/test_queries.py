@@ -37,7 +37,7 @@ def test_agrees_with_sql(name, spark, sf, duck):
     assert order == sorted(want.columns)
     got = rows(df.columns, df.collect(), order)
     assert got == rows(want.columns, want.fetchall(), order)
-    assert got or name == "split_by_saliency"
+    assert got or name == "large_groups"  # no group is that large in the smallest tables
 
 
 def test_entry(spark):
