@@ -88,6 +88,25 @@ def trim() -> None:
         pass
 
 
+_memos: dict[str, tuple[tuple[str, ...], object]] = {}
+_at_work: list[str] = []
+
+
+def remembers(name: str, clear, users: tuple[str, ...]) -> None:
+    """Makes a worker's memo known: it is cleared when an operator that is none of its users starts there."""
+    _memos[name] = (users, clear)
+
+
+def starts(operator: str) -> None:
+    """An operator's task starts in this worker: memos of others go, and freed memory with them."""
+    if _at_work != [operator]:
+        _at_work[:] = [operator]
+        for users, clear in _memos.values():
+            if operator not in users:
+                clear()
+    trim()
+
+
 class WordHashes(dict):
     """word -> its 64-bit hash; forgets when it has grown too large."""
 
@@ -107,6 +126,7 @@ class WordHashes(dict):
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _hashes = WordHashes()
+remembers("words", _hashes.clear, ("jaccard", "line_labels", "language_model"))
 
 
 class Words:

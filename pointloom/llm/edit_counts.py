@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TwoAges, documents, slices
+from .common import TwoAges, documents, remembers, slices, starts
 
 LEAF = 64
 MEMO = 300_000
@@ -28,6 +28,7 @@ REACH = 3
 EDITS = "array<struct<start:bigint,removed:bigint,inserted:string>>"
 
 _counters: dict[tuple, "Counter"] = {}
+remembers("counts", _counters.clear, ("edit_counts",))
 
 
 class Counter:
@@ -189,6 +190,7 @@ def recounted(docs: DataFrame, path: str | None = None, pattern: str | None = No
     schema = own.select("*", *(F.lit(0).cast(t).alias(c) for c, t in _ADDED)).schema
 
     def run(batches):
+        starts("edit_counts")
         c = counter(path, pattern)
         for b in slices(batches):
             rows = []

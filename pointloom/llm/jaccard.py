@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import Words, documents, gram_hashes, mixed, pack_sorted, slices, trim, unpack_sorted, written
+from .common import Words, documents, gram_hashes, mixed, pack_sorted, slices, starts, trim, unpack_sorted, written
 
 #: Bytes of text for each hash range.
 RANGE_BYTES = 6 << 20
@@ -87,6 +87,7 @@ def _dealt(docs: DataFrame, k: int, ranges: int) -> DataFrame:
     shared inside of it."""
 
     def run(batches):
+        starts("jaccard")
         part, block = TaskContext.get().partitionId(), -1
         for b in slices(batches, BLOCK_BYTES):
             block += 1

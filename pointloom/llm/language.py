@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fold, slices
+from .common import documents, fold, slices, starts
 
 SPAN = 64
 HIDDEN = 8
@@ -214,6 +214,7 @@ def fit(docs: DataFrame, per_class: int = PER_CLASS) -> Network | None:
     sample = known.join(F.broadcast(ids.distinct()), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
     def run(batches):
+        starts("language")
         for b in slices(batches):
             keys, ys, spans = [], [], []
             for i, text, lang in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("lang").to_pylist()):
@@ -239,6 +240,7 @@ def identified(docs: DataFrame, model: Network | None) -> DataFrame:
     schema = own.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
     def run(batches):
+        starts("language")
         for b in slices(batches, 4 << 20):
             texts = b.column("text").to_pylist()
             log = model.label(texts)

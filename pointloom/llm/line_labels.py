@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, documents, gram_hashes, labelled_sample, mixed, slices
+from .common import Words, documents, gram_hashes, labelled_sample, mixed, slices, starts
 
 PER_CLASS = 1500
 STEPS = 150
@@ -207,6 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Field
     sample, _ = labelled_sample(slim, labels, "quality", per_class, FOLDS, HELD_OUT)
 
     def run(batches):
+        starts("line_labels")
         for b in slices(batches):
             _, active, n = counted(b.column("text").to_pylist())
             cuts = np.cumsum(n)[:-1]
@@ -235,6 +236,7 @@ def labelled(docs: DataFrame, field: Field, share: float = CONTENT_SHARE) -> Dat
     schema = own.select("*", *(F.lit(None).cast(t).alias(c) for c, t in added)).schema
 
     def run(batches):
+        starts("line_labels")
         for b in slices(batches):
             counts, active, n_lines = counted(b.column("text").to_pylist())
             content = field.decode(field.emissions(active), n_lines) == 1

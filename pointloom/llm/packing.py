@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TwoAges, documents, slices, written
+from .common import TwoAges, documents, remembers, slices, starts, written
 
 WINDOW = 4096
 END_ID = 2
@@ -29,6 +29,7 @@ MEMO = 400_000
 MARK = b"|"
 
 _encoders: dict[str, tuple] = {}
+remembers("ids", _encoders.clear, ("packing",))
 
 
 def default_tokenizer() -> str:
@@ -82,6 +83,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """First pass: doc_id, part, start (in its partition), n, ids; as a written table."""
 
     def run(batches):
+        starts("packing")
         encode, kind = encoder(tokenizer)
         end = np.array([end_id], kind).tobytes()
         width, part, at = len(end), TaskContext.get().partitionId(), 0

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fold, labelled_sample, slices
+from .common import documents, fold, labelled_sample, remembers, slices, starts
 
 WORD_SLOTS = 1 << 16
 FACTORS = 8
@@ -42,6 +42,7 @@ _BASE = np.cumsum([0, *(len(e) + 2 for _, e in STATS)])
 SLOTS = WORD_SLOTS + int(_BASE[-1])
 _SYMBOLS = np.frombuffer(b"#*$%&|<>", np.uint8)
 _slots: dict[bytes, int] = {}
+remembers("slots", _slots.clear, ("quality",))
 
 
 def _slot(word: bytes) -> int:
@@ -123,6 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Machi
     sample, counts = labelled_sample(_slim(docs), labels, "quality", per_class, FOLDS, HELD_OUT)
 
     def run(batches):
+        starts("quality")
         for b in slices(batches):
             f = [features(t, c) for t, c in zip(b.column("text").to_pylist(), b.column("n_chars").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_label"), pa.array([s.tobytes() for s, _ in f]), pa.array([x.tobytes() for _, x in f])], ["doc_id", "y", "s", "x"])
@@ -152,6 +154,7 @@ def scored(docs: DataFrame, model: Machine | None) -> DataFrame:
     schema = out.select("*", F.lit(0.0).alias("score")).schema
 
     def run(batches):
+        starts("quality")
         for b in slices(batches):
             chars = b.column("n_chars").to_pylist() if has else [None] * b.num_rows
             f = [features(t, None if c is None else int(c)) for t, c in zip(b.column("text").to_pylist(), chars)]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, slices
+from .common import documents, slices, starts
 
 SEED = 5
 THRESHOLD = 0.5
@@ -148,6 +148,7 @@ def decontaminated(docs: DataFrame, bench: DataFrame, threshold: float = THRESHO
         held = docs.sparkSession.sparkContext.broadcast(Items(rows, seed))
 
         def run(batches, held=held):
+            starts("tiling")
             items = held.value
             for b in slices(batches):
                 cover, best, marks = (b.column(c).to_pylist() for c in ("coverage", "item_id", "tiles"))
