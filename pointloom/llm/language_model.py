@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, documents, fold, mixed, pack_sorted, slices, trim, unpack_sorted, written
+from .common import Words, documents, fold, mixed, pack_sorted, slices, starts, trim, unpack_sorted, written
 from .elias_fano import Sequence, elias_fano, grouped, mapped, ordered, pack_bits, read_bits
 
 FOLDS, HELD_OUT = 5, 1
@@ -82,6 +82,7 @@ def _range_cuts(h: np.ndarray, ranges: int) -> np.ndarray:
 
 
 def _blocks(batches):
+    starts("language_model")
     part = TaskContext.get().partitionId()
     for k, b in enumerate(slices(batches, BLOCK_BYTES)):
         yield (part << 20) + k, b
@@ -278,7 +279,9 @@ class Trie:
         """log10 P(w | u, v); p: log10 P(w). Positions are looked up in the order of their contexts."""
         order = ordered(v, u, w)
         out = np.empty(len(v))
-        out[order] = self._score(*(x[order].astype(np.int64) for x in (u, v, w)), p[order])
+        for a in range(0, len(v), 1 << 18):
+            i = order[a : a + (1 << 18)]
+            out[i] = self._score(*(x[i].astype(np.int64) for x in (u, v, w)), p[i])
         return out
 
     def _score(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, p: np.ndarray) -> np.ndarray:
