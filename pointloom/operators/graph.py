@@ -1,6 +1,6 @@
 """Graph algorithms as loops over edge tables. Every round ends in a written table, and the driver sees counts only.
 
-Edges are (src, dst[, w]); node ids are long. Loops stop when nothing changes, or at a stated number of rounds.
+Edges are (src, dst[, w]); node ids are long. Loops stop when nothing changes; a bound on the rounds raises.
 """
 
 from __future__ import annotations
@@ -44,23 +44,27 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", *cols).unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *cols))
 
 
-def shortest_paths(edges: DataFrame, source: DataFrame, rounds: int) -> DataFrame:
-    """node, dist, parent after so many rounds of relaxation (Bellman-Ford; all nodes' best with that many edges at
-    most). source: node. Ties take the least parent. Only nodes that improved send in the next round."""
+def shortest_paths(edges: DataFrame, source: DataFrame, rounds: int | None = None) -> DataFrame:
+    """node, dist, parent, relaxed until nothing improves (Bellman-Ford). source: node. Ties take the least parent. Only
+    nodes that improved send in the next round. Raises on a negative cycle: when the rounds, as many as there are nodes
+    unless given, have not emptied the front."""
     best = written(source.select("node", F.lit(0.0).alias("dist"), F.lit(None).cast("long").alias("parent")).distinct(), "dist")
-    front = best
-    for _ in range(rounds):
+    front, done = best, 0
+    if rounds is None:
+        rounds = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).unionByName(best.select("node")).distinct().count()
+    while not front.isEmpty():
+        if done > rounds:
+            raise ValueError("a negative cycle, or paths longer than the rounds allowed")
         sent = front.join(edges, front["node"] == edges["src"]).groupBy(F.col("dst").alias("node")).agg(F.min(F.struct((F.col("dist") + F.col("w")).alias("dist"), F.col("src").alias("parent"))).alias("s"))
         sent = sent.select("node", "s.dist", "s.parent")
         old = best.select(F.col("node").alias("n"), F.col("dist").alias("d"))
         front = written(sent.join(old, F.col("node") == F.col("n"), "left").where("d IS NULL OR dist < d").select("node", "dist", "parent"), "front")
-        if front.isEmpty():
-            break
         best = written(best.join(front.select("node"), "node", "left_anti").unionByName(front), "dist")
+        done += 1
     return best
 
 
-def breadth_first(edges: DataFrame, source: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def breadth_first(edges: DataFrame, source: DataFrame, rounds: int | None = None) -> DataFrame:
     """node, hops."""
     found = shortest_paths(edges.withColumn("w", F.lit(1.0)), source, rounds)
     return found.select("node", F.col("dist").cast("long").alias("hops"))
@@ -151,16 +155,20 @@ def _reached(start: DataFrame, inside: DataFrame) -> DataFrame:
     return found
 
 
-def traced(parents: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """child, ancestor, steps for every ancestor. parents: child, parent."""
+def traced(parents: DataFrame, rounds: int | None = None) -> DataFrame:
+    """child, ancestor, steps for every ancestor. parents: child, parent. Raises on a cycle: when the rounds, as many
+    as there are children unless given, have not emptied the front."""
     front = written(parents.select("child", F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("steps")), "front")
     up = parents.select(F.col("child").alias("c"), F.col("parent").alias("p"))
-    found = front
-    for _ in range(rounds):
+    found, done = front, 0
+    if rounds is None:
+        rounds = parents.select("child").distinct().count()
+    while not front.isEmpty():
+        if done > rounds:
+            raise ValueError("a cycle, or paths longer than the rounds allowed")
         front = written(front.join(up, F.col("ancestor") == F.col("c")).select("child", F.col("p").alias("ancestor"), (F.col("steps") + 1).alias("steps")), "front")
-        if front.isEmpty():
-            break
         found = found.unionByName(front)
+        done += 1
     return found
 
 

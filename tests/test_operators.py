@@ -53,6 +53,47 @@ def test_shortest_paths_and_parents(spark):
     assert got == {1: (0.0, None), 3: (1.0, 1), 2: (2.0, 3), 4: (1.0, 2)}
 
 
+def test_paths_of_any_length(spark, tmp_path):
+    import heapq
+
+    from pointloom.jobs import clusters
+
+    line = [(i, i, 1.0) for i in range(1, 9)] + [(i + 1, i, 1.0) for i in range(1, 9)] + [(6, 1, 40.0), (9, 20, 3.0)]
+    spark.createDataFrame(line, "l_partkey long, l_suppkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(i,) for i in range(1, 10)], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
+    near = {}
+    for p, q, w in line:
+        near.setdefault(p, []).append((-q, w))
+        near.setdefault(-q, []).append((p, w))
+    for name, cost in (("shortest_paths", lambda w: w), ("breadth_first", lambda w: 1)):
+        want, heap = {}, [(0, 1)]
+        while heap:
+            d, a = heapq.heappop(heap)
+            if a not in want:
+                want[a] = d
+                for b, w in near[a]:
+                    heapq.heappush(heap, (d + cost(w), b))
+        assert max(want.values()) > 8
+        assert {r[0]: r[1] for r in clusters.QUERIES[name](spark, str(tmp_path)).collect()} == want
+
+
+def test_loops_end_empty_or_raise(spark):
+    one = spark.createDataFrame([(0,)], "node long")
+    line = edges(spark, [(i, i + 1, 1.0) for i in range(9)] + [(0, 9, 50.0)])
+    assert {r["node"]: r["dist"] for r in graph.shortest_paths(line, one).collect()} == {i: i for i in range(10)}
+    assert {r["node"]: r["hops"] for r in graph.breadth_first(line.where("w < 50"), one).collect()} == {i: i for i in range(10)}
+    with pytest.raises(ValueError):
+        graph.shortest_paths(line, one, 4)
+    with pytest.raises(ValueError):
+        graph.shortest_paths(edges(spark, [(0, 1, 1.0), (1, 0, -2.0)]), one)
+    up = spark.createDataFrame([(i, i + 1) for i in range(5)], "child long, parent long")
+    assert graph.traced(up).count() == 15
+    with pytest.raises(ValueError):
+        graph.traced(up, 2)
+    with pytest.raises(ValueError):
+        graph.traced(spark.createDataFrame([(1, 2), (2, 1)], "child long, parent long"))
+
+
 def kruskal(rows):
     root = {}
 
