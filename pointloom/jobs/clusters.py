@@ -190,7 +190,8 @@ reach AS (SELECT src AS a, dst AS b FROM e UNION SELECT reach.a, e.dst FROM reac
 n AS (SELECT src AS node FROM e UNION SELECT dst FROM e)
 SELECT n.node, coalesce(least(n.node, min(p.b)), n.node) AS root FROM n LEFT JOIN (SELECT x.a, x.b FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a) p ON p.a = n.node GROUP BY n.node""")
 def strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = fixtures.table(spark, sf_dir, "lineitem").where("l_quantity > 48 AND l_linenumber = 1")
+    """Of suppliers and sums of keys, over all line items."""
+    li = fixtures.table(spark, sf_dir, "lineitem")
     return graph.strong_components(li.selectExpr("l_suppkey AS src", "(l_partkey + l_suppkey) % 97 AS dst"))
 
 
