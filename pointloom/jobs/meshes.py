@@ -88,19 +88,35 @@ c AS (SELECT p.label AS outer_, q.label AS inner_ FROM b p JOIN b q ON p.label <
 t AS (SELECT inner_ AS box, 1 AS rank FROM c UNION SELECT c.inner_, t.rank + 1 FROM t JOIN c ON c.outer_ = t.box)
 SELECT b.label AS box, CAST(coalesce(max(t.rank), 0) AS BIGINT) AS rank FROM b LEFT JOIN t ON t.box = b.label GROUP BY b.label""")
 def containment_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How deep each label's boxes (of all, and of the inner points) lie in one another."""
+    """How deep each label's polygons (the hull of all its points, and the rectangle of its inner quantiles) lie in one
+    another."""
     p = fixtures.points(spark, sf_dir)
     q = lambda c, f: F.expr(f"percentile_disc({f}) WITHIN GROUP (ORDER BY {c})")
-    whole = p.where("id % 3 = 0").groupBy("label").agg(F.min("x").alias("x1"), F.max("x").alias("x2"), F.min("y").alias("y1"), F.max("y").alias("y2"))
+    whole = kernels.hulls(p).select("label", "pos", "x", "y")
     inner = p.groupBy((F.col("label") + 100).alias("label")).agg(q("x", 0.2).alias("x1"), q("x", 0.8).alias("x2"), q("y", 0.2).alias("y1"), q("y", 0.8).alias("y2"))
-    b = written(whole.unionByName(inner), "boxes")
+    corners = F.posexplode(F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (("x1", "y1"), ("x2", "y1"), ("x2", "y2"), ("x1", "y2"))])).alias("pos", "c")
+    inner = inner.select("label", corners).select("label", (F.col("pos") + 1).cast("long").alias("pos"), "c.x", "c.y")
+    rings = written(whole.unionByName(inner).select(F.col("label").cast("long").alias("polygon_id"), "pos", "x", "y"), "rings")
+    labels = rings.select("polygon_id").distinct()
+    ranks = graph.longest_ranks(_contained(rings), labels.count())
+    return labels.join(ranks, labels["polygon_id"] == ranks["node"], "left").select(F.col("polygon_id").cast(inner.schema["label"].dataType).alias("box"), F.coalesce("rank", F.lit(0).cast("long")).alias("rank"))
+
+
+def _contained(rings: DataFrame) -> DataFrame:
+    """src, dst of polygons where all vertices of dst lie in src, or on it, and src has the greater area. rings:
+    polygon_id, pos, x, y. Boxes only find the candidates."""
+    sides = written(ring(rings), "sides")
+    b = sides.groupBy("polygon_id").agg(F.min("x").alias("x1"), F.max("x").alias("x2"), F.min("y").alias("y1"), F.max("y").alias("y2"), (F.abs(F.sum(F.col("x") * F.col("y2") - F.col("x2") * F.col("y"))) / 2).alias("area"))
     # boxes pair by the cells of a coarse grid that both touch, so only near ones meet
-    cells = lambda a, z: F.sequence(F.floor(F.col(a) * 4).cast("int"), F.floor(F.col(z) * 4).cast("int"))
-    o = b.select(F.col("label").alias("src"), *[F.col(c).alias(f"o{c}") for c in ("x1", "x2", "y1", "y2")], F.explode(cells("x1", "x2")).alias("i"))
-    i = b.select(F.col("label").alias("dst"), "x1", "x2", "y1", "y2", F.floor(F.col("x1") * 4).cast("int").alias("i"))
-    e = o.join(i, "i").where("src <> dst AND ox1 < x1 AND ox2 > x2 AND oy1 < y1 AND oy2 > y2").select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
-    ranks = graph.longest_ranks(e)
-    return b.join(ranks, b["label"] == ranks["node"], "left").select(F.col("label").alias("box"), F.coalesce("rank", F.lit(0).cast("long")).alias("rank"))
+    o = b.select(F.col("polygon_id").alias("src"), *[F.col(c).alias(f"o{c}") for c in ("x1", "x2", "y1", "y2", "area")], F.explode(F.sequence(F.floor(F.col("x1") * 4), F.floor(F.col("x2") * 4))).alias("i"))
+    i = b.select(F.col("polygon_id").alias("dst"), "x1", "x2", "y1", "y2", "area", F.floor(F.col("x1") * 4).alias("i"))
+    near = o.join(i, "i").where("src <> dst AND ox1 <= x1 AND ox2 >= x2 AND oy1 <= y1 AND oy2 >= y2 AND oarea > area").select("src", "dst")
+    v = near.join(rings.select(F.col("polygon_id").alias("dst"), F.col("pos").alias("k"), F.col("x").alias("px"), F.col("y").alias("py")), "dst")
+    s = v.join(sides.select(F.col("polygon_id").alias("src"), "x", "y", "x2", "y2"), "src")
+    crosses = F.expr("(y > py) <> (y2 > py) AND px < (x2 - x) * (py - y) / (CASE WHEN y2 <> y THEN y2 - y END) + x")
+    on = F.expr("(x2 - x) * (py - y) = (y2 - y) * (px - x) AND px BETWEEN least(x, x2) AND greatest(x, x2) AND py BETWEEN least(y, y2) AND greatest(y, y2)")
+    each = s.groupBy("src", "dst", "k").agg((F.max(on) | (F.count_if(crosses) % 2 == 1)).alias("inside"))
+    return each.groupBy("src", "dst").agg(F.min("inside").alias("all")).where("all").select("src", "dst")
 
 
 @reg.query()

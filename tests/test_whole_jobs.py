@@ -50,3 +50,40 @@ def test_members_of_all_lines(spark, tmp_path):
         want.setdefault(s, set()).add(p % 40)
     got = registry.QUERIES["distinct_members"](spark, lines(spark, tmp_path)).collect()
     assert {r["a"]: (r["grp"], r["members"], r["n"]) for r in got} == {s: (s % 7, sorted(m), len(m)) for s, m in want.items()}
+
+
+def depths(rings):
+    """Ranks by all vertices inside (or on) and the greater area, of convex counter-clockwise rings."""
+
+    def holds(a, b):
+        if abs(kernels.area(a)) <= abs(kernels.area(b)):
+            return False
+        return all(kernels._cross(p, q, x) >= 0 for x in b for p, q in zip(a, np.roll(a, -1, 0)))
+
+    rank = dict.fromkeys(rings, 0)
+    for _ in rings:
+        for a in rings:
+            for b in rings:
+                if a != b and holds(rings[a], rings[b]):
+                    rank[b] = max(rank[b], rank[a] + 1)
+    return rank
+
+
+def quantile(v, f):
+    return sorted(v)[max(math.ceil(f * len(v)) - 1, 0)]
+
+
+def test_containment_of_polygons_of_all_points(spark, tmp_path):
+    square = lambda k, m, at, n: [(n + i, at[0] + x * m, at[1] + y * m, k) for i, (x, y) in enumerate([(-1, -1), (1, -1), (1, 1), (-1, 1), (0, 0.1), (0.1, 0)])]
+    points = square(1, 8.0, (0, 0), 1) + square(2, 4.0, (1, 0), 11) + square(3, 1.0, (0.5, 0.5), 21)
+    points += [(31, -3.0, -3.0, 4), (32, 3.0, -3.0, 4), (33, -3.0, 3.0, 4), (41, 2.0, 2.0, 5), (42, 2.5, 2.0, 5), (43, 2.0, 2.6, 5)]  # 5: in the box of 4, not in 4
+    placed(spark, tmp_path, points)
+    rings = {}
+    for k in {p[3] for p in points}:
+        own = np.array([p[1:3] for p in points if p[3] == k])
+        rings[k] = kernels.convex_hull(own)
+        (x1, x2), (y1, y2) = ([quantile(own[:, c], f) for f in (0.2, 0.8)] for c in (0, 1))
+        rings[k + 100] = np.array([(x1, y1), (x2, y1), (x2, y2), (x1, y2)])
+    want = depths(rings)
+    assert max(want.values()) >= 3
+    assert {r["box"]: r["rank"] for r in registry.QUERIES["containment_ranks"](spark, str(tmp_path)).collect()} == want
