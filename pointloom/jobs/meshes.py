@@ -28,14 +28,23 @@ def _nation_sql(rounds: int) -> str:
 
 @reg.query(_nation_sql(3))
 def all_pairs_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Least distances between nations over eight edges at most: the distance table times itself, least for plus."""
-    s, c = fixtures.table(spark, sf_dir, "supplier"), fixtures.table(spark, sf_dir, "customer")
-    e = s.join(c, s["s_suppkey"] == c["c_custkey"] % 97).groupBy(F.col("s_nationkey").alias("a"), F.col("c_nationkey").alias("b")).agg(F.min(F.abs(F.col("s_acctbal") - F.col("c_acctbal"))).alias("d"))
-    own = e.select("a").unionByName(e.select(F.col("b").alias("a"))).distinct().select("a", F.col("a").alias("b"), F.lit(0.0).alias("d"))
+    """Least distances between nations, from suppliers' to those of the customers they deliver to, over any number of
+    edges: the distance table times itself, least for plus, until it no longer changes. A customer without an order
+    gives its nation only."""
+    s, c, o, li = (fixtures.table(spark, sf_dir, t) for t in ("supplier", "customer", "orders", "lineitem"))
+    trade = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("l_suppkey", "o_custkey").distinct()
+    e = trade.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("s_nationkey").alias("a"), F.col("c_nationkey").alias("b")).agg(F.min(F.abs(F.col("s_acctbal") - F.col("c_acctbal"))).alias("d"))
+    own = s.select(F.col("s_nationkey").alias("a")).unionByName(c.select(F.col("c_nationkey").alias("a"))).where("a IS NOT NULL").distinct().select("a", F.col("a").alias("b"), F.lit(0.0).alias("d"))
     d = written(e.unionByName(own).groupBy("a", "b").agg(F.min("d").alias("d")), "paths")
-    for _ in range(3):
+    for _ in range(own.count() + 1):
         q = d.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("d").alias("d2"))
-        d = written(d.join(q, "b").groupBy("a", F.col("c").alias("b2")).agg(F.min(F.col("d") + F.col("d2")).alias("d")).withColumnRenamed("b2", "b"), "paths")
+        new = written(d.join(q, "b").groupBy("a", F.col("c").alias("b2")).agg(F.min(F.col("d") + F.col("d2")).alias("d")).withColumnRenamed("b2", "b"), "paths")
+        same = new.join(d, ["a", "b", "d"], "left_anti").isEmpty()
+        d = new
+        if same:
+            break
+    else:
+        raise RuntimeError("the paths did not settle")
     return d.select("a", "b", r("d", 4).alias("d"))
 
 

@@ -87,3 +87,22 @@ def test_containment_of_polygons_of_all_points(spark, tmp_path):
     want = depths(rings)
     assert max(want.values()) >= 3
     assert {r["box"]: r["rank"] for r in registry.QUERIES["containment_ranks"](spark, str(tmp_path)).collect()} == want
+
+
+def test_all_pairs_of_all_suppliers(spark, tmp_path):
+    n = 20  # a chain of nations: paths of up to 19 edges, and suppliers over 96
+    stored(spark, tmp_path, "supplier", [(90 + i, i, float(i * i % 7)) for i in range(n)], "s_suppkey long, s_nationkey int, s_acctbal double")
+    stored(spark, tmp_path, "customer", [(i + 1, i, float(i % 5)) for i in range(n)], "c_custkey long, c_nationkey int, c_acctbal double")
+    links = [(i, i + 1) for i in range(n - 1)] + [(5, 2), (0, 0)]
+    stored(spark, tmp_path, "orders", [(k, b + 1) for k, (_, b) in enumerate(links)], "o_orderkey long, o_custkey long")
+    stored(spark, tmp_path, "lineitem", [(k, 90 + a) for k, (a, _) in enumerate(links)], "l_orderkey long, l_suppkey long")
+    d = {(a, a): 0.0 for a in range(n)}
+    for a, b in links:
+        d[a, b] = min(d.get((a, b), math.inf), abs(a * a % 7 - b % 5))
+    for k in range(n):
+        for a in range(n):
+            for b in range(n):
+                if (a, k) in d and (k, b) in d:
+                    d[a, b] = min(d.get((a, b), math.inf), d[a, k] + d[k, b])
+    assert (0, n - 1) in d
+    assert {(r["a"], r["b"]): r["d"] for r in registry.QUERIES["all_pairs_paths"](spark, str(tmp_path)).collect()} == d
