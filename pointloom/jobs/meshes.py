@@ -131,7 +131,7 @@ def _contained(rings: DataFrame) -> DataFrame:
 @reg.query()
 def convexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each label's mesh: area that is left when boundary triangles with a side over a length have gone, round by
-    round, as a share of all. Each round is one join of faces with the edges that have one face."""
+    round until none goes, as a share of all. Each round is one join of faces with the edges that have one face."""
     p = fixtures.points(spark, sf_dir)
     t = kernels.triangulated(p)
     for c in ("a", "b", "c"):
@@ -142,13 +142,16 @@ def convexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     faces = written(t.select("label", "a", "b", "c", g.triangle_area(*xy).alias("area"), sides.alias("sides")), "faces")
     whole = faces.groupBy("label").agg(F.sum("area").alias("whole"))
     live = faces
-    for _ in range(8):
+    n = faces.count()
+    for _ in range(n + 1):  # each round but the last takes a face
         e = live.select("label", "a", "b", "c", F.explode("sides").alias("s")).groupBy("label", "s.u", "s.v").agg(F.count("*").alias("n"), F.first("s.d").alias("d"), F.first(F.struct("a", "b", "c")).alias("f"))
         gone = e.where("n = 1 AND d > 0.1").select("label", "f.a", "f.b", "f.c").distinct()
         rest = written(live.join(gone, ["label", "a", "b", "c"], "left_anti"), "faces")
-        if rest.count() == live.count():
+        before, n, live = n, rest.count(), rest
+        if n == before:
             break
-        live = rest
+    else:
+        raise RuntimeError("the mesh did not settle")
     left = live.groupBy("label").agg(F.sum("area").alias("kept"))
     return whole.join(left, "label", "left").select("label", r(F.try_divide(F.coalesce("kept", F.lit(0.0)), F.col("whole"))).alias("convexity"))
 

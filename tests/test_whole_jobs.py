@@ -106,3 +106,26 @@ def test_all_pairs_of_all_suppliers(spark, tmp_path):
                     d[a, b] = min(d.get((a, b), math.inf), d[a, k] + d[k, b])
     assert (0, n - 1) in d
     assert {(r["a"], r["b"]): r["d"] for r in registry.QUERIES["all_pairs_paths"](spark, str(tmp_path)).collect()} == d
+
+
+def test_peeling_goes_on_to_the_end(spark, sf):
+    from collections import Counter
+
+    xy = {r["id"]: (r["x"], r["y"]) for r in fixtures.points(spark, sf).collect()}
+    live, rounds = {}, {}
+    for r in kernels.triangulated(fixtures.points(spark, sf)).collect():
+        live.setdefault(r["label"], set()).add((r["a"], r["b"], r["c"]))
+    sides = lambda t: ((t[0], t[1]), (t[1], t[2]), (t[0], t[2]))
+    size = lambda ts: sum(abs(kernels.area(np.array([xy[i] for i in t]))) for t in ts)
+    want = {}
+    for k, ts in live.items():
+        whole, rounds[k] = size(ts), 0
+        while True:
+            faces = Counter(s for t in ts for s in sides(t))
+            gone = {t for t in ts if any(faces[s] == 1 and math.dist(xy[s[0]], xy[s[1]]) > 0.1 for s in sides(t))}
+            if not gone:
+                break
+            ts, rounds[k] = ts - gone, rounds[k] + 1
+        want[k] = size(ts) / whole
+    assert max(rounds.values()) > 8
+    assert {r["label"]: r["convexity"] for r in registry.QUERIES["convexity"](spark, sf).collect()} == pytest.approx(want, abs=1e-5)
