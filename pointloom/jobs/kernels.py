@@ -61,9 +61,17 @@ def polygon_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @reg.query()
 def hull_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Area that the hulls of neighbouring labels share."""
+    """Area that the hulls of any two labels share, where they do. Hulls meet in the grid cells of their boxes; the cell
+    of the lower corner of what two boxes share has the pair."""
     h = kernels.hulls(fixtures.points(spark, sf_dir)).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "x", "y"))).alias("ring"))  # a hull's vertices
-    pairs = h.join(h.select((F.col("label") - 1).alias("label"), F.col("label").alias("other"), F.col("ring").alias("ring2")), "label")
+    bounds = [F.expr(f"array_{f}(transform(ring, v -> v.{c}))").alias(f"{c}{k}") for c in "xy" for f, k in (("min", 1), ("max", 2))]
+    cell = lambda c: F.floor(c * 4)
+    span = lambda c: F.explode(F.sequence(cell(F.col(f"{c}1")), cell(F.col(f"{c}2"))))
+    box = h.select("label", *bounds).withColumn("i", span("x")).withColumn("j", span("y"))
+    two = box.select(F.col("label").alias("other"), *[F.col(c).alias(f"o{c}") for c in ("x1", "x2", "y1", "y2")], "i", "j")
+    near = box.join(two, ["i", "j"]).where("label < other AND x1 <= ox2 AND ox1 <= x2 AND y1 <= oy2 AND oy1 <= y2")
+    near = near.where((F.col("i") == cell(F.greatest("x1", "ox1"))) & (F.col("j") == cell(F.greatest("y1", "oy1")))).select("label", "other")
+    pairs = near.join(h, "label").join(h.select(F.col("label").alias("other"), F.col("ring").alias("ring2")), "other")
 
     def run(batches):
         for b in batches:
@@ -73,7 +81,7 @@ def hull_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
                 rows.append((label, other, kernels.area(kernels.clip_convex(p, q)), kernels.area(p), kernels.area(q)))
             yield pd.DataFrame(rows, columns=["a", "b", "shared", "area_a", "area_b"])
 
-    return pairs.mapInPandas(run, "a int, b int, shared double, area_a double, area_b double").select("a", "b", *[r(c).alias(c) for c in ("shared", "area_a", "area_b")])
+    return pairs.mapInPandas(run, "a int, b int, shared double, area_a double, area_b double").where("shared > 0").select("a", "b", *[r(c).alias(c) for c in ("shared", "area_a", "area_b")])
 
 
 def _pairs_of_contours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,3 +129,20 @@ def test_peeling_goes_on_to_the_end(spark, sf):
         want[k] = size(ts) / whole
     assert max(rounds.values()) > 8
     assert {r["label"]: r["convexity"] for r in registry.QUERIES["convexity"](spark, sf).collect()} == pytest.approx(want, abs=1e-5)
+
+
+def test_overlaps_of_all_hulls(spark, sf, tmp_path):
+    import itertools
+
+    r = np.random.default_rng(9)
+    apart = [(n, float(x), float(y), k) for n, (k, x, y) in enumerate((k, *(at + s)) for k, at in enumerate([(0, 0), (9, 9), (0.4, 0.3), (9.2, 9), (-5, 0)]) for s in r.random((12, 2)))]
+    placed(spark, tmp_path, apart)
+    for at in (sf, str(tmp_path)):
+        own = {}
+        for q in fixtures.points(spark, at).collect():
+            own.setdefault(q["label"], []).append((q["x"], q["y"]))
+        hull = {k: kernels.convex_hull(np.array(p)) for k, p in own.items()}
+        want = {(a, b): kernels.area(kernels.clip_convex(hull[a], hull[b])) for a, b in itertools.combinations(sorted(hull), 2)}
+        got = registry.QUERIES["hull_overlaps"](spark, at).collect()
+        assert len({(q["a"], q["b"]) for q in got}) == len(got)
+        assert {(q["a"], q["b"]): q["shared"] for q in got} == pytest.approx({k: v for k, v in want.items() if v > 0}, abs=1e-6)
