@@ -1,7 +1,8 @@
 """Small geometry kernels for one group at a time, and their grouped forms.
 
 Spark deals the groups (a polygon, a contour pair, a cost matrix) to tasks; a kernel sees one group's arrays and
-nothing else. Groups here are bounded objects: a polygon's vertices, a matrix's cells.
+nothing else. A group has to fit a task: a polygon's vertices, a matrix's cells, and for triangulated() all points of
+a label, which grow with the table (see the README).
 """
 
 from __future__ import annotations
