@@ -55,9 +55,9 @@ def visual_angle(x1, y1, x2, y2, x0, y0) -> Column:
 
 
 def signed_visual_angle(x1, y1, x2, y2, x0, y0) -> Column:
-    """Negative where the turn about (x0, y0) is counter-clockwise."""
+    """Negative where (x2, y2) lies counter-clockwise of (x1, y1) as seen from (x0, y0)."""
     a = visual_angle(x1, y1, x2, y2, x0, y0)
-    return F.when(turn(x1, y1, x0, y0, x2, y2) >= 0, a).otherwise(-a)
+    return F.when(turn(x0, y0, x1, y1, x2, y2) >= 0, a).otherwise(-a)
 
 
 def triangle_area(x1, y1, x2, y2, x3, y3) -> Column:

@@ -19,14 +19,17 @@ reg = Registry()
 
 
 def _nation_sql(rounds: int) -> str:
-    sql = """WITH e AS (SELECT s_nationkey AS a, c_nationkey AS b, min(abs(s_acctbal - c_acctbal)) AS d FROM supplier JOIN customer ON s_suppkey = c_custkey % 97 GROUP BY ALL),
- d0 AS (SELECT a, b, min(d) AS d FROM (SELECT * FROM e UNION ALL SELECT a, a, 0 FROM e UNION ALL SELECT b, b, 0 FROM e) GROUP BY a, b)"""
+    """As many squarings as paths between 25 nations can need."""
+    sql = """WITH t AS (SELECT DISTINCT l_suppkey, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+ e AS (SELECT s_nationkey AS a, c_nationkey AS b, min(abs(s_acctbal - c_acctbal)) AS d FROM t JOIN supplier ON l_suppkey = s_suppkey JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+ n AS (SELECT s_nationkey AS a FROM supplier UNION SELECT c_nationkey FROM customer),
+ d0 AS MATERIALIZED (SELECT a, b, min(d) AS d FROM (SELECT * FROM e UNION ALL SELECT a, a, 0 FROM n WHERE a IS NOT NULL) GROUP BY a, b)"""
     for i in range(rounds):
-        sql += f", d{i + 1} AS (SELECT p.a, q.b, min(p.d + q.d) AS d FROM d{i} p JOIN d{i} q ON p.b = q.a GROUP BY p.a, q.b)"
+        sql += f", d{i + 1} AS MATERIALIZED (SELECT p.a, q.b, min(p.d + q.d) AS d FROM d{i} p JOIN d{i} q ON p.b = q.a GROUP BY p.a, q.b)"
     return sql + f" SELECT a, b, {rs('d', 4)} AS d FROM d{rounds}"
 
 
-@reg.query(_nation_sql(3))
+@reg.query(_nation_sql(5))
 def all_pairs_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Least distances between nations, from suppliers' to those of the customers they deliver to, over any number of
     edges: the distance table times itself, least for plus, until it no longer changes. A customer without an order
@@ -91,9 +94,13 @@ def elastica_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("polygon_id").agg(r(F.sum(g.distance(x0, y0, x, y) + g.distance(x, y, x2, y2) + 10 * bend), 4).alias("energy"))
 
 
-@reg.query(f"""{with_sql('points', recursive=True)}, b AS (SELECT label, min(x) AS x1, max(x) AS x2, min(y) AS y1, max(y) AS y2 FROM points WHERE id % 3 = 0 GROUP BY label UNION ALL
- SELECT label + 100, quantile_disc(x, 0.2), quantile_disc(x, 0.8), quantile_disc(y, 0.2), quantile_disc(y, 0.8) FROM points GROUP BY label),
-c AS (SELECT p.label AS outer_, q.label AS inner_ FROM b p JOIN b q ON p.label <> q.label AND p.x1 < q.x1 AND p.x2 > q.x2 AND p.y1 < q.y1 AND p.y2 > q.y2),
+@reg.query(f"""{with_sql('points', recursive=True)}, q AS (SELECT label + 100 AS label, quantile_disc(x, 0.2) AS x1, quantile_disc(x, 0.8) AS x2, quantile_disc(y, 0.2) AS y1, quantile_disc(y, 0.8) AS y2 FROM points GROUP BY label),
+hull AS (SELECT p.label, p.x, p.y, o.x AS x2, o.y AS y2 FROM points p JOIN points o ON p.label = o.label AND p.id <> o.id
+ WHERE NOT EXISTS (SELECT 1 FROM points r WHERE r.label = p.label AND (o.x-p.x)*(r.y-p.y)-(o.y-p.y)*(r.x-p.x) < 0)),
+s AS MATERIALIZED (SELECT * FROM hull UNION ALL SELECT label, x1, y1, x2, y1 FROM q UNION ALL SELECT label, x2, y1, x2, y2 FROM q UNION ALL SELECT label, x2, y2, x1, y2 FROM q UNION ALL SELECT label, x1, y2, x1, y1 FROM q),
+b AS (SELECT label, sum(x*y2-x2*y)/2 AS area FROM s GROUP BY label),
+c AS MATERIALIZED (SELECT p.label AS outer_, q.label AS inner_ FROM b p JOIN b q ON p.area > q.area
+ WHERE NOT EXISTS (SELECT 1 FROM s e JOIN s v ON e.label = p.label AND v.label = q.label AND (e.x2-e.x)*(v.y-e.y)-(e.y2-e.y)*(v.x-e.x) < 0)),
 t AS (SELECT inner_ AS box, 1 AS rank FROM c UNION SELECT c.inner_, t.rank + 1 FROM t JOIN c ON c.outer_ = t.box)
 SELECT b.label AS box, CAST(coalesce(max(t.rank), 0) AS BIGINT) AS rank FROM b LEFT JOIN t ON t.box = b.label GROUP BY b.label""")
 def containment_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,7 +54,7 @@ def step_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     (x1-x0)*(y2-y0)-(y1-y0)*(x2-x0) AS cr FROM t WHERE x2 IS NOT NULL),
 b AS (SELECT *, CASE WHEN sqrt(aa) < 1e-8 OR sqrt(bb) < 1e-8 THEN 0 ELSE acos(greatest(-1, least(1, (aa+bb-cc)/(2*sqrt(aa)*sqrt(bb))))) END AS ang FROM a)
 SELECT contour_id, CAST(pos AS BIGINT) AS pos, {rs('ang', 4)} AS angle,
-  {rs('CASE WHEN cr <= 1e-6 THEN ang ELSE -ang END', 4)} AS signed_angle,
+  {rs('CASE WHEN (x0-x1)*(y2-y1)-(y0-y1)*(x2-x1) <= 1e-6 THEN ang ELSE -ang END', 4)} AS signed_angle,
   {rs('CASE WHEN t0 < 0 THEN sqrt((x0-x1)*(x0-x1)+(y0-y1)*(y0-y1)) WHEN t0 > 1 THEN sqrt((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)) ELSE abs(cr)/sqrt(cc) END')} AS segment_distance
 FROM (SELECT *, ((x1-x0)*(x2-x0)+(y1-y0)*(y2-y0))/cc AS t0 FROM b)""")
 def visual_angles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -235,3 +235,14 @@ def test_grouped_hulls_equal_whole_hulls(spark, sf):
     for label, own in p.toPandas().groupby("label"):
         want = kernels.convex_hull(own[["x", "y"]].to_numpy())
         assert np.allclose(got[got.label == label].sort_values("pos")[["x", "y"]].to_numpy(), want)
+
+
+def test_sign_of_the_visual_angle(spark):
+    """Hand-worked: from (0, 0), (0, 1) lies counter-clockwise of (1, 0), and (0, -1) clockwise of it."""
+    from pointloom.functions import geometry as g
+
+    rows = [(1.0, 0.0, 0.0, 1.0, -math.pi / 2), (1.0, 0.0, 0.0, -1.0, math.pi / 2), (1.0, 0.0, -2.0, 0.0, math.pi), (1.0, 0.0, 3.0, 0.0, 0.0)]
+    d = spark.createDataFrame(rows, "x1 double, y1 double, x2 double, y2 double, want double")
+    c = [F.col(n) for n in ("x1", "y1", "x2", "y2")]
+    for r in d.select("want", g.signed_visual_angle(*c, F.lit(0.0), F.lit(0.0)).alias("got")).collect():
+        assert abs(r["got"] - r["want"]) < 1e-6
