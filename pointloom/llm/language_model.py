@@ -1,23 +1,31 @@
 """LM scoring with an Elias-Fano n-gram trie.
 
-Words are counted first: blocks of texts deal their distinct words to hash ranges, which sum them, number them (the
-frequent ones get small numbers) and send numbers and counts back. Then every position of every text (a word with the
-two before it) goes to the shard of the word before it, training or not. A shard builds its part of the model from its
-training positions and scores all its positions; sums by document meet at the end.
+Texts are read once, in blocks, and every later step takes a block's tokens from a written table, so nothing depends
+on how files are split. Between steps, blocks and shards exchange rows of packed arrays, a row only where there is
+something to send, so the exchanges grow with the tokens.
+
+1. Blocks deal their distinct words to hash ranges, which sum them, number them (the frequent ones get small numbers)
+   and send numbers and counts back.
+2. Words counted HOT times or more are split over several shards as contexts. Blocks deal the distinct pairs of words
+   of which one is hot to ranges, and get their counts back.
+3. Blocks send their distinct triples (a word with the two before it, and how often training texts have it) to the
+   shard of the middle word. A hot middle word is split by the word before it, and where that pair is hot, too, by the
+   word after it; such triples carry the counts of the pairs, so the split changes no result.
+4. A shard builds its trie from the triples of training texts, scores all distinct triples once, and sends each block
+   the scores of its own; the block sums them by document.
 
 A shard's trie has a level of contexts v; below each, its successors w, and the words u that stand before v; below
 each (u, v), its successors, numbered relative to those of v. All levels are Elias-Fano sequences with monotone
-pointers, and log-probabilities are quantised to BITS bits; they lie in a memory-mapped file, and a query searches
-the successor of a number inside its context's range. A frequent v is split over several shards by u; each of them
-gets the counts of v's successors, summed by block, so the split changes no result.
+pointers, and log-probabilities are quantised to BITS bits; they lie in a memory-mapped file without a name, which a
+task that is run again builds anew, and a query searches the successor of a number inside its context's range.
 
 Probabilities are interpolated: P(w) = (c + 0.5) / (N + 0.5 (V + 1)), one unknown word taking the rest;
 P(w | v) = L2 c(vw) / c(v) + (1 - L2) P(w); P(w | u, v) = L3 c(uvw) / c(uv) + (1 - L3) P(w | v), each where its
 context was seen. A text begins with two begin marks and ends with an end token, which counts as a token.
 
-Null and empty texts are the end token alone; a null doc_id is carried (its fold is that of the empty text); repeated
-rows are learned from and scored as often as they come; an empty table gives no rows; only doc_id and text are read.
-The input has to give the same partitions when it is read again, as tables in files do.
+Null and empty texts are the end token alone; a text longer than BLOCK_BYTES is a block of its own and is scored whole;
+a null doc_id is carried (its fold is that of the empty text); repeated rows are learned from and scored as often as
+they come; an empty table gives no rows; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -33,13 +41,18 @@ from .elias_fano import Sequence, elias_fano, grouped, mapped, ordered, pack_bit
 
 FOLDS, HELD_OUT = 5, 1
 L2, L3 = 0.15, 0.35
-BITS = 12
+BITS = 13
 BLOCK_BYTES = 5 << 20
-#: Bytes of text for each hash range and each shard of positions; count from which a context is split.
+#: Bytes of text for each hash range and each shard of triples; count from which a context is split.
 RANGE_BYTES, SHARD_BYTES, HOT = 12 << 20, 6 << 20, 1_000_000
 #: The end token's hash input; no word holds white space.
 _END = b"\n"
-_STEPS = 4096  # of a unit of log10, in what goes to the shards
+_STEPS = 4096  # of a unit of log10, in what goes between blocks and shards
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+
+#: What blocks and ranges or shards send each other. A block's own row passes a range or shard step unchanged; its
+#: dest is negative.
+_SENT = "dest long, block long, own boolean, data binary"
 
 
 def squeeze(x: np.ndarray, kind: str) -> bytes:
@@ -57,146 +70,249 @@ def unsqueeze(b: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-class _Block:
-    """Tokens of a block's texts as indices into its distinct words (in order of their hashes)."""
+def bundled(*columns: tuple[np.ndarray, str]) -> bytes:
+    """Some columns as one value; of a column of zeros only the length is kept."""
+    parts = [squeeze(x, kind) if x.any() else b"" for x, kind in columns]
+    sizes = np.array([[len(x), len(p)] for (x, _), p in zip(columns, parts)], "<u4")
+    return sizes.tobytes() + b"".join(parts)
 
-    def __init__(self, batch: pa.RecordBatch):
-        import xxhash
 
-        w = Words(batch.column("text").to_pylist())
-        n = len(w.n)
-        # each text's words, then the end
-        tokens = np.empty(len(w.hash) + n, np.uint64)
-        ends = w.first[1:] + np.arange(n)
-        inner = np.ones(len(tokens), bool)
-        inner[ends] = False
-        tokens[inner], tokens[ends] = w.hash, xxhash.xxh64_intdigest(_END)
-        self.sizes = w.n + 1
-        self.train = batch.column("train").to_numpy(zero_copy_only=False)
-        self.hashes, self.index = np.unique(tokens, return_inverse=True)
-        self.counts = np.bincount(self.index[np.repeat(self.train, self.sizes)], minlength=len(self.hashes))
+def unbundled(data: bytes, *kinds: str) -> list[np.ndarray]:
+    out, at = [], 8 * len(kinds)
+    for (n, size), kind in zip(np.frombuffer(data, "<u4", 2 * len(kinds)).reshape(-1, 2).tolist(), kinds):
+        out.append(unsqueeze(data[at : at + size], kind) if size else np.zeros(n, kind))
+        at += size
+    return out
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    cols = list(zip(*rows)) or [()] * 4
+    return pa.table({n: pa.array(c, k) for n, c, k in zip(("dest", "block", "own", "data"), cols, (pa.int64(), pa.int64(), pa.bool_(), pa.binary()))})
+
 
+def _sliced(dest: np.ndarray) -> list[tuple[int, int, int]]:
+    """Of sorted destinations: each one, and where its rows begin and end."""
+    at = np.flatnonzero(np.append(True, dest[1:] != dest[:-1])) if len(dest) else np.zeros(0, np.int64)
+    return list(zip(dest[at].tolist(), at.tolist(), np.append(at[1:], len(dest)).tolist()))
 
-def _range_cuts(h: np.ndarray, ranges: int) -> np.ndarray:
-    return np.searchsorted(((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32), np.arange(ranges + 1))
 
+def _starts_of(*sorted_columns: np.ndarray) -> np.ndarray:
+    """Where a new value begins in columns that are sorted together."""
+    if not len(sorted_columns[0]):
+        return np.zeros(0, np.int64)
+    new = np.zeros(len(sorted_columns[0]), bool)
+    new[0] = True
+    for c in sorted_columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
 
-def _blocks(batches):
-    starts("language_model")
-    part = TaskContext.get().partitionId()
-    for k, b in enumerate(slices(batches, BLOCK_BYTES)):
-        yield (part << 20) + k, b
 
+_OWN = ("<u4", "<u4", "<u1", "<i8", "<u1")  # tokens (words of the block by number), sizes, train, doc ids, null ids
 
-def _dealt_words(ranges: int):
+
+def _dealt_words(ranges: int, block_bytes: int):
     def run(batches):
-        for number, b in _blocks(batches):
-            x = _Block(b)
-            cuts = _range_cuts(x.hashes, ranges)
+        import xxhash
+
+        starts("language_model")
+        part = TaskContext.get().partitionId()
+        for k, b in enumerate(slices(batches, block_bytes)):
+            number = (part << 20) + k
+            w = Words(b.column("text").to_pylist())
+            n = len(w.n)
+            # each text's words, then the end
+            tokens = np.empty(len(w.hash) + n, np.uint64)
+            ends = w.first[1:] + np.arange(n)
+            inner = np.ones(len(tokens), bool)
+            inner[ends] = False
+            tokens[inner], tokens[ends] = w.hash, xxhash.xxh64_intdigest(_END)
+            sizes, train = w.n + 1, b.column("train").to_numpy(zero_copy_only=False)
+            del w
+            hashes, index = np.unique(tokens, return_inverse=True)
+            counts = np.bincount(index[np.repeat(train, sizes)], minlength=len(hashes))
+            ids = b.column("doc_id")
+            own = bundled(*zip((index, sizes, train, ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False)), _OWN))
+            dest = (((hashes >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
+            rows = [(-1 - number, number, True, own)]
+            for r, a, z in _sliced(dest):
+                blob = pack_sorted(hashes[a:z])
+                rows.append((r, number, False, len(blob).to_bytes(4, "little") + blob + bundled((counts[a:z], "<u4"))))
+            yield from _table(rows).to_batches()
             trim()
-            rows = [(r, number, pack_sorted(x.hashes[a:z]), squeeze(x.counts[a:z], "<u4")) for r, (a, z) in enumerate(zip(cuts, cuts[1:])) if z > a]
-            cols = list(zip(*rows)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], ["range", "block", "hashes", "counts"])
 
     return run
 
 
-_UNI = "block long, range long, ids binary, counts binary, tokens long, words long"
-
-
 def _numbered(ranges: int):
     def run(table: pa.Table) -> pa.Table:
-        """Of one range: sums over the blocks; numbers and counts back to each; tokens and words of the range once."""
+        """Of one range: sums over the blocks; numbers and counts back to each; tokens and words of the range once
+        (block -1)."""
         trim()
-        r = table.column("range")[0].as_py()
-        blocks = table.column("block").to_pylist()
-        hashes = [unpack_sorted(x) for x in table.column("hashes").to_pylist()]
-        counts = np.concatenate([unsqueeze(x, "<u4") for x in table.column("counts").to_pylist()]).astype(np.int64)
+        if table.column("own")[0].as_py():
+            return table.append_column("tokens", pa.array([0] * len(table), pa.int64())).append_column("words", pa.array([0] * len(table), pa.int64()))
+        r = table.column("dest")[0].as_py()
+        blocks, hashes, counts = table.column("block").to_pylist(), [], []
+        for data in table.column("data").to_pylist():
+            size = int.from_bytes(data[:4], "little")
+            hashes.append(unpack_sorted(data[4 : 4 + size]))
+            counts.append(unbundled(data[4 + size :], "<u4")[0])
         cuts = np.cumsum([0, *(len(x) for x in hashes)])
-        h = np.concatenate(hashes)
+        h, counts = np.concatenate(hashes), np.concatenate(counts).astype(np.int64)
         order = np.argsort(h, kind="stable")
-        run_at = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
+        run_at = _starts_of(h[order])
         total = np.add.reduceat(counts[order], run_at)
         at = np.empty(len(h), np.int64)
         at[order] = np.repeat(np.arange(len(run_at)), np.diff(np.append(run_at, len(h))))
         number = np.empty(len(total), np.int64)
+        # by count, ties by hash: the same in every run
         number[np.argsort(-total, kind="stable")] = np.arange(len(total)) * ranges + r + 1
-        out = [(b, r, squeeze(number[at[a:z]], "<u8"), squeeze(total[at[a:z]], "<u8"), 0, 0) for b, a, z in zip(blocks, cuts, cuts[1:])]
-        out.append((-1, r, b"", b"", int(total.sum()), int((total > 0).sum())))
-        cols = list(zip(*out))
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
-        return pa.table({n: pa.array(c, k) for n, c, k in zip(("block", "range", "ids", "counts", "tokens", "words"), cols, kinds)})
+        rows = [(r, b, False, bundled((number[at[a:z]], "<u8"), (total[at[a:z]], "<u8"))) for b, a, z in zip(blocks, cuts, cuts[1:])]
+        rows.append((r, -1, False, b""))
+        out = _table(rows)
+        for name, x in (("tokens", int(total.sum())), ("words", int((total > 0).sum()))):
+            out = out.append_column(name, pa.array([0] * (len(rows) - 1) + [x], pa.int64()))
+        return out
 
     return run
 
 
-_STREAM = "block long, range long, ids binary, counts binary, docs binary, train binary"
+class _Block:
+    """A block's tokens: words have ranks in the order of their numbers, 0 is the begin mark."""
+
+    def __init__(self, table: pa.Table, n_docs: int, hot: int):
+        rows = table.to_pylist()
+        own = next(r for r in rows if r["own"])
+        back = [unbundled(r["data"], "<u8", "<u8") for r in sorted((r for r in rows if not r["own"] and r["dest"] >= 0), key=lambda r: r["dest"])]
+        index, sizes, self.train, self.docs, self.null = unbundled(own["data"], *_OWN)
+        self.number, self.sizes, self.hot = own["block"], sizes.astype(np.int64), hot
+        ids, counts = (np.concatenate([x[k] for x in back]) for k in (0, 1))
+        order = np.argsort(ids)
+        rank = np.empty(len(ids), np.int64)
+        rank[order] = np.arange(1, len(ids) + 1)
+        self.ids = np.append(np.uint64(0), ids[order])
+        self.count = np.append(np.int64(n_docs), counts[order].astype(np.int64))
+        self.w = rank[index]
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.v, self.u = np.zeros_like(self.w), np.zeros_like(self.w)
+        self.v[1:], self.u[2:] = self.w[:-1], self.w[:-2]
+        self.v[self.first] = self.u[self.first] = 0
+        self.u[(self.first + 1)[self.sizes > 1]] = 0
+        self.width = np.int64(len(self.ids))
+
+        self.pair_rows = [r for r in rows if not r["own"] and r["dest"] < 0]
+
+    def is_hot(self, x: np.ndarray) -> np.ndarray:
+        return self.count[x] >= self.hot
+
+    def hot_pairs(self) -> np.ndarray:
+        """Distinct pairs (v, w) of which one is hot, as v * width + w, in order."""
+        some = self.is_hot(self.v) | self.is_hot(self.w)
+        return np.unique(self.v[some] * self.width + self.w[some])
+
+    def split(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, n_docs: int, ranges: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
+        """Shards of triples with a hot v, and c(v), c(vw), c(uv) of each: by u, and by w where (u, v) is hot."""
+        pairs = self.hot_pairs()
+        order, _ = _pair_order(self, pairs, ranges)
+        count = np.empty(len(pairs), np.int64)
+        count[order] = np.concatenate([unbundled(r["data"], "<u8")[0] for r in sorted(self.pair_rows, key=lambda r: -r["dest"])])
+        c_v, c_vw = self.count[v], count[np.searchsorted(pairs, v * self.width + w)]
+        begins = v == 0
+        c_uv = np.full(len(v), n_docs, np.int64)
+        c_uv[~begins] = count[np.searchsorted(pairs, (u * self.width + v)[~begins])]
+        by_u = np.uint64(1) + mixed(self.ids[u] + np.uint64(77)) % (-(-c_v // self.hot)).astype(np.uint64)
+        place = _place(self.ids[v], by_u, shards)
+        pair = np.flatnonzero(c_uv >= self.hot)
+        by_w = mixed(self.ids[w[pair]] + np.uint64(78)) % (-(-c_uv[pair] // self.hot)).astype(np.uint64)
+        place[pair] = _place(mixed(self.ids[v[pair]] * _GOLDEN + self.ids[u[pair]]), by_w, shards)
+        return place, np.stack([c_v, c_vw, c_uv])
+
+
+def _place(a: np.ndarray, b: np.ndarray, places: int) -> np.ndarray:
+    return (mixed(a.astype(np.uint64) * _GOLDEN + b.astype(np.uint64)) % np.uint64(places)).astype(np.int64)
+
+
+def _pair_order(x: _Block, pairs: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """In what order pairs are sent, and to which ranges."""
+    dest = _place(x.ids[pairs // x.width], x.ids[pairs % x.width] + np.uint64(1), ranges)
+    order = np.argsort(dest, kind="stable")
+    return order, dest[order]
+
+
+def _pairs(n_docs: int, hot: int, ranges: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Of one block: its hot pairs and their counts in training texts, to the ranges."""
+        trim()
+        x = _Block(table, n_docs, hot)
+        pairs = x.hot_pairs()
+        key = x.v * x.width + x.w
+        key = key[(x.train[x.owner] > 0) & (x.is_hot(x.v) | x.is_hot(x.w))]
+        count = np.bincount(np.searchsorted(pairs, key), minlength=len(pairs))
+        order, dest = _pair_order(x, pairs, ranges)
+        pairs, count = pairs[order], count[order]
+        return _table([(d, x.number, False, bundled((x.ids[pairs[a:z] // x.width], "<u8"), (x.ids[pairs[a:z] % x.width], "<u8"), (count[a:z], "<u4"))) for d, a, z in _sliced(dest)])
 
+    return run
 
-def _streams(batches):
-    for number, b in _blocks(batches):
-        x = _Block(b)
-        ids = np.array([np.iinfo(np.int64).min if i is None else i for i in b.column("doc_id").to_pylist()], np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([number]), pa.array([-1], pa.int64()), *(pa.array([y], pa.binary()) for y in (squeeze(x.index, "<u4"), squeeze(x.sizes, "<u4"), ids.tobytes(), x.train.astype(np.uint8).tobytes()))],
-            ["block", "range", "ids", "counts", "docs", "train"],
-        )
 
+def _pair_sums(table: pa.Table) -> pa.Table:
+    """Of one range: each pair's count over all blocks, back to the blocks (dest -1 - range)."""
+    trim()
+    r, blocks = table.column("dest")[0].as_py(), table.column("block").to_pylist()
+    v, w, n = (np.concatenate(c) for c in zip(*(unbundled(x, "<u8", "<u8", "<u4") for x in table.column("data").to_pylist())))
+    cuts = np.cumsum([0, *(np.frombuffer(x[:4], "<u4")[0] for x in table.column("data").to_pylist())]).astype(np.int64)
+    order = ordered(v, w)
+    at = _starts_of(v[order], w[order])
+    total = np.empty(len(v), np.int64)
+    total[order] = np.repeat(np.add.reduceat(n[order].astype(np.int64), at), np.diff(np.append(at, len(v))))
+    return _table([(-1 - r, b, False, bundled((total[a:z], "<u8"))) for b, a, z in zip(blocks, cuts, cuts[1:])])
 
-_DEALT = ("shard", "block", "u", "v", "w", "p", "sizes", "train", "bv", "bw", "bc", "bp", "docs")
-_DEALT_SCHEMA = "shard long, block long, " + ", ".join(f"{c} binary" for c in _DEALT[2:])
 
+#: A triple's v (as a difference), u, w, count in training texts, -log10 P(w); of a split v, c(v), c(vw), c(uv).
+_TRIPLES = ("<u8", "<u8", "<u8", "<u4", "<u2", "<u8", "<u8", "<u8")
+_SCORED = ("<u4", "<u1", "<u4", "<u1", "<i8", "<u1", "<u4", "<f8")
 
-def _positions(n_tokens: int, n_words: int, n_docs: int, shards: int):
+
+def _triples(n_tokens: int, n_words: int, n_docs: int, hot: int, ranges: int, shards: int):
     def run(table: pa.Table) -> pa.Table:
-        """Of one block: its documents' base scores, and its positions dealt to the shards."""
+        """Of one block: its distinct triples to the shards; its own row: the documents of all positions in the order
+        in which their triples were sent, where a new triple begins, sizes, and what stands beside the score."""
         trim()
-        rows = sorted(table.to_pylist(), key=lambda r: r["range"])
-        own, number = rows[0], rows[0]["block"]
-        ids = np.concatenate([np.zeros(0, np.uint64), *(unsqueeze(r["ids"], "<u8") for r in rows[1:])]).astype(np.uint64)
-        count = np.concatenate([np.zeros(0, np.uint64), *(unsqueeze(r["counts"], "<u8") for r in rows[1:])]).astype(np.int64)
-        del rows
-        index, sizes = unsqueeze(own["ids"], "<u4"), unsqueeze(own["counts"], "<u4").astype(np.int64)
-        train = np.frombuffer(own["train"], np.uint8).astype(bool)
-        first = np.cumsum(sizes) - sizes
+        x = _Block(table, n_docs, hot)
         total = np.log10(n_tokens + 0.5 * (n_words + 1))
-        log_word = np.log10(count + 0.5)
-        base = np.add.reduceat(log_word[index], first) - sizes * total
-        known = np.add.reduceat((count > 0)[index].astype(np.int64), first)
-        w, c_w = ids[index], count[index]
-        p = np.rint((total - log_word) * _STEPS).clip(0, 65535).astype(np.uint16)[index]
-        v, c_v, u = np.empty_like(w), np.empty_like(c_w), np.empty_like(w)
-        v[1:], c_v[1:], u[2:] = w[:-1], c_w[:-1], w[:-2]
-        v[first], c_v[first], u[first] = 0, n_docs, 0
-        u[(first + 1)[sizes > 1]] = 0
-        parts = np.maximum(1, -(-c_v // HOT)).astype(np.uint64)
-        place = lambda v, part: (mixed(v * np.uint64(0x9E3779B97F4A7C15) + part + np.uint64(1)) % np.uint64(shards)).astype(np.int64)
-        shard = place(v, mixed(u + np.uint64(77)) % parts)
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        order = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-        # successors of the split contexts, summed over the block, for all their shards
-        extra: dict[int, list] = {}
-        hot = np.flatnonzero((parts > 1) & train[owner])
-        if len(hot):
-            some = hot[np.lexsort((w[hot], v[hot]))]
-            at = np.flatnonzero(np.append(True, (v[some][1:] != v[some][:-1]) | (w[some][1:] != w[some][:-1])))
-            n = np.diff(np.append(at, len(some)))
-            some = some[at]
-            for k in np.unique(v[some]):
-                mine = v[some] == k
-                x = (v[some][mine], w[some][mine], n[mine], p[some][mine])
-                for s in {int(place(np.array([k]), np.array([j], np.uint64))[0]) for j in range(int(parts[some][mine][0]))}:
-                    extra.setdefault(s, []).append(x)
-        out = [(-1 - number, number, b"", b"", b"", b"", sizes.tobytes(), own["train"], known.tobytes(), base.tobytes(), b"", b"", own["docs"])]
-        kinds = ("<u8", "<u8", "<u4", "<u2")
-        for s in range(shards):
-            i = order[cuts[s] : cuts[s + 1]]
-            if len(i) or s in extra:
-                more = [squeeze(np.concatenate(y), k) for y, k in zip(zip(*extra[s]), kinds)] if s in extra else [b""] * 4
-                out.append((s, number, squeeze(u[i], "<u8"), squeeze(v[i], "<u8"), squeeze(w[i], "<u8"), squeeze(p[i], "<u2"), squeeze(np.bincount(owner[i], minlength=len(sizes)), "<u4"), own["train"], *more, b""))
-        cols = list(zip(*out))
-        return pa.table({n: pa.array(c, pa.int64() if n in ("shard", "block") else pa.binary()) for n, c in zip(_DEALT, cols)})
+        log_word = np.log10(x.count + 0.5)
+        base = np.add.reduceat(log_word[x.w], x.first) - x.sizes * total
+        known = np.add.reduceat((x.count > 0)[x.w].astype(np.int64), x.first)
+        # positions by v, u, w
+        context = np.unique(x.v * x.width + x.u, return_inverse=True)[1]
+        key = context * x.width + x.w
+        order = np.argsort(key)
+        at = _starts_of(key[order])
+        entry = np.empty(len(key), np.int64)
+        entry[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(key))))
+        u, v, w = (y[order[at]] for y in (x.u, x.v, x.w))
+        n = np.bincount(entry[x.train[x.owner] > 0], minlength=len(at))
+        counts = np.zeros((3, len(at)), np.int64)
+        dest = _place(x.ids[v], np.zeros(len(v), np.uint64), shards)
+        split = np.flatnonzero(x.is_hot(v))
+        if len(split):
+            dest[split], counts[:, split] = x.split(u[split], v[split], w[split], n_docs, ranges, shards)
+        p = np.rint((total - log_word) * _STEPS).clip(0, 65535)[w]
+        by = np.argsort(dest, kind="stable")
+        dest = dest[by]
+        columns = [y[by] for y in (x.ids[v], x.ids[u], x.ids[w], n, p, *counts)]
+        rows = []
+        for d, a, z in _sliced(dest):
+            part = [y[a:z] for y in columns]
+            part[0] = np.diff(part[0], prepend=np.uint64(0))  # v rises inside a shard, but where hot ones are split
+            rows.append((d, x.number, False, bundled(*zip(part, _TRIPLES))))
+        sent = np.empty(len(by), np.int64)
+        sent[by] = np.arange(len(by))
+        entry = sent[entry]
+        order = np.argsort(entry, kind="stable")
+        begins = np.append(True, np.diff(entry[order]) > 0)
+        rows.append((-1 - x.number, x.number, True, bundled(*zip((x.owner[order], begins, x.sizes, x.train, x.docs, x.null, known, base), _SCORED))))
+        return _table(rows)
 
     return run
 
@@ -212,41 +328,45 @@ class Trie:
         self.scale = levels["scale"]
 
     @staticmethod
-    def levels(u: np.ndarray, v: np.ndarray, w: np.ndarray, p: np.ndarray, bv: np.ndarray, bw: np.ndarray, bc: np.ndarray, bp: np.ndarray) -> dict[str, np.ndarray]:
-        """From training positions (p: log10 P(w)) and, for split contexts, the counts of all their successors."""
-        own = ~np.isin(v, np.unique(bv)) if len(bv) else np.ones(len(v), bool)
-        v2, w2 = np.concatenate([v[own], bv]), np.concatenate([w[own], bw])
-        c2, p2 = np.concatenate([np.ones(int(own.sum()), np.int64), bc]), np.concatenate([p[own], bp])
-        order = ordered(v2, w2)
-        v2, w2, c2, p2 = v2[order], w2[order], c2[order], p2[order]
-        at = np.flatnonzero(np.append(True, (v2[1:] != v2[:-1]) | (w2[1:] != w2[:-1]))) if len(v2) else np.zeros(0, np.int64)
-        c2 = np.add.reduceat(c2, at) if len(at) else c2
-        v2, w2, p2 = v2[at], w2[at], p2[at]
-        first = np.flatnonzero(np.append(True, v2[1:] != v2[:-1])) if len(v2) else np.zeros(0, np.int64)
-        size = np.diff(np.append(first, len(v2)))
-        c_v = np.repeat(np.add.reduceat(c2, first) if len(first) else c2, size)
-        prob2 = L2 * c2 / c_v + (1 - L2) * 10.0**p2
-        contexts, flat = v2[first], grouped(w2, first)
-        # triples
-        k = np.searchsorted(contexts, v)
-        g = np.searchsorted(flat, w.astype(np.int64) + (flat[first] - w2[first].astype(np.int64))[k]) if len(v) else np.zeros(0, np.int64)
-        rank = g - first[k] if len(v) else g
-        order = ordered(k, u, rank)
-        k, u, rank, g = k[order], u[order], rank[order], g[order]
-        new_u = np.append(True, (k[1:] != k[:-1]) | (u[1:] != u[:-1])) if len(k) else np.zeros(0, bool)
-        at_u = np.flatnonzero(new_u)
-        at_w = np.flatnonzero(new_u | np.append(True, rank[1:] != rank[:-1])) if len(k) else at_u
-        c_u = np.diff(np.append(at_u, len(k)))
-        c3 = np.diff(np.append(at_w, len(k)))
-        of_u = np.searchsorted(at_u, at_w, "right") - 1
-        prob3 = L3 * c3 / c_u[of_u] + (1 - L3) * prob2[g[at_w]]
-        k_u, u_u = k[at_u], u[at_u]
-        first_u = np.searchsorted(k_u, np.arange(len(contexts)))
-        first_w = np.searchsorted(of_u, np.arange(len(at_u)))
+    def levels(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray, p: np.ndarray, c_v: np.ndarray, c_vw: np.ndarray, c_uv: np.ndarray) -> dict[str, np.ndarray]:
+        """From distinct triples and how often each occurs in training texts (p: log10 P(w)); c_v, c_vw, c_uv: counts
+        over all shards where v is split, else 0. What was seen in training anywhere is in the levels."""
+        summed = lambda x, at: np.add.reduceat(x, at) if len(at) else x[:0]
+        # contexts v
+        on = (n > 0) | (c_v > 0)
+        order = np.argsort(v[on], kind="stable")
+        at = _starts_of(v[on][order])
+        contexts = v[on][order[at]]
+        total_v = np.where(c_v[on][order[at]] > 0, c_v[on][order[at]], summed(n[on][order], at))
+        # pairs (v, w)
+        i = np.flatnonzero((n > 0) | (c_vw > 0))
+        i = i[ordered(v[i], w[i])]
+        at = _starts_of(v[i], w[i])
+        k2, w2, p2 = np.searchsorted(contexts, v[i[at]]), w[i[at]], p[i[at]]
+        c2 = np.where(c_vw[i[at]] > 0, c_vw[i[at]], summed(n[i], at))
+        prob2 = L2 * c2 / total_v[k2] + (1 - L2) * 10.0**p2
+        flat, first = grouped(w2, _starts_of(k2)), np.searchsorted(k2, np.arange(len(contexts) + 1))
+        pair_of = np.empty(len(n), np.int64)
+        pair_of[i] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(i))))
+        # pairs (u, v)
+        i = np.flatnonzero((n > 0) | (c_uv > 0))
+        i = i[ordered(v[i], u[i])]
+        at = _starts_of(v[i], u[i])
+        k_u, u_u = np.searchsorted(contexts, v[i[at]]), u[i[at]]
+        total_u = np.where(c_uv[i[at]] > 0, c_uv[i[at]], summed(n[i], at))
+        first_u = np.searchsorted(k_u, np.arange(len(contexts) + 1))
+        context_of = np.empty(len(n), np.int64)
+        context_of[i] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(i))))
+        # triples, as (u, v) and the rank of w among the successors of v
+        i = np.flatnonzero(n > 0)
+        g, of_u = pair_of[i], context_of[i]
+        order = ordered(of_u, g)
+        i, g, of_u = i[order], g[order], of_u[order]
+        prob3 = L3 * n[i] / total_u[of_u] + (1 - L3) * prob2[g]
         levels = {}
         for name, x in (
-            ("v", contexts), ("v_w", np.append(first, len(v2))), ("w", flat), ("v_u", np.append(first_u, len(at_u))), ("u", _within(u_u, k_u, first_u)),
-            ("u_w", np.append(first_w, len(at_w))), ("w3", grouped(rank[at_w], first_w)),
+            ("v", contexts), ("v_w", first), ("w", flat), ("v_u", first_u), ("u", grouped(u_u, _starts_of(k_u))),
+            ("u_w", np.searchsorted(of_u, np.arange(len(at) + 1))), ("w3", grouped(g - first[k_u[of_u]], _starts_of(of_u))),
         ):
             levels |= {f"{name}.{part}": y for part, y in elias_fano(x).items()}
         logs = [np.log10(prob2), np.log10(prob3)]
@@ -306,77 +426,63 @@ class Trie:
         return out
 
 
-def _within(x: np.ndarray, k: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """grouped() where groups can be empty."""
-    own = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
-    return grouped(x, own)
-
-
-_PARTIAL = "block long, sums binary, sizes binary, train binary, known binary, base binary, docs binary"
-
-
 def _shard_scores(table: pa.Table) -> pa.Table:
-    """Of one shard: the trie from its training positions; sums of all positions' scores by document."""
+    """Of one shard: the trie from its training triples, the score of each distinct triple, and to each block those of
+    its own."""
     trim()
-    names = ("block", "sums", "sizes", "train", "known", "base", "docs")
-    if table.column("shard")[0].as_py() < 0:
-        r = table.to_pylist()
-        rows = [(x["block"], b"", x["sizes"], x["train"], x["bv"], x["bw"], x["docs"]) for x in r]
-    else:
-        cols = {c: table.column(c).to_pylist() for c in _DEALT[1:]}
-        u, v, w = (np.concatenate([unsqueeze(x, "<u8") for x in cols[c]]) for c in "uvw")
-        p = np.concatenate([unsqueeze(x, "<u2") for x in cols["p"]]).astype(np.float64) / -_STEPS
-        sizes = [unsqueeze(x, "<u4").astype(np.int64) for x in cols["sizes"]]
-        train = np.concatenate([np.repeat(np.frombuffer(t, np.uint8), n) for t, n in zip(cols["train"], sizes)]).astype(bool)
-        none = np.zeros(0)
-        bv, bw, bc, bp = (np.concatenate([none.astype(k), *(unsqueeze(x, k) for x in cols[c] if x)]) for c, k in (("bv", "<u8"), ("bw", "<u8"), ("bc", "<u4"), ("bp", "<u2")))
-        trie = Trie(mapped(Trie.levels(u[train], v[train], w[train], p[train], bv, bw, bc.astype(np.int64), bp.astype(np.float64) / -_STEPS)))
-        s = trie.score(u, v, w, p)
-        at, rows = 0, []
-        for b, n in zip(cols["block"], sizes):
-            m = int(n.sum())
-            sums = np.bincount(np.repeat(np.arange(len(n)), n), s[at : at + m], len(n))
-            rows.append((b, squeeze(sums.astype(np.float32), "<f4"), b"", b"", b"", b"", b""))
-            at += m
-    cols = list(zip(*rows))
-    return pa.table({n: pa.array(c, pa.int64() if n == "block" else pa.binary()) for n, c in zip(names, cols)})
+    if table.column("own")[0].as_py():
+        return table
+    s, blocks = table.column("dest")[0].as_py(), table.column("block").to_pylist()
+    parts = [unbundled(x, *_TRIPLES) for x in table.column("data").to_pylist()]
+    cuts = np.cumsum([0, *(len(x[0]) for x in parts)])
+    v = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in parts])
+    u, w, n, p, *counts = (np.concatenate([x[i] for x in parts]) for i in range(1, len(_TRIPLES)))
+    del parts
+    order = ordered(v, u, w)
+    at = _starts_of(v[order], u[order], w[order])
+    of = np.empty(len(v), np.int64)
+    of[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(v))))
+    n = np.add.reduceat(n[order].astype(np.int64), at)
+    u, v, w, p, *counts = (x[order[at]] for x in (u, v, w, p, *counts))
+    del order
+    p = p.astype(np.float64) / -_STEPS
+    trie = Trie(mapped(Trie.levels(u, v, w, n, p, *(x.astype(np.int64) for x in counts))))
+    got = np.rint(trie.score(u, v, w, p) * -_STEPS).clip(0, 65535)[of]
+    return _table([(s, b, False, bundled((got[a:z], "<u2"))) for b, a, z in zip(blocks, cuts, cuts[1:])])
 
 
 def _summed(n_tokens: int):
     def run(table: pa.Table) -> pa.Table:
-        own, score = None, 0.0
-        for r in table.to_pylist():
-            if r["docs"] or r["sizes"]:
-                own = r
-            else:
-                score = score + unsqueeze(r["sums"], "<f4").astype(np.float64)
-        ids, sizes = np.frombuffer(own["docs"], np.int64), np.frombuffer(own["sizes"], np.int64)
+        """Of one block: the scores of its positions, summed by document."""
+        rows = table.to_pylist()
+        owner, begins, sizes, train, docs, null, known, base = unbundled(next(r["data"] for r in rows if r["own"]), *_SCORED)
+        got = np.concatenate([unbundled(r["data"], "<u2")[0] for r in sorted((r for r in rows if not r["own"]), key=lambda r: r["dest"])])
+        score = np.bincount(owner, got[np.cumsum(begins, dtype=np.int64) - 1], len(sizes)) / -_STEPS
         return pa.table({
-            "doc_id": pa.array(ids, mask=ids == np.iinfo(np.int64).min),
-            "held_out": pa.array(np.frombuffer(own["train"], np.uint8) == 0),
-            "n_tokens": pa.array(sizes), "n_known": pa.array(np.frombuffer(own["known"], np.int64)),
-            "train_tokens": pa.array(np.full(len(ids), n_tokens, np.int64)),
-            "base_score": pa.array(np.frombuffer(own["base"], np.float64)), "score": pa.array(np.broadcast_to(score, len(ids)).astype(np.float64)),
+            "doc_id": pa.array(docs, mask=null > 0), "held_out": pa.array(train == 0),
+            "n_tokens": pa.array(sizes.astype(np.int64)), "n_known": pa.array(known.astype(np.int64)),
+            "train_tokens": pa.array(np.full(len(sizes), n_tokens, np.int64)), "base_score": pa.array(base), "score": pa.array(score),
         })
 
     return run
 
 
-def scored(docs: DataFrame, train: Column) -> DataFrame:
+def scored(docs: DataFrame, train: Column, hot: int = HOT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document; the model is learned
-    from those for which train holds."""
+    from those for which train holds; words that occur hot times or more are split as contexts."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     size, n_docs = slim.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if("train")).first()
     ranges, shards = max(4, -(-size // RANGE_BYTES)), max(8, -(-size // SHARD_BYTES))
-    dealt = slim.mapInArrow(_dealt_words(ranges), "range long, block long, hashes binary, counts binary")
-    words = written(dealt.groupBy("range").applyInArrow(_numbered(ranges), _UNI), "words")
-    n_tokens, n_words = words.where("block = -1").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
-    none = F.lit(None).cast("binary")
-    back = words.where("block >= 0").select("block", "range", "ids", "counts", none.alias("docs"), none.alias("train"))
-    both = slim.mapInArrow(_streams, _STREAM).unionByName(back)
-    positions = both.groupBy("block").applyInArrow(_positions(n_tokens, n_words, n_docs, shards), _DEALT_SCHEMA)
-    partial = positions.groupBy("shard").applyInArrow(lambda t: _shard_scores(t), _PARTIAL)
-    return partial.groupBy("block").applyInArrow(_summed(n_tokens), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    dealt = slim.mapInArrow(_dealt_words(ranges, block_bytes), _SENT)
+    # The blocks' tokens lie in this table from now on; docs are not read again.
+    words = written(dealt.groupBy("dest").applyInArrow(_numbered(ranges), _SENT + ", tokens long, words long"), "words")
+    n_tokens, n_words = words.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    blocks = words.where("block >= 0").select("dest", "block", "own", "data")
+    pairs = blocks.groupBy("block").applyInArrow(_pairs(n_docs, hot, ranges), _SENT)
+    counted = pairs.groupBy("dest").applyInArrow(lambda t: _pair_sums(t), _SENT)
+    triples = blocks.unionByName(counted).groupBy("block").applyInArrow(_triples(n_tokens, n_words, n_docs, hot, ranges, shards), _SENT)
+    scores = triples.groupBy("dest").applyInArrow(lambda t: _shard_scores(t), _SENT)
+    return scores.groupBy("block").applyInArrow(_summed(n_tokens), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op1_elias_fano_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
