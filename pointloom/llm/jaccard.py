@@ -11,13 +11,16 @@ the components of these links, exactly.
    one; frequent ones fall into groups and are indexed by pairs, very frequent ones by triples, and the prefix is
    extended until a partner within the threshold must share one of these keys: sum over the groups of
    max(0, tokens - k + 1) exceeds the number of shingles that may differ. Group numbers follow bands of set sizes.
-4. Representatives that share a key are candidates: each key joins its members to the least of them, and the
-   components of these edges hold all links.
-5. Inside each such component, sets are verified exactly until no unverified pair can still join two parts. Large
-   components are cut into blocks, and pairs of blocks are verified by different tasks.
+4. Representatives that share a key are candidates. In a round, each key's least member meets the others whose size
+   is near enough and that no link joins to it yet; these pairs are verified exactly, and links grow to components. The
+   least member has then met all others and leaves its key; a key whose members are all in one component is done. Most
+   keys are after one round; there are ROUNDS of them.
+5. What is left (keys with many members in several components) is verified in groups: the components of the keys'
+   members, inside of which sets are compared until no pair not yet compared can still join two parts. Large groups
+   are cut into blocks, and pairs of blocks are verified by different tasks. Only links that were verified join texts.
 
 Null and empty texts have no shingles and link with nothing; texts with fewer words than k have one shingle, of all
-their words. A null doc_id takes part; its component is the least non-null id, or null. Repeated rows are members
+their words; very long texts are taken whole, each in a block of its own. A null doc_id takes part; its component is the least non-null id, or null; any long is an id. Repeated rows are members
 of one class. An empty table gives no rows. Only doc_id and text are read.
 """
 
@@ -41,6 +44,8 @@ RANGE_BYTES = 6 << 20
 BLOCK_BYTES = 4 << 20
 #: A shingle in at least 2^4 documents is indexed in pairs, in at least 2^8 in triples.
 PAIRS_FROM, TRIPLES_FROM = 4, 8
+#: Rounds in which keys' least members are verified.
+ROUNDS = 3
 #: Of one verifying task: documents and shingles of a component's block, shingles over small components.
 BLOCK_DOCS, BLOCK_SHINGLES, TASK_SHINGLES = 4096, 1 << 20, 1 << 20
 _MANY = np.uint32(0xFFFFFFFF)
@@ -98,19 +103,18 @@ def _dealt(docs: DataFrame, k: int, ranges: int) -> DataFrame:
             count = np.diff(np.append(run_at, len(h)))
             many = np.repeat(count > 1, count)
             first_h, first_t = h[run_at], np.where(count > 1, _MANY, t[run_at])
-            cuts = np.searchsorted(mixed_range(first_h, ranges), np.arange(ranges + 1))
+            place = mixed_range(first_h, ranges).astype(np.int64)
+            begins = np.flatnonzero(np.append(True, place[1:] != place[:-1])) if len(place) else place
             rows = [[], [], [], [], [], [], []]
 
             def put(*x):
                 for c, y in zip(rows, x):
                     c.append(y)
 
-            id_blob = np.array([np.iinfo(np.int64).min if i is None else i for i in ids], np.int64).tobytes()
+            id_blob = np.array([0 if i is None else i for i in ids], np.int64).tobytes() + np.array([i is None for i in ids], np.uint8).tobytes()
             put(-1 - number, number, pack_sorted(h[many]), _planes(t[many]), b"", id_blob, _planes(sizes))
-            for r in range(ranges):
-                a, z = cuts[r], cuts[r + 1]
-                if z > a:
-                    put(r, number, pack_sorted(first_h[a:z]), _planes(first_t[a:z]), _planes(count[a:z][count[a:z] > 1]), b"", b"")
+            for a, z in zip(begins, np.append(begins[1:], len(place))):  # a row only for ranges that get something
+                put(int(place[a]), number, pack_sorted(first_h[a:z]), _planes(first_t[a:z]), _planes(count[a:z][count[a:z] > 1]), b"", b"")
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), *(pa.array(c, pa.binary()) for c in rows[2:])],
                 ["range", "block", "hashes", "texts", "counts", "ids", "sizes"],
@@ -171,7 +175,8 @@ def _assembled(num: int, den: int):
                 own = r
             else:
                 parts.append((unpack_sorted(r["hashes"]), _unplanes(r["texts"]), np.frombuffer(r["classes"], np.uint8)))
-        ids, sizes = np.frombuffer(own["ids"], np.int64), _unplanes(own["sizes"]).astype(np.int64)
+        sizes = _unplanes(own["sizes"]).astype(np.int64)
+        ids, no_id = np.frombuffer(own["ids"], np.int64, len(sizes)), np.frombuffer(own["ids"], np.uint8, len(sizes), 8 * len(sizes)) > 0
         h, t, c = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, d) for i, d in enumerate((np.uint64, np.uint32, np.uint8)))
         many = t == _MANY
         inner_h, inner_t = unpack_sorted(own["hashes"]), _unplanes(own["texts"])
@@ -194,7 +199,7 @@ def _assembled(num: int, den: int):
             prints.append(hashlib.blake2b(blob, digest_size=16).digest() if able[i] and shared[i] == sizes[i] else None)
         return pa.table({
             "key": pa.array((np.int64(block) << 20) + np.arange(len(ids))),
-            "doc_id": pa.array(ids, mask=ids == np.iinfo(np.int64).min),
+            "doc_id": pa.array(ids, mask=no_id),
             "n": pa.array(sizes), "shared": pa.array(blobs, pa.binary()), "classes": pa.array(kinds, pa.binary()), "print": pa.array(prints, pa.binary()),
         })
 
@@ -218,7 +223,7 @@ def keys_of(h: np.ndarray, kinds: np.ndarray, n: int, num: int, den: int) -> np.
             seen[g] = seen.get(g, 0) + 1
             left -= seen[g] >= k[end]
             end += 1
-        found.append(h[:end][k[:end] == 1])
+        found.append(mixed(h[:end][k[:end] == 1] + np.uint64(band)))
         for g in seen:
             size = g % 4
             if size > 1:
@@ -237,26 +242,22 @@ def _keys(sets: DataFrame, num: int, den: int) -> DataFrame:
         for b in batches:
             for a in range(0, b.num_rows, 200):
                 c = b.slice(a, 200)
-                keys, owners = [], []
+                keys, owners, sizes = [], [], []
                 for key, n, blob, kind in zip(*(c.column(x).to_pylist() for x in ("key", "n", "shared", "classes"))):
                     k = keys_of(np.frombuffer(blob, np.uint64), np.frombuffer(kind, np.uint8), n, num, den)
                     keys.append(k)
                     owners.append(np.full(len(k), key, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners))], ["sig", "key"])
+                    sizes.append(np.full(len(k), n, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (owners, sizes))], ["sig", "key", "n"])
 
-    return sets.select("key", "n", "shared", "classes").mapInArrow(run, "sig long, key long")
+    return sets.select("key", "n", "shared", "classes").mapInArrow(run, "sig long, key long, n long")
 
 
-def linked(sets: list[np.ndarray], sizes: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The part that each set belongs to (the position of one of its members). A set is compared with all others at
-    once; that ends when all sets not yet compared are in one part."""
+def linked(sets: list[np.ndarray], sizes: np.ndarray, num: int, den: int, part: np.ndarray | None = None) -> np.ndarray:
+    """The part that each set belongs to (a position below the number of sets), from parts known to be linked. A set is
+    compared with all others at once; that ends when all sets not yet compared are in one part."""
     m = len(sets)
-    part = np.arange(m)
-    if m == 2:
-        inter = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        if den * inter >= num * (sizes[0] + sizes[1] - inter):
-            part[1] = 0
-        return part
+    part = np.arange(m) if part is None else part.copy()
     lengths = np.array([len(s) for s in sets])
     dense = np.unique(np.concatenate(sets), return_inverse=True)[1]
     first = np.cumsum(lengths) - lengths
@@ -279,11 +280,51 @@ def linked(sets: list[np.ndarray], sizes: np.ndarray, num: int, den: int) -> np.
         todo[x] = False
 
 
+def _compared(num: int, den: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Of one task: the members that link with their pivot. A pivot's own row has key = pivot."""
+        trim()
+        pivot, key, n = (table.column(c).to_numpy() for c in ("pivot", "key", "n"))
+        blobs = table.column("shared")
+        order = np.lexsort((key != pivot, pivot))  # the pivot first
+        a_out, b_out = [], []
+        cuts = [*np.flatnonzero(np.append(True, pivot[order][1:] != pivot[order][:-1])).tolist(), len(order)]
+        for a, z in zip(cuts, cuts[1:]):
+            head, *rest = order[a:z].tolist()
+            while rest and key[rest[0]] == pivot[head]:  # a pivot whose members lie in several parts comes for each
+                rest.pop(0)
+            if rest:
+                own = np.sort(np.frombuffer(blobs[head].as_py(), np.uint64))
+                sets = [np.frombuffer(blobs[i].as_py(), np.uint64) for i in rest]
+                flat, first = np.concatenate(sets), np.cumsum([0, *(len(x) for x in sets[:-1])])
+                hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+                inter = np.add.reduceat(hit.astype(np.int64), first)
+                on = den * inter >= num * (n[rest] + n[head] - inter)
+                a_out.append(key[rest][on])
+                b_out.append(np.full(int(on.sum()), pivot[head]))
+        return pa.table({c: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for c, x in (("a", a_out), ("b", b_out))})
+
+    return run
+
+
+def _links(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b of those pairs (key, n, pivot, pivot_n) that link. A pivot with many members is repeated for parts of them."""
+    load = pairs.groupBy("pivot", "pivot_n").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
+    load = load.select("pivot", F.ceil(F.greatest(F.col("docs") / BLOCK_DOCS, F.col("shingles") / BLOCK_SHINGLES)).alias("parts"), "pivot_n", "shingles")
+    total = load.agg(F.coalesce(F.sum(F.col("shingles") + F.col("parts") * F.col("pivot_n")), F.lit(0))).first()[0]
+    tasks = max(1, -(-total // TASK_SHINGLES))
+    task = F.pmod(F.xxhash64("pivot", "part"), F.lit(tasks)).alias("task")
+    members = pairs.join(load.select("pivot", "parts"), "pivot").select("key", "pivot", F.pmod(F.xxhash64("key"), F.col("parts")).alias("part"))
+    heads = load.select(F.col("pivot").alias("key"), "pivot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
+    rows = members.unionByName(heads).select("key", "pivot", task)
+    return rows.join(reps.select("key", "n", "shared"), "key").groupBy("task").applyInArrow(_compared(num, den), "a long, b long")
+
+
 def _verified(num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
         """Of one task: for each document but one of every part, an edge to the part's least key."""
         trim()
-        comp, key, n = (table.column(c).to_numpy() for c in ("comp", "key", "n"))
+        comp, key, n, root = (table.column(c).to_numpy() for c in ("comp", "key", "n", "root"))
         blobs = table.column("shared")
         order = np.lexsort((key, comp))
         cuts = np.flatnonzero(np.append(True, comp[order][1:] != comp[order][:-1])).tolist() + [len(order)]
@@ -291,18 +332,66 @@ def _verified(num: int, den: int):
         for a, z in zip(cuts, cuts[1:]):
             i = order[a:z]
             if len(i) > 1:
-                part = linked([np.frombuffer(blobs[int(j)].as_py(), np.uint64) for j in i], n[i], num, den)
+                known = np.unique(root[i], return_inverse=True)[1]
+                part = linked([np.frombuffer(blobs[int(j)].as_py(), np.uint64) for j in i], n[i], num, den, known)
                 ks = key[i]
                 least = np.full(len(i), np.iinfo(np.int64).max)
                 np.minimum.at(least, part, ks)
-                root = least[part]
-                a_out.append(ks[ks != root])
-                b_out.append(root[ks != root])
+                to = least[part]
+                a_out.append(ks[ks != to])
+                b_out.append(to[ks != to])
         return pa.table({c: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for c, x in (("a", a_out), ("b", b_out))})
 
     return run
 
 
+def _rest(live: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b: links among what the rounds left. live: sig, key, root of keys whose members are in several components."""
+    least = live.groupBy("sig").agg(F.min("key").alias("m"))
+    groups = components(live.join(least, "sig").where("key <> m").select(F.col("key").alias("a"), F.col("m").alias("b")))
+    member = live.select("key", "root").distinct().join(groups.withColumnRenamed("node", "key").withColumnRenamed("root", "comp"), "key")
+    member = written(member.join(reps.select("key", F.octet_length("shared").alias("bytes")), "key"), "candidates")
+    sizes = member.groupBy("comp").agg(F.count("*").alias("docs"), (F.sum("bytes") / 8).alias("shingles"))
+    sizes = sizes.withColumn("cuts", F.ceil(F.greatest(F.col("docs") / BLOCK_DOCS, F.col("shingles") / BLOCK_SHINGLES)))
+    total = member.agg(F.coalesce(F.sum("bytes") / 8, F.lit(0))).first()[0]
+    tasks = max(1, int(-(-total // TASK_SHINGLES)))
+    mine = F.pmod(F.xxhash64("key"), F.col("cuts"))
+    # pairs of blocks: each block meets every block, itself included; small groups have one
+    task = F.when(F.col("cuts") == 1, F.array(F.concat(F.lit("s"), F.pmod(F.xxhash64("comp"), F.lit(tasks)).cast("string")))).otherwise(
+        F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("cuts") - 1), lambda o: F.concat_ws("-", F.col("comp").cast("string"), F.least(mine, o).cast("string"), F.greatest(mine, o).cast("string")))
+    )
+    dealt = member.join(sizes, "comp").select("comp", "key", "root", F.explode(task).alias("task"))
+    return dealt.join(reps.select("key", "n", "shared"), "key").groupBy("task").applyInArrow(_verified(num, den), "a long, b long")
+
+
+def _roots(keys: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """node, root of the components of all links. keys: sig, key, n."""
+    edges = roots = tried = None
+    live = keys.withColumn("root", F.col("key"))
+    for again in range(ROUNDS + 1):
+        heads = live.groupBy("sig").agg(F.min("key").alias("pivot"), F.min_by("n", "key").alias("pivot_n"), F.min_by("root", "key").alias("pivot_root"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+        live = written(live.join(heads.where("lo <> hi").drop("lo", "hi"), "sig"), "live")
+        if live.isEmpty():
+            break
+        if again == ROUNDS:
+            rest = written(_rest(live.select("sig", "key", "root"), reps, num, den), "links")
+            edges = rest if edges is None else edges.unionByName(rest)
+            roots = components(edges)
+            break
+        near = (den * F.least("n", "pivot_n") >= num * F.greatest("n", "pivot_n")) & (F.col("root") != F.col("pivot_root"))
+        pairs = live.where("key <> pivot").where(near).select("key", "n", "pivot", "pivot_n").distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["key", "pivot"], "left_anti")
+        pairs = written(pairs, "pairs")
+        met = pairs.select("key", "pivot")
+        tried = met if tried is None else tried.unionByName(met)
+        found = written(_links(pairs, reps, num, den), "links")
+        edges = found if edges is None else edges.unionByName(found)
+        roots = written(components(edges), "roots")
+        live = live.where("key <> pivot").select("sig", "key", "n").join(roots, F.col("key") == F.col("node"), "left").select("sig", "key", "n", F.coalesce("root", "key").alias("root"))
+    return roots if roots is not None else keys.select(F.col("key").alias("node"), F.col("key").alias("root")).limit(0)
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id (the least doc_id that links reach, its own
     included), first (true for one row of each component)."""
@@ -317,25 +406,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     single = able.where(F.col("print").isNull())
     reps = able.join(equal.select(F.col("rep").alias("key")), "key", "left_semi").unionByName(single)
     reps = written(reps.select("key", "n", "shared", "classes"), "reps")
-
-    keys = written(_keys(reps, num, den), "keys")
-    least = keys.groupBy("sig").agg(F.min("key").alias("m"), F.count("*").alias("c")).where("c > 1")
-    near = keys.join(least, "sig").where("key <> m").select(F.col("key").alias("a"), F.col("m").alias("b"))
-    candidates = components(near).withColumnRenamed("node", "key").withColumnRenamed("root", "comp")
-
-    together = written(candidates.join(reps.select("key", "n", F.octet_length("shared").alias("bytes")), "key"), "candidates")
-    sizes = together.groupBy("comp").agg(F.count("*").alias("docs"), (F.sum("bytes") / 8).alias("shingles"))
-    sizes = sizes.withColumn("cuts", F.ceil(F.greatest(F.col("docs") / BLOCK_DOCS, F.col("shingles") / BLOCK_SHINGLES)))
-    total = together.agg(F.coalesce(F.sum("bytes") / 8, F.lit(0))).first()[0]
-    tasks = max(1, int(-(-total // TASK_SHINGLES)))
-    mine = F.pmod(F.xxhash64("key"), F.col("cuts"))
-    # pairs of blocks: each block meets every block, itself included; small components have one
-    task = F.when(F.col("cuts") == 1, F.array(F.concat(F.lit("s"), F.pmod(F.xxhash64("comp"), F.lit(tasks)).cast("string")))).otherwise(
-        F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("cuts") - 1), lambda o: F.concat_ws("-", F.col("comp").cast("string"), F.least(mine, o).cast("string"), F.greatest(mine, o).cast("string")))
-    )
-    dealt = together.join(sizes, "comp").select("comp", "key", F.explode(task).alias("task"))
-    edges = dealt.join(reps.select("key", "n", "shared"), "key").groupBy("task").applyInArrow(_verified(num, den), "a long, b long")
-    roots = components(edges)
+    roots = _roots(written(_keys(reps, num, den), "keys"), reps, num, den)
 
     member = able.select("key", "doc_id", "print").join(equal, "print", "left").select("key", "doc_id", F.coalesce("rep", "key").alias("rep"))
     member = written(member.join(roots, member["rep"] == roots["node"], "left").select("key", "doc_id", F.coalesce("root", "rep").alias("root")), "members")

@@ -189,9 +189,11 @@ def test_jaccard(docs, texts, k, num):
     assert {i: r["n_shingles"] for i, r in got.items()} == n
 
 
-def test_jaccard_of_large_groups(spark, monkeypatch):
+@pytest.mark.parametrize("rounds", [0, 1, 3])
+def test_jaccard_of_large_groups(spark, monkeypatch, rounds):
     """Groups of near copies whose shingles are frequent, cut into blocks."""
     monkeypatch.setattr(jaccard, "BLOCK_DOCS", 40)
+    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
     r = random.Random(9)
     rows, vocabulary = [], [f"v{i}" for i in range(3000)]
     for g in range(3):
