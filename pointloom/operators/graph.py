@@ -5,7 +5,7 @@ Edges are (src, dst[, w]); node ids are long. Loops stop when nothing changes; a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .tables import written
@@ -13,15 +13,18 @@ from .tables import written
 ROUNDS = 60
 
 
-def _sum(e: DataFrame) -> tuple:
-    return tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64(*e.columns).cast("decimal(38,0)")), F.lit(0))).first())
+def _settling(df: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+    """df as a written table, and its count and checksum, observed while it is written. (A task that is run again can
+    only make the sums differ, and so cost a round.)"""
+    seen = Observation()
+    table = written(df.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")), F.lit(0)).alias("s")), name)
+    return table, (seen.get["n"], seen.get["s"])
 
 
 def components(edges: DataFrame) -> DataFrame:
     """edges: a, b (long). Returns node, root for every node with an edge; root is the least of its component. Large
     and small stars in turn."""
-    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = _sum(e)
+    e, seen = _settling(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     for _ in range(ROUNDS):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -29,8 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        now = _sum(e)
+        e, now = _settling(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
         if now == seen:
             break
         seen = now
@@ -134,12 +136,10 @@ def strong_components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
 
 def _spread(colour: DataFrame, e: DataFrame, _: None) -> DataFrame:
     """Each node takes the least colour that reaches it."""
-    colour = written(colour, "colour")
-    seen = _sum(colour)
+    colour, seen = _settling(colour, "colour")
     while True:
         sent = e.join(colour.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "root")
-        colour = written(colour.unionByName(sent).groupBy("node").agg(F.min("root").alias("root")), "colour")
-        now = _sum(colour)
+        colour, now = _settling(colour.unionByName(sent).groupBy("node").agg(F.min("root").alias("root")), "colour")
         if now == seen:
             return colour
         seen = now
