@@ -45,7 +45,7 @@ BLOCK_BYTES = 4 << 20
 #: A shingle in at least 2^4 documents is indexed in pairs, in at least 2^8 in triples.
 PAIRS_FROM, TRIPLES_FROM = 4, 8
 #: Rounds in which keys' least members are verified.
-ROUNDS = 3
+ROUNDS = 2
 #: Of one verifying task: documents and shingles of a component's block, shingles over small components.
 BLOCK_DOCS, BLOCK_SHINGLES, TASK_SHINGLES = 4096, 1 << 20, 1 << 20
 _MANY = np.uint32(0xFFFFFFFF)
