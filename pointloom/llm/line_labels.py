@@ -4,12 +4,19 @@ A linear-chain conditional random field with two labels marks each line as conte
 gives the best labels of a document, and the share of its words on content lines decides whether it is kept. Beside
 that stand plain counts of the text (see `COUNTS`) and the base rule on them, which a document has to pass first.
 
-The field is trained in numpy (forward-backward, gradient ascent with Adam) on the lines of a bounded sample of
-labelled documents, PER_CLASS of each label of `quality`: every line takes the label of its document as a weak
-label, and the field's features and transitions smooth these.
+The field is trained in numpy (forward-backward, gradient ascent with Adam) on a bounded sample of labelled documents,
+PER_CLASS of each label of `quality`, with weak labels of lines. A line is boilerplate where it says so itself: symbols,
+shouting, few words said again and again, a line that the text had before, a notice of rights, or a short line that
+stands between different lines in several documents of the sample. Other lines of a good document are content. Other
+lines of a bad document are left open, and the field fills them in (their labels are summed out), unless no line of it
+says anything: then the document's label stands in. Lines without a word are open. The short lines that the sample
+repeats, at most MOST_REPEATED_LINES of them, are part of the field. Whole documents of junk would teach it that labels
+never change, so each good document of the sample is learned from a second time with up to three boilerplate lines of
+the sample put between its own, half of these as lines that are not known.
 
-Null and empty texts have no words: they fail the base rule. A null doc_id is carried; repeated rows get the same
-verdict; without labels every line is content; columns of the input named like the outputs are replaced.
+Null and empty texts have no words: they fail the base rule. Very long texts are decoded whole. A null doc_id is
+carried; repeated rows get the same verdict; equal scores fall to content; without labels every line is content;
+columns of the input named like the outputs are replaced.
 """
 
 from __future__ import annotations
@@ -21,10 +28,13 @@ from pyspark.sql import functions as F
 
 from .common import Words, documents, gram_hashes, labelled_sample, mixed, slices, starts
 
-PER_CLASS = 1500
+PER_CLASS = 1000
 STEPS = 150
+RIDGE = 0.05
 #: A document stays if at least this share of its words lies on content lines.
-CONTENT_SHARE = 0.5
+CONTENT_SHARE = 1 / 3
+#: A short line has at most so many words; it is repeated if it has so many different neighbourhoods in the sample.
+SHORT_LINE, NEIGHBOURHOODS, MOST_REPEATED_LINES = 25, 5, 4096
 LEAST_WORDS = 20
 MOST_REPEATED = 30
 REPEAT_WINDOW = 8
@@ -33,6 +43,10 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOLS = b"#*$%&|<>"
 FOLDS, HELD_OUT = 5, 0
 
+#: Words of notices of rights (fixed values), with what may stand behind or before them.
+_NOTICES = ("license", "licensed", "licence", "copyright", "reserved", "cookies")
+_NOTICE_WORDS = [x for w in _NOTICES for c in (w, w.capitalize(), w.upper()) for x in (c, c + ".", c + ",", c + ":", "(" + c, c + ")")]
+
 _SETS = {"symbols": SYMBOLS, "capitals": bytes(range(65, 91)), "exclaims": b"!", "bars": b"|", "digits": b"0123456789", "ends": b".?!:;", "brackets": b"{}[]()=;_/\\@"}
 _TABLES = {k: np.isin(np.arange(256), np.frombuffer(v, np.uint8)) for k, v in _SETS.items()}
 _SYMBOL_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
@@ -41,11 +55,20 @@ _WORD_EDGES = np.array([1, 2, 3, 5, 8, 12, 20, 35, 60, 120])
 _RATIOS = ("symbols", "capitals", "exclaims", "bars", "digits", "ends", "brackets", "repeated", "followed")
 _WIDTH = len(_EDGES) + 1
 #: Bins of each ratio, bins of the words in a line and of their mean length, then flags.
-FEATURES = len(_RATIOS) * _WIDTH + 2 * (len(_WORD_EDGES) + 1) + 3
+FEATURES = len(_RATIOS) * _WIDTH + 2 * (len(_WORD_EDGES) + 1) + 7
+_COLUMNS = len(_RATIOS) + 6
+_KNOWN = len(_RATIOS) + 4  # the column of lines known to be repeated
+
+
+def _notice_hashes() -> np.ndarray:
+    import xxhash
+
+    return np.array([xxhash.xxh64_intdigest(x) for x in _NOTICE_WORDS], np.uint64)
 
 
-def counted(texts: list[str | None]) -> tuple[dict[str, np.ndarray], list[np.ndarray], np.ndarray]:
-    """The counts of each text; active features (line x feature, as indices) of all lines; lines of each text."""
+def counted(texts: list[str | None], repeated: np.ndarray = np.zeros(0, np.uint64)) -> tuple[dict[str, np.ndarray], list[np.ndarray], np.ndarray, dict[str, np.ndarray]]:
+    """The counts of each text; active features (line x feature, as indices) of all lines; lines of each text; of each
+    line its words, a hash of them, and whether it shows by itself that it is boilerplate. repeated: hashes, sorted."""
     w = Words(texts, lower=False)
     data, n_texts = w.data, len(texts)
     line_at = np.concatenate([[0], np.flatnonzero(data == 10) + 1])[:-1]  # each text ends with a line end here
@@ -106,17 +129,27 @@ def counted(texts: list[str | None]) -> tuple[dict[str, np.ndarray], list[np.nda
     active.append(base + np.searchsorted(_WORD_EDGES, n, "right"))
     active.append(base + len(_WORD_EDGES) + 1 + np.searchsorted(_WORD_EDGES, size / some, "right"))
     base += 2 * (len(_WORD_EDGES) + 1)
+    notice = np.zeros(len(line_at), bool)
+    notice[word_line[np.isin(w.hash, _notice_hashes())]] = True
+    place = np.arange(len(w.hash)) - np.searchsorted(word_line, word_line)
+    line_hash = np.zeros(len(line_at), np.uint64)
+    if len(w.hash):
+        np.add.at(line_hash, word_line, mixed(w.hash + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    known = (n > 0) & (n <= SHORT_LINE) & np.isin(line_hash, repeated)
     active.append(np.where(dup, base, base + 1))
-    active.append(np.full(len(line_at), base + 2))
-    counts["_line_words"] = n
-    return counts, active, n_lines
+    active.append(np.where(notice, base + 2, base + 3))
+    active.append(np.where(known, base + 4, base + 5))
+    active.append(np.full(len(line_at), base + 6))
+    evident = dup | notice | (ratios["symbols"] > 0.04) | (ratios["symbols"] + ratios["brackets"] > 0.12) | (ratios["exclaims"] > 0.4)
+    evident |= (n >= 6) & ((ratios["repeated"] > 0.65) | (ratios["followed"] > 0.3)) | (n > 2) & (ratios["capitals"] > 0.5)
+    return counts, active, n_lines, {"words": n, "hash": line_hash, "evident": evident & (n > 0)}
 
 
 class Field:
     """Weights of the features (for content, less those for boilerplate) and of the transitions."""
 
     def __init__(self):
-        self.w, self.t = np.zeros(FEATURES), np.zeros((2, 2))
+        self.w, self.t, self.repeated = np.zeros(FEATURES), np.zeros((2, 2)), np.zeros(0, np.uint64)
 
     def emissions(self, active: list[np.ndarray]) -> np.ndarray:
         """For each line, content's score less boilerplate's."""
@@ -152,55 +185,73 @@ class Field:
         out[first[: live[0]]] = state[: live[0]]
         return out
 
-    def train(self, docs: list[tuple[list[np.ndarray], int]], weights: np.ndarray) -> "Field":
-        """Gradient ascent on the labels' log-likelihood; docs: active features of each line, and the label of all."""
-        order = np.argsort([-len(a[0]) for a, _ in docs], kind="stable")
-        docs, weights = [docs[i] for i in order], weights[order]
-        n = np.array([len(a[0]) for a, _ in docs])
+    def marginals(self, e: np.ndarray, n: np.ndarray, weights: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Forward-backward over documents that are sorted by falling number of lines n: the weighted sum of
+        log-partition values, each line's probability of content, and the weighted sums of the label pairs' ones.
+        e: the scores of both labels of each line."""
         first = np.cumsum(n) - n
-        active = [np.concatenate([a[j] for a, _ in docs]) for j in range(len(docs[0][0]))]
-        y = np.array([c for _, c in docs])
-        y_line, w_line = np.repeat(y, n), np.repeat(weights, n)
         live = np.searchsorted(-n, -np.arange(1, n[0] + 1), "right")
+        a, b = np.zeros_like(e), np.zeros_like(e)
+        a[first] = e[first]
+        for k in range(1, n[0]):
+            i = first[: live[k]] + k
+            a[i] = e[i] + np.logaddexp(a[i - 1][:, :1] + self.t[0], a[i - 1][:, 1:] + self.t[1])
+        for k in range(n[0] - 1, 0, -1):
+            i = first[: live[k]] + k
+            x = e[i] + b[i]
+            b[i - 1] = np.logaddexp(x[:, :1] + self.t[:, 0], x[:, 1:] + self.t[:, 1])
+        z = np.logaddexp(*(a[first + n - 1]).T)
+        z_line, w_line = np.repeat(z, n), np.repeat(weights, n)
+        i = np.delete(np.arange(len(e)), first)
+        pairs = np.empty((2, 2))
+        for u in (0, 1):
+            for v in (0, 1):
+                pairs[u, v] = (w_line[i] * np.exp(a[i - 1, u] + self.t[u, v] + e[i, v] + b[i, v] - z_line[i])).sum()
+        return float((weights * z).sum()), np.exp(a[:, 1] + b[:, 1] - z_line), pairs
+
+    def gradient(self, active: list[np.ndarray], y: np.ndarray, n: np.ndarray, weights: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Of the weighted log-likelihood of the labels y (1 content, 0 boilerplate, -1 open: both are summed out)."""
+        e = np.stack([np.zeros(len(y)), self.emissions(active)], 1)
+        held = e.copy()
+        held[y == 1, 0] = held[y == 0, 1] = -1e9
+        z1, p1, pairs1 = self.marginals(held, n, weights)
+        z0, p0, pairs0 = self.marginals(e, n, weights)
+        d = np.repeat(weights, n) * (p1 - p0)
+        return z1 - z0, sum(np.bincount(c, d, FEATURES) for c in active), pairs1 - pairs0
+
+    def train(self, docs: list[tuple[list[np.ndarray], np.ndarray]], weights: np.ndarray) -> "Field":
+        """Gradient ascent; docs: active features and labels of each line."""
+        order = np.argsort([-len(y) for _, y in docs], kind="stable")
+        docs, weights = [docs[i] for i in order], weights[order]
+        n = np.array([len(y) for _, y in docs])
+        active = [np.concatenate([a[j] for a, _ in docs]) for j in range(len(docs[0][0]))]
+        y = np.concatenate([y for _, y in docs])
         moments = [np.zeros(FEATURES + 4), np.zeros(FEATURES + 4)]
         for step in range(1, STEPS + 1):
-            e = np.stack([np.zeros(n.sum()), self.emissions(active)], 1)
-            a, b = np.zeros_like(e), np.zeros_like(e)
-            a[first] = e[first]
-            for k in range(1, n[0]):
-                i = first[: live[k]] + k
-                a[i] = e[i] + np.logaddexp(a[i - 1][:, :1] + self.t[0], a[i - 1][:, 1:] + self.t[1])
-            for k in range(n[0] - 1, 0, -1):
-                i = first[: live[k]] + k
-                x = e[i] + b[i]
-                b[i - 1] = np.logaddexp(x[:, :1] + self.t[:, 0], x[:, 1:] + self.t[:, 1])
-            z = np.logaddexp(*(a[first + n - 1]).T)
-            z_line = np.repeat(z, n)
-            p = np.exp(a[:, 1] + b[:, 1] - z_line)
-            g = np.zeros(FEATURES)
-            d = w_line * (y_line - p)
-            for c in active:
-                g += np.bincount(c, d, FEATURES)
-            g -= 0.5 * self.w
-            gt = np.zeros((2, 2))
-            inner = np.ones(n.sum(), bool)
-            inner[first] = False
-            i = np.flatnonzero(inner)
-            for u in (0, 1):
-                for v in (0, 1):
-                    q = np.exp(a[i - 1, u] + self.t[u, v] + e[i, v] + b[i, v] - z_line[i])
-                    gt[u, v] = (w_line[i] * (((y_line[i] == u) & (u == v)) - q)).sum()
-            gt -= 0.5 * self.t
-            grad = np.concatenate([g, gt.ravel()])
+            _, g, gt = self.gradient(active, y, n, weights)
+            grad = np.concatenate([g - RIDGE * self.w, (gt - RIDGE * self.t).ravel()])
             moments[0] = 0.9 * moments[0] + 0.1 * grad
             moments[1] = 0.999 * moments[1] + 0.001 * grad**2
             move = 0.1 * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.999**step)) + 1e-9)
             self.w += move[:FEATURES]
             self.t += move[FEATURES:].reshape(2, 2)
-        self.t = np.clip(self.t, -1.0, 1.0)  # labels of whole documents overstate how long a label lasts
         return self
 
 
+def _repeated_lines(lines: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Hashes of short lines that stand in several neighbourhoods; lines: hashes and words of each document's lines.
+    Copies of whole documents are one neighbourhood."""
+    none = np.zeros(1, np.uint64)
+    h = np.concatenate([x for x, _ in lines])
+    before, after = (np.concatenate([f(x) for x, _ in lines]) for f in (lambda x: np.concatenate([none, x[:-1]]), lambda x: np.concatenate([x[1:], none])))
+    words = np.concatenate([w for _, w in lines])
+    short = (words > 0) & (words <= SHORT_LINE)
+    seen = np.unique(np.stack([h, mixed(mixed(before + np.uint64(1)) + after)], 1)[short], axis=0)
+    found, places = np.unique(seen[:, 0], return_counts=True)
+    top = np.argsort(-places, kind="stable")[:MOST_REPEATED_LINES]
+    return np.sort(found[top][places[top] >= NEIGHBOURHOODS])
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Field:
     """Trained on the lines of documents that labels.quality marks; without any, every line is content."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -209,24 +260,43 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Field
     def run(batches):
         starts("line_labels")
         for b in slices(batches):
-            _, active, n = counted(b.column("text").to_pylist())
+            _, active, n, line = counted(b.column("text").to_pylist())
             cuts = np.cumsum(n)[:-1]
-            lines = np.split(np.stack(active, 1).astype(np.int16), cuts)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_label"), pa.array([x.tobytes() for x in lines])], ["doc_id", "y", "a"])
+            cut = lambda x: pa.array([y.tobytes() for y in np.split(x, cuts)])
+            columns = [cut(np.stack(active, 1).astype(np.int16)), cut(line["hash"]), cut(line["words"].astype(np.int32)), cut(line["evident"].astype(np.int8))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_label"), *columns], ["doc_id", "y", "a", "h", "n", "e"])
 
-    got = sample.mapInArrow(run, "doc_id long, y int, a binary").collect()
+    got = sample.mapInArrow(run, "doc_id long, y int, a binary, h binary, n binary, e binary").collect()  # bounded by per_class
+    field = Field()
     if not got:
-        return Field()
+        return field
     got.sort(key=lambda r: (r["doc_id"], r["y"], r["a"]))
+    lines = [(np.frombuffer(r["h"], np.uint64), np.frombuffer(r["n"], np.int32)) for r in got]
+    field.repeated = _repeated_lines(lines)
     rows = []
-    for r in got:
-        a = np.frombuffer(r["a"], np.int16)
-        width = len(_RATIOS) + 4
-        a = a.reshape(-1, width).T.astype(np.int64)
-        rows.append((list(a), int(r["y"] >= 1)))
-    y = np.array([c for _, c in rows])
-    share = np.array([1 / max(1, (y == c).sum()) for c in (0, 1)])
-    return Field().train(rows, share[y] * len(y) / 2 / np.array([max(1, len(a[0])) ** 0.5 for a, _ in rows]))
+    for r, (h, n) in zip(got, lines):
+        a = np.frombuffer(r["a"], np.int16).reshape(-1, _COLUMNS).T.astype(np.int64)
+        again = (n > 0) & (n <= SHORT_LINE) & np.isin(h, field.repeated)
+        a[_KNOWN] = np.where(again, FEATURES - 3, FEATURES - 2)  # the workers could not know these yet
+        evident = (np.frombuffer(r["e"], np.int8) > 0) | again
+        y = np.where(evident, 0, 1 if r["y"] >= 1 else -1 if evident.any() else 0)
+        rows.append((a, np.where(n > 0, y, -1)))
+    good = np.array([int(r["y"] >= 1) for r in got])
+    rng, mixed_rows = np.random.default_rng(5), []
+    pool = np.concatenate([a[:, y == 0] for a, y in rows], 1)
+    of, size = np.unique(pool[-4:-1], axis=1, return_inverse=True, return_counts=True)[1:]  # kinds by their flags, each as often
+    chance = 1 / (len(size) * size[of.ravel()])
+    for i in np.flatnonzero(good) if pool.shape[1] else ():
+        a, y = rows[i]
+        some = 1 + rng.integers(3)
+        at = rng.integers(0, len(y) + 1, some)
+        put = pool[:, rng.choice(pool.shape[1], some, p=chance)]
+        put[_KNOWN, rng.random(some) < 0.5] = FEATURES - 2  # half of them as if unknown, so that other signs are learned
+        mixed_rows.append((np.insert(a, at, put, 1), np.insert(y, at, 0)))
+    kind = np.concatenate([good, np.full(len(mixed_rows), 2)])
+    rows = [(list(a), y) for a, y in rows + mixed_rows]
+    share = np.array([1 / max(1, (kind == c).sum()) for c in (0, 1, 2)])
+    return field.train(rows, share[kind] * len(kind) / 3 / np.array([max(1, len(y)) ** 0.5 for _, y in rows]))
 
 
 def labelled(docs: DataFrame, field: Field, share: float = CONTENT_SHARE) -> DataFrame:
@@ -238,12 +308,11 @@ def labelled(docs: DataFrame, field: Field, share: float = CONTENT_SHARE) -> Dat
     def run(batches):
         starts("line_labels")
         for b in slices(batches):
-            counts, active, n_lines = counted(b.column("text").to_pylist())
+            counts, active, n_lines, line = counted(b.column("text").to_pylist(), field.repeated)
             content = field.decode(field.emissions(active), n_lines) == 1
             cuts = np.cumsum(n_lines)
             first = cuts - n_lines
-            words = counts.pop("_line_words")
-            on = np.add.reduceat(words * content, first)
+            on = np.add.reduceat(line["words"] * content, first)
             part = on / np.maximum(1, counts["n_words"])
             failed = (counts["n_words"] < LEAST_WORDS) | (100 * counts["n_repeat_words"] > MOST_REPEATED * counts["n_words"])
             lines = [np.flatnonzero(content[a:z]).astype(np.int32) for a, z in zip(first, cuts)]

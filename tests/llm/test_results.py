@@ -257,6 +257,68 @@ def test_labels_separate(spark, sf, docs, labels):
     assert got[1]["kept"] and not got[2]["kept"]
 
 
+def test_gradient_of_the_field():
+    """Of the likelihood with open labels, against differences; and against a sum over all labellings."""
+    from itertools import product
+
+    r = np.random.default_rng(4)
+    field = line_labels.Field()
+    field.w, field.t = r.normal(0, 1, line_labels.FEATURES), r.normal(0, 1, (2, 2))
+    n, weights = np.array([5, 3, 1]), np.array([0.7, 1.0, 2.0])
+    active = [r.integers(0, line_labels.FEATURES, n.sum()) for _ in range(3)]
+    y = np.array([1, -1, 0, -1, 1, 0, 0, -1, 1])
+    value, g, gt = field.gradient(active, y, n, weights)
+    e, want, at = field.emissions(active), 0.0, 0
+    for m, weight in zip(n, weights):
+        total = held = 0.0
+        for s in product((0, 1), repeat=int(m)):
+            p = math.exp(sum(e[at + i] * s[i] for i in range(m)) + sum(field.t[a, b] for a, b in zip(s, s[1:])))
+            total += p
+            held += p * all(y[at + i] in (-1, s[i]) for i in range(m))
+        want, at = want + weight * math.log(held / total), at + m
+    assert abs(value - want) < 1e-9
+    for x, grad in [(field.w, g), (field.t.reshape(-1), gt.ravel())]:
+        for i in r.integers(0, len(x), 12):
+            x[i] += 1e-5
+            up = field.gradient(active, y, n, weights)[0]
+            x[i] -= 2e-5
+            down = field.gradient(active, y, n, weights)[0]
+            x[i] += 1e-5
+            assert abs((up - down) / 2e-5 - grad[i]) < 1e-6
+
+
+def test_planted_lines_are_marked(spark):
+    """Boilerplate planted between the good lines of held-out documents: which lines are marked, and what is kept."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    field = line_labels.fit(docs, labels)
+    good = {r["doc_id"] for r in labels.where("quality = 1").collect()}
+    r, rows, planted = random.Random(8), [], {}
+    junk = ["All rights reserved.", "Licensed under the MIT License.", "BUY!! NOW!! BUY!! IT!! ALL!! TODAY!!", "home | about | contact | help", "## $$ %% words&&& and*** more$$$ of%%% them###"]
+    for i, t in texts.items():
+        lines = [x for x in (t or "").split("\n") if x.strip()]
+        if i not in good or zlib.crc32(str(i).encode()) % 5 or not 4 <= len(lines) <= 40:
+            continue
+        at = sorted(r.sample(range(len(lines) + 1), 2))
+        new = [*lines[: at[0]], r.choice(junk), *lines[at[0] : at[1]], r.choice(junk), *lines[at[1] :]]
+        rows.append((i, "\n".join(new)))
+        planted[i] = {at[0], at[1] + 1}
+    got = {x["doc_id"]: x for x in line_labels.labelled(spark.createDataFrame(rows, "doc_id long, text string"), field).collect()}
+    hit = wrong = clean = mixed = 0
+    for i, t in rows:
+        content = set(got[i]["content_lines"])
+        hit += len(planted[i] - content)
+        own = set(range(len(t.split("\n")))) - planted[i]
+        clean, wrong = clean + len(own), wrong + len(own - content)
+        words = [len(x.split()) for x in t.split("\n")]
+        share = sum(w for k, w in enumerate(words) if k in content) / sum(words)
+        assert abs(got[i]["content_share"] - share) < 1e-9
+        assert got[i]["kept"] == (share >= line_labels.CONTENT_SHARE and not got[i]["base_failed"])
+        mixed += 0 < share < 1
+    print("planted", hit / (2 * len(rows)), "good lines lost", wrong / clean, "mixed", mixed / len(rows), len(rows))
+    assert len(rows) > 10 and hit >= 0.9 * 2 * len(rows) and wrong <= 0.15 * clean and mixed > 0.9 * len(rows)
+
+
 # --- chat, token counts -----------------------------------------------------
 
 
