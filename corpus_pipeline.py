@@ -31,9 +31,9 @@ def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five words, 0.8). Rows have numbers here, so that repeated rows
     and ids count as documents of their own; they are written once, so that every reading sees the same numbers."""
-    keyed = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    groups = jaccard.jaccard_components(keyed.select(F.col("_row").alias("doc_id"), "text"), 5, 80, 100)
-    return keyed.join(groups.where("first").select(F.col("doc_id").alias("_row")), "_row", "left_semi").select(*docs.columns)
+    keyed = written(docs.select(F.struct("*").alias("own"), F.monotonically_increasing_id().alias("row")), "numbered")
+    groups = jaccard.jaccard_components(keyed.select(F.col("row").alias("doc_id"), F.col("own.text").alias("text")), 5, 80, 100)
+    return keyed.join(groups.where("first").select(F.col("doc_id").alias("row")), "row", "left_semi").select("own.*")
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -147,12 +147,49 @@ def test_reordered_passage(spark):
     assert not got[2]["contaminated"]
 
 
-def test_item_blocks_agree(spark, sf, monkeypatch):
-    want = sorted(tiling.op3_string_tiling(spark, sf).collect())
-    monkeypatch.setattr(tiling, "BLOCK_WORDS", 300)
-    monkeypatch.setattr(tiling.item_blocks, "__defaults__", (300,))
-    assert sorted(tiling.op3_string_tiling(spark, sf).collect()) == want
-    assert any(r["contaminated"] for r in want)
+def test_benchmark_against_brute_force(spark, sf, docs, texts):
+    """Coverage and contamination of all documents, with the benchmark broadcast and with its seeds shuffled."""
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    items = {r["item_id"]: tiling.words_of(r["text"]) for r in bench.collect()}
+    grams = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in items.items()}
+    want = {}
+    for i, t in texts.items():
+        w = tiling.words_of(t)
+        seeds = {}
+        for j in range(len(w) - 4):
+            seeds.setdefault(tuple(w[j : j + 5]), []).append(j)
+        best = (0.0, None)
+        for k in sorted(items):
+            at = sorted({j + m for g in grams[k] & seeds.keys() for j in seeds[g] for m in range(5)})
+            if at:
+                near = [w[j] if j in at else object() for j in range(at[0], at[-1] + 1)]  # other words match nothing
+                c = sum(x[2] for x in brute_tiles(near, items[k], 5)) / len(items[k])
+                best = max(best, (c, k), key=lambda x: x[0])
+        want[i] = best
+    for most in (tiling.BLOCK_WORDS, 0):
+        got = tiling.decontaminated(docs, bench, most_words=most).collect()
+        assert {r["doc_id"]: (r["coverage"], r["item_id"]) for r in got} == want
+        assert all(r["contaminated"] == (r["coverage"] >= 0.5) for r in got)
+        assert all(sum(x["words"] for x in r["tiles"] if x["item_id"] == r["item_id"]) == round(r["coverage"] * len(items[r["item_id"]])) for r in got if r["contaminated"])
+    assert sum(c >= 0.5 for c, _ in want.values()) > 0
+
+
+def test_joins_of_seeds_agree(spark, odd, empty):
+    bench = spark.createDataFrame([(3, "quick brown fox jumps over the lazy dog"), (2, "the quick brown fox jumps over the lazy dog"), (2, "the quick brown fox jumps over the lazy dog"), (None, "fox jumps over the lazy dog and goes home again"), (4, None), (5, "too short")], "item_id long, text string")
+    rows = lambda most: sorted(map(str, tiling.decontaminated(odd, bench, most_words=most).select("doc_id", "contaminated", "coverage", "item_id", "tiles").collect()))
+    assert rows(0) == rows(100_000) and any("contaminated=True" in x for x in rows(0))
+    assert tiling.decontaminated(empty, bench, most_words=0).count() == 0
+
+
+def test_repeated_words_need_little_memory():
+    import tracemalloc
+
+    items = tiling.Items([(1, "same " * 2000)], 5)
+    tracemalloc.start()
+    got = items.found("same " * 20_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [(0, 1.0, [(0, 0, 2000)])] and peak < 100 << 20
 
 
 # --- near duplicates --------------------------------------------------------
