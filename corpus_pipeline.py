@@ -6,7 +6,9 @@ next one's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.llm import jaccard, language, packing, quality, tiling
@@ -16,16 +18,23 @@ from pointloom.llm.common import documents, written
 LEAST_LANGUAGE = 0.4
 
 
+def _filtered(docs: DataFrame, operator: Callable[[DataFrame], DataFrame], keep: Column) -> DataFrame:
+    """The rows of docs whose results keep; columns that are named like results stand aside while the operator runs."""
+    aside = {c: f"own_{n}_{c}" for n, c in enumerate(docs.columns) if c not in ("doc_id", "text", "lang")}
+    found = operator(docs.withColumnsRenamed(aside)).where(keep)
+    return found.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
+
+
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the threshold."""
     model = quality.fit(docs, documents(spark, sf_dir, "labels"))
-    return quality.scored(docs, model).where(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
+    return _filtered(docs, lambda d: quality.scored(d, model), F.col("score") >= quality.THRESHOLD)
 
 
 def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages that the labelled ones have."""
-    found = language.identified(docs, language.fit(docs))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE)).select(*docs.columns)
+    model = language.fit(docs)
+    return _filtered(docs, lambda d: language.identified(d, model), (F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +47,7 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that cover no benchmark item."""
-    found = tiling.decontaminated(docs, documents(spark, sf_dir, "benchmark"))
-    return found.where(~F.col("contaminated")).select(*docs.columns)
+    return _filtered(docs, lambda d: tiling.decontaminated(d, documents(spark, sf_dir, "benchmark")), ~F.col("contaminated"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

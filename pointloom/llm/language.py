@@ -1,12 +1,15 @@
 """Language ID: a bidirectional gated recurrent network over bytes.
 
-A text's UTF-8 bytes are read in spans of SPAN, each from a zero state, forwards and backwards; both states at a
-position give that position's language probabilities, and the document's are the mean of the log-probabilities of
-all its positions, made to sum to one. Gates and candidates are piecewise linear (clipped), which keeps a step cheap. The network is
-trained in numpy by backpropagation through time (Adam) on a bounded sample: PER_CLASS documents of each language,
-SPANS spans of each. It has a few thousand weights of a fixed number and goes to the tasks with the code.
+A text's UTF-8 bytes are read forwards and backwards; both states at a position give that position's language
+probabilities and its label, and the document's probabilities are the means over all its positions. A long text is read
+in stretches of LABELLED bytes, each with the WARM bytes on either side of it, so that states have context at the first
+byte that is labelled; beyond a text's ends stand spaces. Gates and candidates are piecewise linear (clipped), which
+keeps a step cheap. The network is trained in numpy by backpropagation through time (Adam) on a bounded sample:
+PER_CLASS documents of each language, SPANS spans of each. It has a few thousand weights of a fixed number and goes to
+the tasks with the code.
 
-Texts that are null or have no letter are `und` with score 0. A null doc_id is carried; a null lang is not learned
+Texts that are null or have no letter are `und` with score 0. Very long texts are labelled whole, stretch by stretch.
+Equal probabilities fall to the language whose name comes first. A null doc_id is carried; a null lang is not learned
 from; repeated rows are labelled alike; an empty table gives no rows, and without any labelled document every text
 is `und`; columns of the input named like the outputs are replaced.
 """
@@ -17,12 +20,13 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, fold, slices, starts
 
 SPAN = 64
+LABELLED, WARM = 112, 16
 HIDDEN = 8
 PER_CLASS = 400
 SPANS = 6
@@ -63,37 +67,30 @@ class Direction:
             out[t] = state
         return out
 
-    def summed(self, x: np.ndarray, live: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """As forward(), with the sum of each row's states; of step t the first live[t] rows count."""
+    def read(self, x: np.ndarray) -> np.ndarray:
+        """As forward(), in buffers that are used again."""
         h, rows = HIDDEN, x.shape[1]
         scale = [0.25, 0.25, 1.0]
         tables = [np.ascontiguousarray(self.table[:, k * h : (k + 1) * h] * s + (0.5 if k < 2 else 0)) for k, s in enumerate(scale)]
         uz, ur = (np.ascontiguousarray(self.u[:, k * h : (k + 1) * h] * 0.25) for k in (0, 1))
-        state, total = np.zeros((rows, h), np.float32), np.zeros((rows, h), np.float32)
-        buffers = [np.empty((rows, h), np.float32) for _ in range(5)]
-        out = np.zeros((*x.shape, h), np.float32) if keep is not None else None
+        state, out = np.zeros((rows, h), np.float32), np.empty((*x.shape, h), np.float32)
+        z, r, c, a, b = (np.empty((rows, h), np.float32) for _ in range(5))
         for t in range(len(x)):
-            m = live[t]
-            z, r, c, a, b = (y[:m] for y in buffers)
-            s, at = state[:m], x[t, :m].astype(np.intp)
+            at = x[t].astype(np.intp)
             for table, y in zip(tables, (z, r, c)):
                 np.take(table, at, axis=0, out=y, mode="clip")
-            z += np.matmul(s, uz, out=a)
-            r += np.matmul(s, ur, out=b)
+            z += np.matmul(state, uz, out=a)
+            r += np.matmul(state, ur, out=b)
             np.minimum(np.maximum(z, 0, out=z), 1, out=z)
             np.minimum(np.maximum(r, 0, out=r), 1, out=r)
-            r *= s
+            r *= state
             c += np.matmul(r, self.uc, out=a)
             np.minimum(np.maximum(c, -1, out=c), 1, out=c)
-            c -= s
+            c -= state
             c *= z
-            s += c
-            total[:m] += s
-            if out is not None:
-                out[t, :m] = s
-        if keep is not None:
-            keep.append(out)
-        return total
+            state += c
+            out[t] = state
+        return out
 
     def backward(self, x: np.ndarray, keep: list, d_out: np.ndarray) -> list[np.ndarray]:
         h = HIDDEN
@@ -160,43 +157,48 @@ class Network:
                 w -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
         return self
 
-    def label(self, texts: list[str | None], positions: bool = False, rows: int = 2048):
-        """Mean logits over all positions of each text (texts x languages): up to a number that is the same for every
-        language, the mean of the positions' log-probabilities. With positions, also each byte's language."""
+    def label(self, texts: list[str | None], positions: bool = False, rows: int = 1024):
+        """Of each text, the mean of its positions' probabilities and how many positions each language has; with
+        positions, also each byte's language."""
         raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
         n = np.array([len(r) for r in raw], np.int64)
-        parts = -(-n // SPAN)
+        parts, k = -(-n // LABELLED), len(self.langs)
         first, total = np.cumsum(parts) - parts, int(parts.sum())
-        data = np.full(total * SPAN, 32, np.uint8)
-        for r, a in zip(raw, first):
-            data[a * SPAN : a * SPAN + len(r)] = np.frombuffer(r, np.uint8)
-        data = data.reshape(total, SPAN)
+        # all texts with spaces around them: text i begins at begin[i]
+        begin = np.cumsum(np.append(0, parts * LABELLED + 2 * WARM))
+        data = np.full(begin[-1], 32, np.uint8)
+        for r, a in zip(raw, begin):
+            data[a + WARM : a + WARM + len(r)] = np.frombuffer(r, np.uint8)
         owner = np.repeat(np.arange(len(raw)), parts)
-        real = np.minimum(SPAN, n[owner] - (np.arange(total) - first[owner]) * SPAN)
-        states = np.zeros((total, 2 * HIDDEN), np.float32)
-        marks = np.zeros((total, SPAN), np.int8)
-        order = np.argsort(-real, kind="stable")  # of each step, the spans that are long enough come first
+        stretch = np.arange(total) - first[owner]
+        at, real = begin[owner] + stretch * LABELLED, np.minimum(LABELLED, n[owner] - stretch * LABELLED)
+        sums, votes, marks = np.zeros((total, k)), np.zeros((total, k), np.int64), []
         for a in range(0, total, rows):
-            i = order[a : a + rows]
-            length = real[i]
-            live = np.searchsorted(-length, -np.arange(1, length[0] + 1), "right")
-            x = data[i]
-            turned = x[np.arange(len(i))[:, None], np.maximum(0, length[:, None] - 1 - np.arange(length[0]))]
-            keep = [] if positions else None
-            sides = [side.summed(np.ascontiguousarray(y[:, : length[0]].T), live, keep) for side, y in zip(self.sides, (x, turned))]
-            states[i] = np.concatenate(sides, 1)
+            x = np.ascontiguousarray(data[at[a : a + rows] + np.arange(LABELLED + 2 * WARM)[:, None]])
+            f = self.sides[0].read(x)[WARM : WARM + LABELLED]
+            b = self.sides[1].read(x[::-1])[::-1][WARM : WARM + LABELLED]
+            z = f @ self.out[:HIDDEN]
+            z += b @ self.out[HIDDEN:]
+            z += self.bias
+            best = z.argmax(-1)
+            z -= z.max(-1, keepdims=True)
+            np.exp(z, out=z)
+            z /= z.sum(-1, keepdims=True)
+            on = np.arange(LABELLED)[:, None] < real[a : a + rows]
+            z *= on[..., None]
+            sums[a : a + rows] = z.sum(0)
+            for j in range(k):
+                votes[a : a + rows, j] = ((best == j) & on).sum(0)
             if positions:
-                f, b = keep
-                back = np.zeros_like(f)
-                for k in range(len(i)):
-                    back[: length[k], k] = b[: length[k], k][::-1]
-                marks[i, : length[0]] = (f @ self.out[:HIDDEN] + back @ self.out[HIDDEN:] + self.bias).argmax(-1).T
-        sums = np.zeros((len(raw), 2 * HIDDEN))
-        np.add.at(sums, owner, states)
-        pooled = (sums / np.maximum(1, n)[:, None]) @ self.out + self.bias  # the output layer is linear
+                marks.append(best.T.astype(np.int8))
+        pooled, labelled = np.zeros((len(raw), k)), np.zeros((len(raw), k), np.int64)
+        np.add.at(pooled, owner, sums)
+        np.add.at(labelled, owner, votes)
+        pooled /= np.maximum(1, n)[:, None]
         if positions:
-            return pooled, [marks[a : a + k].ravel()[:c] for a, k, c in zip(first, parts, n)]
-        return pooled
+            each = np.concatenate([*marks, np.zeros((0, LABELLED), np.int8)])
+            return pooled, labelled, [each[a : a + m].ravel()[:c] for a, m, c in zip(first, parts, n)]
+        return pooled, labelled
 
 
 def fit(docs: DataFrame, per_class: int = PER_CLASS) -> Network | None:
@@ -204,13 +206,9 @@ def fit(docs: DataFrame, per_class: int = PER_CLASS) -> Network | None:
     whose id has the least hash)."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = slim.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT))
-    langs = sorted(r["lang"] for r in known.select("lang").distinct().collect())  # a row for each language
-    if not langs:
-        return None
-    ids = None
-    for lang in langs:
-        own = known.where(F.col("lang") == lang).select(F.col("doc_id").alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(per_class)
-        ids = own if ids is None else ids.unionByName(own)
+    # the least hashes of each language; map tasks send no more than that
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    ids = known.select("doc_id", "lang").withColumn("k", rank).where(F.col("k") <= per_class).select(F.col("doc_id").alias("_id"))
     sample = known.join(F.broadcast(ids.distinct()), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
     def run(batches):
@@ -222,35 +220,38 @@ def fit(docs: DataFrame, per_class: int = PER_CLASS) -> Network | None:
                 at = np.unique(np.linspace(0, max(0, len(raw) - SPAN), SPANS).astype(int))  # over the whole text
                 for a in at:
                     keys.append(-1 if i is None else i)
-                    ys.append(langs.index(lang))
+                    ys.append(lang)
                     spans.append(raw[a : a + SPAN].ljust(SPAN, b" "))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ys, pa.int32()), pa.array(spans, pa.binary())], ["i", "y", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ys, pa.string()), pa.array(spans, pa.binary())], ["i", "y", "s"])
 
-    got = sorted(sample.mapInArrow(run, "i long, y int, s binary").collect())
+    got = sorted(sample.mapInArrow(run, "i long, y string, s binary").collect())  # bounded by per_class
     if not got:
         return None
-    return Network(langs).train(np.frombuffer(b"".join(r["s"] for r in got), np.uint8).reshape(-1, SPAN), np.array([r["y"] for r in got]))
+    langs, y = np.unique([r["y"] for r in got], return_inverse=True)
+    return Network(langs.tolist()).train(np.frombuffer(b"".join(r["s"] for r in got), np.uint8).reshape(-1, SPAN), y)
 
 
 def identified(docs: DataFrame, model: Network | None) -> DataFrame:
-    """docs with lang_pred and score (the pooled probability of lang_pred)."""
-    own = docs.drop("lang_pred", "score")
+    """docs with lang_pred, score (the pooled probability of lang_pred) and positions (of each language that labels any
+    byte, how many)."""
+    own = docs.drop("lang_pred", "score", "positions")
+    none = F.create_map().cast("map<string,bigint>")
     if model is None:
-        return own.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
-    schema = own.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+        return own.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "positions": none})
+    schema = own.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), none.alias("positions")).schema
 
     def run(batches):
         starts("language")
         for b in slices(batches, 4 << 20):
             texts = b.column("text").to_pylist()
-            log = model.label(texts)
-            p = np.exp(log - log.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
+            p, votes = model.label(texts)
             best = p.argmax(1)
             known = [t is not None and _LETTER.search(t) is not None for t in texts]
             langs = [model.langs[k] if ok else "und" for k, ok in zip(best, known)]
             score = np.where(known, p[np.arange(len(best)), best], 0.0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64())], [*b.schema.names, "lang_pred", "score"])
+            each = [[(lang, int(c)) for lang, c in zip(model.langs, v) if c] for v in votes]
+            columns = [pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(each, pa.map_(pa.string(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *columns], [*b.schema.names, "lang_pred", "score", "positions"])
 
     return own.mapInArrow(run, schema)
 
@@ -259,7 +260,7 @@ def op9_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = identified(texts, fit(docs))
-    return out.select("doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "lang_pred", "score", F.coalesce(F.try_element_at("positions", F.col("lang_pred")), F.lit(0)).alias("n_positions"))
 
 
 QUERIES = {"op9_byte_network": op9_byte_network}

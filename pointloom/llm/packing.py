@@ -5,8 +5,11 @@ each partition; prefix sums over the totals give every partition, and so every d
 second pass cuts the one long sequence into fixed windows and keeps boundary records: which piece of which
 document lies where. Only the last window can need padding.
 
-Null text counts as empty (its document is the end id alone); a null doc_id is carried; repeated rows are packed
-as often as they come; an empty table gives no pieces; further columns are not read.
+Documents follow each other as they stand in the input, in the order of its partitions and of the rows in each; no
+column orders them, so there are no ties, and the first pass fixes the order in a written table. Null text counts as
+empty (its document is the end id alone); a very long text is cut over as many windows as it takes; a null doc_id is
+carried; repeated rows are packed as often as they come; an empty table gives no pieces; further columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -39,8 +42,9 @@ def default_tokenizer() -> str:
 
 
 def encoder(path: str):
-    """texts -> list of ids as little-endian bytes, and the width of an id. White space ends a token in this
-    vocabulary, so words are encoded once and remembered; the ids equal those of whole texts."""
+    """texts -> list of ids as little-endian bytes, and the width of an id. Where white space ends a token in the
+    vocabulary, words are encoded once and remembered, and the ids equal those of whole texts; with other vocabularies
+    whole texts are encoded."""
     if path not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -49,8 +53,15 @@ def encoder(path: str):
         kind = "<u2" if tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
         mark = tok.encode(MARK.decode(), add_special_tokens=False).ids
         lower = tok.normalizer is not None and tok.normalizer.normalize_str("ABCXYZ") == "abcxyz"
-        _encoders[path] = (tok, kind, TwoAges(MEMO), mark[0] if len(mark) == 1 else None, lower)
-    tok, kind, memo, mark, lower = _encoders[path]
+        _encoders[path] = (tok, kind, TwoAges(MEMO), mark[0] if len(mark) == 1 else None, lower, _parts_at_spaces(tok))
+    tok, kind, memo, mark, lower, by_word = _encoders[path]
+
+    def whole(texts: list[str | None]) -> list[bytes]:
+        texts = [text.encode("utf-8", "replace").decode() if text else "" for text in texts]
+        return [np.array(e.ids, kind).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    if not by_word:
+        return whole, kind
 
     def fresh(words: list[bytes]) -> dict[bytes, bytes]:
         """Words are encoded as one text with marks between; those that hold the mark are encoded by themselves."""
@@ -79,6 +90,18 @@ def encoder(path: str):
     return encode, kind
 
 
+def _parts_at_spaces(tok) -> bool:
+    """Whether white space ends every token and leaves none itself: no token of two characters or more holds a space or
+    a sign that stands for one (signs are fixed values of the common vocabularies), and texts of words and marks encode
+    as their words do."""
+    if any(len(t.removesuffix("</w>")) > 1 and any(c in t for c in " \t\n\u0120\u010a\u2581") for t in tok.get_vocab(with_added_tokens=False)):
+        return False
+    ids = lambda t: tok.encode(t, add_special_tokens=False).ids
+    words = ["a", "word", "Some", "don't", "12,3.", "x_y", "\u00e9t\u00e9", "\u6f22\u5b57", "##b", MARK.decode(), "end."]
+    apart = [i for w in words for i in ids(w)]
+    return bool(apart) and all(ids(space.join(words)) == apart and ids(space + space.join(words) + space) == apart for space in (" ", "\n", "\t ", "  "))
+
+
 def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """First pass: doc_id, part, start (in its partition), n, ids; as a written table."""
 

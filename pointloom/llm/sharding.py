@@ -6,6 +6,10 @@ follow; ranges that hold too much are subdivided with boundaries from a denser s
 over the ranges and running sums inside them place each record in the whole order, and a shard is an equal share
 of that order, in bytes or in rows. Equal texts stand together; a group larger than a shard spans several.
 
+The ranges are at most MOST_RANGES, whatever the rows (a range is sorted by a task, which spills), so samples,
+boundaries and sums by range are of a bounded size on the driver, and boundaries travel as one constant array. Ranges
+are subdivided until none is overfull, but for what has no boundary inside: a single record.
+
 Null texts have size 1 (no bytes, plus 1); a null id sorts first; repeated rows are placed as often as they come;
 an empty table gives no rows; columns of the input keep their values, and the added ones (shard, slot) replace any
 of the same name.
@@ -13,29 +17,37 @@ of the same name.
 
 from __future__ import annotations
 
+import bisect
+import itertools
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, written
 
-#: Rows that a range should hold, the ranges at least for a shard, sampled keys for a range.
+#: Rows that a range should hold, ranges at most, ranges at least for a shard, sampled keys for a range.
 RANGE_ROWS = 200_000
+MOST_RANGES = 4096
 RANGES_A_SHARD = 8
 SAMPLES_A_RANGE = 32
-#: A range above so many times the mean of bytes or rows is subdivided; so many rounds at most.
+#: A range above so many times the mean of bytes or rows is subdivided.
 OVERFULL = 2.0
-ROUNDS = 4
 
 _KEY = "struct<h:bigint,id:string,tie:bigint>"
 
 
+def _constant(keys: list) -> Column:
+    """Keys as one array, which the optimiser folds into a single literal."""
+    return F.from_json(F.lit(json.dumps([dict(zip(("h", "id", "tie"), k)) for k in keys])), f"array<{_KEY}>")
+
+
 def _range_of(key: Column, splitters: list) -> Column:
     """How many splitters are at or below the key: a search in two levels."""
     if not splitters:
         return F.lit(0)
     step = max(1, round(len(splitters) ** 0.5))
-    rows = F.array(*[F.struct(F.lit(h).cast("bigint").alias("h"), F.lit(i).cast("string").alias("id"), F.lit(t).cast("bigint").alias("tie")) for h, i, t in splitters])
-    heads = F.array(*[F.struct(F.lit(h).cast("bigint").alias("h"), F.lit(i).cast("string").alias("id"), F.lit(t).cast("bigint").alias("tie")) for h, i, t in splitters[::step]])
+    rows, heads = (_constant(x) for x in (splitters, splitters[::step]))
     block = F.size(F.filter(heads, lambda s: s <= key))
     inside = F.size(F.filter(F.slice(rows, (block - 1) * step + 1, F.lit(step)), lambda s: s <= key))
     return F.when(block == 0, F.lit(0)).otherwise((block - 1) * step + inside)
@@ -75,23 +87,23 @@ def shard(df: DataFrame, key: Column, id_col: str, size: Column, n_shards: int =
         "keyed",
     )
     rows, total = keyed.agg(F.count("*"), F.coalesce(F.sum("_size"), F.lit(0))).first()
-    ranges = max(n_shards * RANGES_A_SHARD, -(-rows // RANGE_ROWS))
+    ranges = max(n_shards * RANGES_A_SHARD, min(MOST_RANGES, -(-rows // RANGE_ROWS)))
     splitters: list = []
     if rows:
         splitters = _quantiles(*_drawn(keyed, SAMPLES_A_RANGE * ranges / max(1, total), 1), ranges)
     stats = _stats(keyed, splitters)
-    for again in range(2, 2 + ROUNDS):
+    for again in itertools.count(2):
         most_n, most_b = OVERFULL * rows / ranges, OVERFULL * total / ranges
         over = {r: max(n / most_n, b / most_b) for r, (n, b) in stats.items() if n > 1 and (n > most_n or b > most_b)}
         if not over:
-            break
+            break  # at the latest when every record has a range
         inner = keyed.withColumn("_r", _range_of(F.col("_key"), splitters)).where(F.col("_r").isin(list(over)))
         parts = -(-sum(over.values()) // 1) * 2
         held = sum(stats[r][1] for r in over)
         more = _quantiles(*_drawn(inner, SAMPLES_A_RANGE * parts / held, again), int(parts))
         fresh = sorted({*splitters, *more}, key=_order)
         if len(fresh) == len(splitters):
-            break
+            break  # nothing to cut at, as inside a record
         splitters = fresh
         stats = _stats(keyed, splitters)
     base_n = base_b = 0
@@ -114,7 +126,12 @@ def shard(df: DataFrame, key: Column, id_col: str, size: Column, n_shards: int =
     else:  # the shard in which the middle of the record lies
         share = F.expr(f"least((2 * _at + _size) * {n_shards} div {2 * max(1, total)}, {n_shards - 1})")
     placed = placed.withColumn("shard", share.cast("int"))
-    first = F.broadcast(placed.groupBy("shard").agg(F.min("_rank").alias("_first")))  # a row for each shard
+    # Only ranges in which a shard begins, and the next ones, can hold a shard's first record.
+    whole, at = (rows, 1) if law == "rows" else (total, 2)
+    starts = sorted(b[at] for b in bases)
+    near = {min(i + k, len(bases) - 1) for s in range(n_shards) for i in [max(0, bisect.bisect_right(starts, s * whole // n_shards) - 1)] for k in (0, 1)} if bases else set()
+    opening = placed.where(F.col("_r").isin([bases[i][0] for i in sorted(near)]))
+    first = F.broadcast(opening.groupBy("shard").agg(F.min("_rank").alias("_first")))  # a row for each shard
     return placed.join(first, "shard").select("_row.*", "shard", (F.col("_rank") - F.col("_first")).cast("bigint").alias("slot"))
 
 

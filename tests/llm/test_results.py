@@ -1,5 +1,6 @@
 """The operators against brute-force versions."""
 
+import itertools
 import math
 import random
 import re
@@ -90,6 +91,28 @@ def test_shards_are_even(spark, sf, texts):
         assert sorted(r["slot"] for r in own) == list(range(len(own)))
 
 
+@pytest.mark.parametrize("law", ["bytes", "rows"])
+def test_places_against_a_sort(spark, monkeypatch, law):
+    """Shards and slots are what one sort of all records gives; few and skewed samples make ranges overfull, so that
+    they are subdivided."""
+    monkeypatch.setattr(sharding, "SAMPLES_A_RANGE", 1)
+    monkeypatch.setattr(sharding, "OVERFULL", 1.2)
+    rounds = []
+    drawn = sharding._drawn
+    monkeypatch.setattr(sharding, "_drawn", lambda *x: rounds.append(x[2]) or drawn(*x))
+    rows = [(i, (i * i) % 7 if i % 3 else 5, 1 + (i * 7919) % 300 + (20_000 if i == 500 else 0)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, h long, size long")
+    got = {r["doc_id"]: r for r in sharding.shard(df, F.col("h"), "doc_id", F.col("size"), 6, law).collect()}
+    assert len(rounds) > 1
+    order = sorted(rows, key=lambda x: (x[1], str(x[0])))
+    total, at, slots = sum(x[2] for x in rows), 0, Counter()
+    for rank, (i, _, size) in enumerate(order):
+        want = rank * 6 // len(rows) if law == "rows" else min(5, (2 * at + size) * 6 // (2 * total))
+        assert (got[i]["shard"], got[i]["slot"]) == (want, slots[want])
+        slots[want] += 1
+        at += size
+
+
 def test_a_hot_key_is_divided(spark):
     rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("same")).otherwise(F.col("id").cast("string")).alias("text"))
     got = sharding.shard(rows, F.xxhash64("text"), "doc_id", F.lit(1), 10, "rows").collect()
@@ -421,16 +444,31 @@ def test_language_on_held_out(spark, sf, docs):
 
 
 def test_network_positions_and_pooling():
+    """Every byte is labelled from its stretch and the bytes around it; a document's probabilities are the means."""
     n = language.Network(["a", "b", "c"])
-    texts = ["héllo world " * 30, "", "x", None, "y" * language.SPAN]
-    pooled, marks = n.label(texts, positions=True)
-    for t, p, m in zip(texts, pooled, marks):
+    texts = ["h\u00e9llo world " * 30, "", "x", None, "y" * language.LABELLED, " ".join(f"w{i}" for i in range(400))]
+    pooled, labelled, marks = n.label(texts, positions=True, rows=3)
+    for t, p, votes, m in zip(texts, pooled, labelled, marks):
         raw = (t or "").encode()
-        assert len(m) == len(raw)
+        assert len(m) == len(raw) and votes.tolist() == [int((m == k).sum()) for k in range(3)]
+        z = np.zeros((0, 3))
+        for a in range(0, len(raw), language.LABELLED):
+            around = b" " * language.WARM + raw + b" " * (language.LABELLED + language.WARM)
+            got = n.logits(np.frombuffer(around[a : a + language.LABELLED + 2 * language.WARM], np.uint8)[:, None])[:, 0]
+            z = np.concatenate([z, got[language.WARM : language.WARM + min(language.LABELLED, len(raw) - a)]])
         if raw:
-            z = np.concatenate([n.logits(np.frombuffer(raw[a : a + language.SPAN], np.uint8)[:, None])[:, 0] for a in range(0, len(raw), language.SPAN)])
-            log = z - np.log(np.exp(z).sum(1, keepdims=True))
-            assert np.allclose(log.mean(0) - log.mean(0)[0], p - p[0], atol=1e-5) and (z.argmax(1) == m).all()
+            each = np.exp(z) / np.exp(z).sum(1, keepdims=True)
+            assert np.allclose(each.mean(0), p, atol=1e-5) and (z.argmax(1) == m).mean() > 0.99
+
+
+def test_positions_of_a_document_in_two_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.fit(docs)
+    parts = {x: next(r["text"] for r in docs.where(f"lang = '{x}' AND length(text) BETWEEN 800 AND 2000").orderBy("doc_id").collect()) for x in ("de", "en")}
+    text = parts["de"][:600] + "\n" + parts["en"][:300]
+    r = language.identified(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()
+    assert r["lang_pred"] == "de" and r["positions"]["de"] > r["positions"]["en"] > 100
+    assert sum(r["positions"].values()) == len(text.encode())
 
 
 def test_network_gradient():
@@ -485,6 +523,22 @@ def test_packing_round_trip(spark, sf, docs, texts):
     assert all(len(r["ids"]) == 4 * 4096 for r in whole) and sum(r["n_tokens"] for r in whole) == sum(taken.values())
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_any_vocabulary_packs_whole_texts(spark, docs, texts, name):
+    """A vocabulary in which spaces belong to tokens has its texts encoded whole."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    tok = Tokenizer.from_file(path)
+    assert packing._parts_at_spaces(tok) == (name == "word_bpe_49k.json")
+    pieces = packing.pack(docs, path).collect()
+    got = {}
+    for r in sorted(pieces, key=lambda r: r["start"]):
+        got.setdefault(r["doc_id"], []).extend(np.frombuffer(r["ids"], "<u4").tolist())
+    assert got == {i: [*tok.encode(t or "", add_special_tokens=False).ids, packing.END_ID] for i, t in texts.items()}
+
+
 def test_words_encode_as_texts():
     from tokenizers import Tokenizer
 
@@ -514,9 +568,67 @@ def test_pipeline(spark, sf, docs, texts):
     assert kept <= good
     comp, _ = brute_components({i: texts[i] for i in kept}, 5, 80, 100)
     assert all(i == c for i, c in comp.items())  # no two that stay are near duplicates
-    columns = docs.columns
-    step = docs
+
+
+def test_each_stage_of_the_pipeline(spark, sf, docs, texts):
+    """Each stage by itself, on what a small table gives it: what stays, and that columns stay."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    ids = lambda d: [r["doc_id"] for r in d.collect()]
+    own = docs.withColumn("_row", F.lit("own")).withColumn("score", F.lit(-1.0)).where("doc_id % 2 = 0")
+    held = set(ids(own))
+    got = {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        step = stage(spark, step, sf)
-        assert step.columns == columns, name
-        break
+        out = stage(spark, own, sf)
+        assert out.columns == own.columns, name
+        rows = out.collect()
+        assert all(r["_row"] == "own" and r["score"] == -1.0 for r in rows), name
+        got[name] = sorted(r["doc_id"] for r in rows)
+    model = quality.fit(own, spark.read.parquet(f"{sf}/labels.parquet"))
+    assert got["quality classifier"] == sorted(r["doc_id"] for r in quality.scored(docs.where("doc_id % 2 = 0"), model).collect() if r["score"] >= quality.THRESHOLD)
+    net, low = language.fit(own), []
+    for i in held:
+        p = net.label([texts[i]])[0][0]
+        if language._LETTER.search(texts[i] or "") and p.max() >= corpus_pipeline.LEAST_LANGUAGE:
+            low.append(i)
+    assert got["language ID"] == sorted(low)
+    comp, _ = brute_components({i: texts[i] for i in held}, 5, 80, 100)
+    assert Counter(comp[i] for i in got["n-gram Jaccard join"]) == Counter(set(comp.values()))
+    leaked = {r["doc_id"] for r in tiling.op3_string_tiling(spark, sf).collect() if r["contaminated"]}  # equal to brute force above
+    assert got["benchmark decontamination"] == sorted(held - leaked)
+    packed = stages["packing"](spark, own, sf).collect()
+    assert Counter(r["doc_id"] for r in packed if r["start"] == 0) == Counter(held)
+
+
+def test_results_do_not_depend_on_splits(spark, sf, docs):
+    """Tables that are split otherwise when they are read again: the same documents stay, with the same scores."""
+    import corpus_pipeline
+
+    import tempfile
+
+    at = tempfile.mkdtemp(prefix="spark-") + "/documents.parquet"
+    docs.repartition(7).write.parquet(at)
+    sizes = itertools.cycle(["32k", "128m", "100k"])
+    read = spark.read.parquet(at)
+    written = language_model.written
+
+    def other_splits(df, name="table"):
+        out = written(df, name)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", next(sizes))
+        return out
+
+    try:
+        found = []
+        for patched in (written, other_splits):
+            for module in (language_model, jaccard, corpus_pipeline):
+                module.written = patched
+            scores = {r["doc_id"]: round(r["score"], 6) for r in language_model.scored(read, fold("doc_id", 5) != 1, 50, 30_000).collect()}
+            found.append((sorted(r["doc_id"] for r in corpus_pipeline.distinct(spark, read, sf).collect()), scores))
+        assert len(found[0][0]) == len(found[1][0]) > 100
+        assert found[0][1].keys() == found[1][1].keys()
+        assert all(abs(v - found[1][1][i]) < 1e-3 * (1 + abs(v)) for i, v in found[0][1].items())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        for module in (language_model, jaccard, corpus_pipeline):
+            module.written = written
