@@ -50,8 +50,8 @@ _END = b"\n"
 _STEPS = 4096  # of a unit of log10, in what goes between blocks and shards
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
-#: What blocks and ranges or shards send each other. A block's own row passes a range or shard step unchanged; its
-#: dest is negative.
+#: What blocks and ranges or shards send each other. A block's own row passes the ranges unchanged; its dest is
+#: negative.
 _SENT = "dest long, block long, own boolean, data binary"
 
 
@@ -179,10 +179,11 @@ def _numbered(ranges: int):
 class _Block:
     """A block's tokens: words have ranks in the order of their numbers, 0 is the begin mark."""
 
-    def __init__(self, table: pa.Table, n_docs: int, hot: int):
+    def __init__(self, table: pa.Table, n_docs: int, hot: int, pair_rows: list[dict] = ()):
         rows = table.to_pylist()
+        self.pair_rows = pair_rows
         own = next(r for r in rows if r["own"])
-        back = [unbundled(r["data"], "<u8", "<u8") for r in sorted((r for r in rows if not r["own"] and r["dest"] >= 0), key=lambda r: r["dest"])]
+        back = [unbundled(r["data"], "<u8", "<u8") for r in sorted((r for r in rows if not r["own"]), key=lambda r: r["dest"])]
         index, sizes, self.train, self.docs, self.null = unbundled(own["data"], *_OWN)
         self.number, self.sizes, self.hot = own["block"], sizes.astype(np.int64), hot
         ids, counts = (np.concatenate([x[k] for x in back]) for k in (0, 1))
@@ -200,7 +201,6 @@ class _Block:
         self.u[(self.first + 1)[self.sizes > 1]] = 0
         self.width = np.int64(len(self.ids))
 
-        self.pair_rows = [r for r in rows if not r["own"] and r["dest"] < 0]
 
     def is_hot(self, x: np.ndarray) -> np.ndarray:
         return self.count[x] >= self.hot
@@ -270,48 +270,48 @@ def _pair_sums(table: pa.Table) -> pa.Table:
 
 #: A triple's v (as a difference), u, w, count in training texts, -log10 P(w); of a split v, c(v), c(vw), c(uv).
 _TRIPLES = ("<u8", "<u8", "<u8", "<u4", "<u2", "<u8", "<u8", "<u8")
-_SCORED = ("<u4", "<u1", "<u4", "<u1", "<i8", "<u1", "<u4", "<f8")
+
+
+def _laid(x: _Block, n_docs: int, ranges: int, shards: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Of a block: the shards of its distinct triples, in order; u, v, w of each, its count in training texts, and c(v),
+    c(vw), c(uv) where v is split; and which triple each position has."""
+    # positions by v, u, w
+    context = np.unique(x.v * x.width + x.u, return_inverse=True)[1]
+    key = context * x.width + x.w
+    order = np.argsort(key)
+    at = _starts_of(key[order])
+    entry = np.empty(len(key), np.int64)
+    entry[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(key))))
+    u, v, w = (y[order[at]] for y in (x.u, x.v, x.w))
+    n = np.bincount(entry[x.train[x.owner] > 0], minlength=len(at))
+    counts = np.zeros((3, len(at)), np.int64)
+    dest = _place(x.ids[v], np.zeros(len(v), np.uint64), shards)
+    split = np.flatnonzero(x.is_hot(v))
+    if len(split):
+        dest[split], counts[:, split] = x.split(u[split], v[split], w[split], n_docs, ranges, shards)
+    by = np.argsort(dest, kind="stable")
+    sent = np.empty(len(by), np.int64)
+    sent[by] = np.arange(len(by))
+    return dest[by], [y[by] for y in (u, v, w, n, *counts)], sent[entry]
+
+
+def _log_words(x: _Block, n_tokens: int, n_words: int) -> np.ndarray:
+    """log10 P(w) of the block's words."""
+    return np.log10(x.count + 0.5) - np.log10(n_tokens + 0.5 * (n_words + 1))
 
 
 def _triples(n_tokens: int, n_words: int, n_docs: int, hot: int, ranges: int, shards: int):
-    def run(table: pa.Table) -> pa.Table:
-        """Of one block: its distinct triples to the shards; its own row: the documents of all positions in the order
-        in which their triples were sent, where a new triple begins, sizes, and what stands beside the score."""
+    def run(blocks: pa.Table, pairs: pa.Table) -> pa.Table:
+        """Of one block: its distinct triples to the shards."""
         trim()
-        x = _Block(table, n_docs, hot)
-        total = np.log10(n_tokens + 0.5 * (n_words + 1))
-        log_word = np.log10(x.count + 0.5)
-        base = np.add.reduceat(log_word[x.w], x.first) - x.sizes * total
-        known = np.add.reduceat((x.count > 0)[x.w].astype(np.int64), x.first)
-        # positions by v, u, w
-        context = np.unique(x.v * x.width + x.u, return_inverse=True)[1]
-        key = context * x.width + x.w
-        order = np.argsort(key)
-        at = _starts_of(key[order])
-        entry = np.empty(len(key), np.int64)
-        entry[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(key))))
-        u, v, w = (y[order[at]] for y in (x.u, x.v, x.w))
-        n = np.bincount(entry[x.train[x.owner] > 0], minlength=len(at))
-        counts = np.zeros((3, len(at)), np.int64)
-        dest = _place(x.ids[v], np.zeros(len(v), np.uint64), shards)
-        split = np.flatnonzero(x.is_hot(v))
-        if len(split):
-            dest[split], counts[:, split] = x.split(u[split], v[split], w[split], n_docs, ranges, shards)
-        p = np.rint((total - log_word) * _STEPS).clip(0, 65535)[w]
-        by = np.argsort(dest, kind="stable")
-        dest = dest[by]
-        columns = [y[by] for y in (x.ids[v], x.ids[u], x.ids[w], n, p, *counts)]
-        rows = []
+        x = _Block(blocks, n_docs, hot, pairs.to_pylist())
+        dest, (u, v, w, n, *counts), _ = _laid(x, n_docs, ranges, shards)
+        p = np.rint(_log_words(x, n_tokens, n_words) * -_STEPS).clip(0, 65535)[w]
+        columns, rows = [x.ids[v], x.ids[u], x.ids[w], n, p, *counts], []
         for d, a, z in _sliced(dest):
             part = [y[a:z] for y in columns]
-            part[0] = np.diff(part[0], prepend=np.uint64(0))  # v rises inside a shard, but where hot ones are split
+            part[0] = np.diff(part[0], prepend=np.uint64(0))  # v rises inside a shard
             rows.append((d, x.number, False, bundled(*zip(part, _TRIPLES))))
-        sent = np.empty(len(by), np.int64)
-        sent[by] = np.arange(len(by))
-        entry = sent[entry]
-        order = np.argsort(entry, kind="stable")
-        begins = np.append(True, np.diff(entry[order]) > 0)
-        rows.append((-1 - x.number, x.number, True, bundled(*zip((x.owner[order], begins, x.sizes, x.train, x.docs, x.null, known, base), _SCORED))))
         return _table(rows)
 
     return run
@@ -430,8 +430,6 @@ def _shard_scores(table: pa.Table) -> pa.Table:
     """Of one shard: the trie from its training triples, the score of each distinct triple, and to each block those of
     its own."""
     trim()
-    if table.column("own")[0].as_py():
-        return table
     s, blocks = table.column("dest")[0].as_py(), table.column("block").to_pylist()
     parts = [unbundled(x, *_TRIPLES) for x in table.column("data").to_pylist()]
     cuts = np.cumsum([0, *(len(x[0]) for x in parts)])
@@ -451,17 +449,20 @@ def _shard_scores(table: pa.Table) -> pa.Table:
     return _table([(s, b, False, bundled((got[a:z], "<u2"))) for b, a, z in zip(blocks, cuts, cuts[1:])])
 
 
-def _summed(n_tokens: int):
-    def run(table: pa.Table) -> pa.Table:
-        """Of one block: the scores of its positions, summed by document."""
-        rows = table.to_pylist()
-        owner, begins, sizes, train, docs, null, known, base = unbundled(next(r["data"] for r in rows if r["own"]), *_SCORED)
-        got = np.concatenate([unbundled(r["data"], "<u2")[0] for r in sorted((r for r in rows if not r["own"]), key=lambda r: r["dest"])])
-        score = np.bincount(owner, got[np.cumsum(begins, dtype=np.int64) - 1], len(sizes)) / -_STEPS
+def _summed(n_tokens: int, n_words: int, n_docs: int, hot: int, ranges: int, shards: int):
+    def run(blocks: pa.Table, found: pa.Table) -> pa.Table:
+        """Of one block: the scores of its positions, summed by document. The triples are laid out again as they were
+        sent, which costs less than to send where each position's triple went."""
+        trim()
+        rows = found.to_pylist()
+        x = _Block(blocks, n_docs, hot, [r for r in rows if r["dest"] < 0])
+        entry = _laid(x, n_docs, ranges, shards)[2]
+        got = np.concatenate([unbundled(r["data"], "<u2")[0] for r in sorted((r for r in rows if r["dest"] >= 0), key=lambda r: r["dest"])])
+        score = np.bincount(x.owner, got[entry], len(x.sizes)) / -_STEPS
         return pa.table({
-            "doc_id": pa.array(docs, mask=null > 0), "held_out": pa.array(train == 0),
-            "n_tokens": pa.array(sizes.astype(np.int64)), "n_known": pa.array(known.astype(np.int64)),
-            "train_tokens": pa.array(np.full(len(sizes), n_tokens, np.int64)), "base_score": pa.array(base), "score": pa.array(score),
+            "doc_id": pa.array(x.docs, mask=x.null > 0), "held_out": pa.array(x.train == 0), "n_tokens": pa.array(x.sizes),
+            "n_known": pa.array(np.add.reduceat((x.count > 0)[x.w].astype(np.int64), x.first)), "train_tokens": pa.array(np.full(len(x.sizes), n_tokens, np.int64)),
+            "base_score": pa.array(np.add.reduceat(_log_words(x, n_tokens, n_words)[x.w], x.first)), "score": pa.array(score),
         })
 
     return run
@@ -478,11 +479,15 @@ def scored(docs: DataFrame, train: Column, hot: int = HOT, block_bytes: int = BL
     words = written(dealt.groupBy("dest").applyInArrow(_numbered(ranges), _SENT + ", tokens long, words long"), "words")
     n_tokens, n_words = words.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
     blocks = words.where("block >= 0").select("dest", "block", "own", "data")
-    pairs = blocks.groupBy("block").applyInArrow(_pairs(n_docs, hot, ranges), _SENT)
+    by_block = blocks.groupBy("block")  # shuffled once: the steps below use the same exchange
+    sizes = (n_docs, hot, ranges)
+    pairs = by_block.applyInArrow(_pairs(*sizes), _SENT)
     counted = pairs.groupBy("dest").applyInArrow(lambda t: _pair_sums(t), _SENT)
-    triples = blocks.unionByName(counted).groupBy("block").applyInArrow(_triples(n_tokens, n_words, n_docs, hot, ranges, shards), _SENT)
+    triples = by_block.cogroup(counted.groupBy("block")).applyInArrow(_triples(n_tokens, n_words, *sizes, shards), _SENT)
     scores = triples.groupBy("dest").applyInArrow(lambda t: _shard_scores(t), _SENT)
-    return scores.groupBy("block").applyInArrow(_summed(n_tokens), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return by_block.cogroup(scores.unionByName(counted).groupBy("block")).applyInArrow(
+        _summed(n_tokens, n_words, *sizes, shards), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    )
 
 
 def op1_elias_fano_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
