@@ -1,4 +1,4 @@
-"""Queries of the geometry kernels; their results are held against invariants in the tests, or against SQL."""
+"""Queries of the geometry kernels, with SQL where it can say them; tests/test_kernel_queries.py has the others."""
 
 from __future__ import annotations
 
@@ -14,7 +14,11 @@ from .support import Registry, r, rs, with_sql
 reg = Registry()
 
 
-@reg.query()
+@reg.query(f"""{with_sql('points')}, e AS (SELECT p.label, p.x, p.y FROM points p JOIN points o ON p.label = o.label AND p.id <> o.id
+ WHERE NOT EXISTS (SELECT 1 FROM points r WHERE r.label = p.label AND (o.x-p.x)*(r.y-p.y)-(o.y-p.y)*(r.x-p.x) < 0)),
+m AS (SELECT label, avg(x) AS cx, avg(y) AS cy FROM e GROUP BY label), a AS (SELECT e.label, x, y, atan2(y-cy, x-cx) AS t FROM e JOIN m ON e.label = m.label),
+b AS (SELECT *, first_value(t) OVER (PARTITION BY label ORDER BY x, y) AS t0 FROM a)
+SELECT label, row_number() OVER (PARTITION BY label ORDER BY CASE WHEN t >= t0 THEN t - t0 ELSE t - t0 + 2*pi() END) AS pos, {rs('x')} AS x, {rs('y')} AS y FROM b""")
 def convex_hulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hull vertices of each label's points, counter-clockwise."""
     return kernels.hulls(fixtures.points(spark, sf_dir)).select("label", "pos", r("x").alias("x"), r("y").alias("y"))
@@ -48,15 +52,16 @@ def mesh_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @reg.query()
 def polygon_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ear clipping: triangles of each polygon by vertex positions, with their areas."""
+    """Ear clipping: triangles of each polygon by vertex positions, with their areas, and whether they cover all of it."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("pos")
         ring = part[["x", "y"]].to_numpy()
-        rows = [(part["polygon_id"].iloc[0], a + 1, b + 1, c + 1, abs(kernels.area(ring[[a, b, c]]))) for a, b, c in kernels.ear_clipped(ring)]
-        return pd.DataFrame(rows, columns=["polygon_id", "a", "b", "c", "area"])
+        found = kernels.ear_clipped(ring)
+        rows = [(part["polygon_id"].iloc[0], a + 1, b + 1, c + 1, abs(kernels.area(ring[[a, b, c]])), len(found) == len(ring) - 2) for a, b, c in found]
+        return pd.DataFrame(rows, columns=["polygon_id", "a", "b", "c", "area", "complete"])
 
-    return fixtures.polygons(spark, sf_dir).groupBy("polygon_id").applyInPandas(run, "polygon_id int, a long, b long, c long, area double").withColumn("area", r("area"))
+    return fixtures.polygons(spark, sf_dir).groupBy("polygon_id").applyInPandas(run, "polygon_id int, a long, b long, c long, area double, complete boolean").withColumn("area", r("area"))
 
 
 @reg.query()

@@ -97,8 +97,7 @@ def best_supporters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @reg.query()
 def motion_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points whose likeliest matches move alike and that are neighbours, in components (held against the tests'
-    union-find)."""
+    """Points whose likeliest matches move alike and that are neighbours, in components."""
     c, n = candidates(spark, sf_dir)
     p = match_probabilities(c, n, 3)
     top = written(p.groupBy("a").agg(F.max_by(F.struct("vx", "vy"), F.struct("prob", -F.col("b"))).alias("v")).select("a", "v.vx", "v.vy"), "likeliest")

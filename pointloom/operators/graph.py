@@ -90,18 +90,21 @@ def spanning_forest(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         live = live.join(to("a", "ra"), "a", "left").join(to("b", "rb"), "b", "left")
         live = live.select("src", "dst", "w", F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a <> b")
         live = written(live, "live")
+    else:
+        raise RuntimeError("the forest did not settle")
     return (taken if taken is not None else e.limit(0)).distinct()
 
 
-def longest_ranks(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """node, rank: the longest path that ends in the node (topological levels). Raises on a cycle."""
+def longest_ranks(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """node, rank: the longest path that ends in the node (topological levels), of any length unless rounds bound it.
+    Raises on a cycle: a round in which no node is ready."""
     nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
     edges = written(edges.select("src", "dst").distinct(), "edges")
     done, rank = None, 0
     left, rest = written(nodes, "nodes"), edges
     while not left.isEmpty():
-        if rank > rounds:
-            raise ValueError("the graph has a cycle, or paths longer than the rounds allowed")
+        if rounds is not None and rank > rounds:
+            raise ValueError("paths longer than the rounds allowed")
         ready = written(left.join(rest.select(F.col("dst").alias("node")), "node", "left_anti"), "ready")
         if ready.isEmpty():
             raise ValueError("the graph has a cycle")

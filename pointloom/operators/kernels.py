@@ -60,7 +60,8 @@ def clip_convex(subject: np.ndarray, clip: np.ndarray) -> np.ndarray:
 
 
 def ear_clipped(ring: np.ndarray) -> list[tuple[int, int, int]]:
-    """Triangles (vertex positions) of a simple ring; what is left when no ear is found is not covered."""
+    """Triangles (vertex positions) of a simple ring: two less than its vertices. Where no ear is found (the ring crosses
+    itself) the rest is not covered, and there are fewer."""
     left = list(range(len(ring)))
     if area(ring) < 0:
         left.reverse()

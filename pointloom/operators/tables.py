@@ -11,9 +11,12 @@ _own: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for written tables: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The shared folder for written tables: spark.checkpoint.dir, or a temporary one where it is unset (tests). A
+    cluster's executors do not share the driver's temporary folders: there the setting is required."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _own:
             _own.append(f"file://{tempfile.mkdtemp(prefix='pointloom-')}")
         at = _own[0]

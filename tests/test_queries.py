@@ -1,4 +1,4 @@
-"""Every query with SQL agrees with DuckDB on the same tables; every query runs and has a stable schema."""
+"""Every query with SQL agrees with DuckDB on the same tables."""
 
 import math
 
