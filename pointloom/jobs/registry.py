@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import aggregates, clusters, exchange, figures, images, kernels, meshes, motion, predicates, rasters, scalars, sequences
+from . import aggregates, clusters, exchange, figures, grids, images, kernels, meshes, motion, predicates, rasters, scalars, sequences, triples
 
-MODULES = (scalars, predicates, aggregates, sequences, clusters, motion, rasters, images, kernels, meshes, figures, exchange)
+MODULES = (scalars, predicates, aggregates, sequences, clusters, motion, triples, rasters, images, grids, kernels, meshes, figures, exchange)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
 FLAGSHIP = "single_linkage"

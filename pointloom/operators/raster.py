@@ -81,6 +81,20 @@ def distance_transform(cells: DataFrame, on: Column, width: int, height: int) ->
     return cells.select("x", "y").join(d, ["x", "y"], "left")
 
 
+def seeded_distance(cells: DataFrame) -> DataFrame:
+    """x, y, d2: the least, over all cells with a seed, of the seed and the squared distance to it; null without any.
+    cells: x, y, seed (null where there is none). Exact in two passes, rows then columns; a line of the raster is an
+    array in one row, which its width or height bounds."""
+
+    def nearest(df: DataFrame, line: str, along: str, value: str, out: str) -> DataFrame:
+        lines = df.groupBy(line).agg(F.collect_list(F.struct(along, value)).alias("c"))
+        gap = lambda p, q: (p[along] - q[along]) * (p[along] - q[along])
+        best = F.transform("c", lambda p: F.struct(p[along].alias(along), F.array_min(F.transform("c", lambda q: q[value] + gap(p, q))).alias(out)))
+        return lines.select(line, F.explode(best).alias("b")).select(line, f"b.{along}", f"b.{out}")
+
+    return nearest(nearest(cells, "y", "x", "seed", "row"), "x", "y", "row", "d2")
+
+
 def city_block(cells: DataFrame, on: Column) -> DataFrame:
     """x, y, d: city-block distance to the nearest cell of `on`, by windows alone: along rows, then along columns with
     the least of g - y before and of g + y after."""
