@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.tables import scratch_dir, written  # noqa: F401
@@ -175,16 +175,24 @@ def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+#: Groups that the rows of one class are dealt into before its sample is drawn.
+DEALT = 64
+
+
+def least_hashes(rows: DataFrame, group: str, most: int) -> DataFrame:
+    """At most `most` rows of each value of group: those whose _id has the least hash. Map tasks pass on up to `most` rows
+    of a value each, so a value is dealt into DEALT groups first, and its last step sees DEALT * most rows at any size."""
+    order = [F.xxhash64("_id"), F.col("_id")]
+    deal = Window.partitionBy(group, F.pmod(F.hash("_id"), F.lit(DEALT))).orderBy(*order)
+    few = rows.withColumn("_k", F.row_number().over(deal)).where(F.col("_k") <= most)
+    return few.withColumn("_k", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_k") <= most).drop("_k")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, folds: int, out_fold: int) -> tuple[DataFrame, dict[int, int]]:
     """At most per_class documents of each label (those whose id has the least hash), none of the held-out fold, with
     _label; and how many documents each label marks outside of it. The sample's ids are bounded, and are broadcast."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != out_fold))
     known = known.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label"))
     counts = {r["_label"]: r["n"] for r in known.groupBy("_label").agg(F.count("*").alias("n")).collect()}
-    ids = None
-    for c in sorted(counts):
-        own = known.where(F.col("_label") == c).orderBy(F.xxhash64("_id"), "_id").limit(per_class)
-        ids = own if ids is None else ids.unionByName(own)
-    if ids is None:
-        ids = known.limit(0)
+    ids = least_hashes(known, "_label", per_class)
     return docs.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).drop("_id"), counts

@@ -20,10 +20,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fold, slices, starts
+from .common import documents, fold, least_hashes, slices, starts
 
 SPAN = 64
 LABELLED, WARM = 112, 16
@@ -206,9 +206,7 @@ def fit(docs: DataFrame, per_class: int = PER_CLASS) -> Network | None:
     whose id has the least hash)."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = slim.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT))
-    # the least hashes of each language; map tasks send no more than that
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = known.select("doc_id", "lang").withColumn("k", rank).where(F.col("k") <= per_class).select(F.col("doc_id").alias("_id"))
+    ids = least_hashes(known.select(F.col("doc_id").alias("_id"), "lang"), "lang", per_class).select("_id")
     sample = known.join(F.broadcast(ids.distinct()), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
     def run(batches):

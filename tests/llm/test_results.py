@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pointloom.llm import edit_counts, elias_fano, jaccard, language, language_model, line_labels, packing, perspectives, quality, queries, sharding, tiling
-from pointloom.llm.common import fold
+from pointloom.llm.common import fold, least_hashes
 from pointloom.operators.graph import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -632,3 +632,14 @@ def test_results_do_not_depend_on_splits(spark, sf, docs):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         for module in (language_model, jaccard, corpus_pipeline):
             module.written = written
+
+
+def test_least_hashes_of_a_hot_class(spark):
+    """One class of most rows over many partitions, ids that repeat, and a class below the bound."""
+    rows = spark.range(0, 6000, numPartitions=40).select((F.col("id") % 5000).alias("_id"), F.when(F.col("id") % 500 == 0, "rare").otherwise("hot").alias("c"))
+    got = sorted((r["c"], r["_id"]) for r in least_hashes(rows, "c", 300).collect())
+    want = []
+    for c in ("hot", "rare"):
+        own = rows.where(F.col("c") == c).select("_id", F.xxhash64("_id").alias("h")).collect()
+        want += [(c, r["_id"]) for r in sorted(own, key=lambda r: (r["h"], r["_id"]))[:300]]
+    assert got == sorted(want)
