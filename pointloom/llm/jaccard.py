@@ -346,9 +346,9 @@ def _verified(num: int, den: int):
 
 
 def _rest(live: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b: links among what the rounds left. live: sig, key, root of keys whose members are in several components."""
-    least = live.groupBy("sig").agg(F.min("key").alias("m"))
-    groups = components(live.join(least, "sig").where("key <> m").select(F.col("key").alias("a"), F.col("m").alias("b")))
+    """a, b: links among what the rounds left. live: key, root, pivot (the least key of the signature) of signatures
+    whose members are in several components."""
+    groups = components(live.where("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")))
     member = live.select("key", "root").distinct().join(groups.withColumnRenamed("node", "key").withColumnRenamed("root", "comp"), "key")
     member = written(member.join(reps.select("key", F.octet_length("shared").alias("bytes")), "key"), "candidates")
     sizes = member.groupBy("comp").agg(F.count("*").alias("docs"), (F.sum("bytes") / 8).alias("shingles"))
@@ -374,7 +374,7 @@ def _roots(keys: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
         if live.isEmpty():
             break
         if again == ROUNDS:
-            rest = written(_rest(live.select("sig", "key", "root"), reps, num, den), "links")
+            rest = written(_rest(live.select("key", "root", "pivot"), reps, num, den), "links")
             edges = rest if edges is None else edges.unionByName(rest)
             roots = components(edges)
             break
