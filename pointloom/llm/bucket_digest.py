@@ -66,7 +66,7 @@ def bucket_counts(raw: list[bytes]) -> np.ndarray:
 def _count(raw: list[bytes], out: np.ndarray, tail: bytes = b"") -> None:
     """Adds the triplets of some texts to out; tail: what follows the last one."""
     pad = bytes(TAIL)
-    data = np.frombuffer(pad.join([*raw, (tail + pad)[:TAIL]]), np.uint8).astype(np.uint32)
+    data = np.frombuffer(pad.join(raw) + (tail + pad)[:TAIL], np.uint8).astype(np.uint32)
     n = len(data) - TAIL
     if n <= 0:
         return
