@@ -188,11 +188,27 @@ def least_hashes(rows: DataFrame, group: str, most: int) -> DataFrame:
     return few.withColumn("_k", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_k") <= most).drop("_k")
 
 
+#: A text of a training sample counts with so many characters at most. This bounds what the driver trains on; whatever is
+#: scored is read whole.
+TRAINING_CHARS = 1 << 15
+
+
+def drawn(rows: DataFrame, group: str, most: int) -> DataFrame:
+    """At most `most` rows of each value of group, from rows with doc_id and text: those with the least hash of both, so
+    that rows without an id, or with the same one, are rows of their own; their texts up to TRAINING_CHARS characters.
+    Only hashes are ranked at first; rows that have the hashes found are then few, or equal, and ranked once more."""
+    keyed = rows.withColumn("_id", F.xxhash64("doc_id", "text"))
+    few = least_hashes(keyed.select("_id", group), group, most).select("_id").distinct()
+    met = keyed.join(F.broadcast(few), "_id", "left_semi").withColumn("text", F.substring("text", 1, TRAINING_CHARS))
+    return least_hashes(met, group, most).drop("_id")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, folds: int, out_fold: int) -> tuple[DataFrame, dict[int, int]]:
-    """At most per_class documents of each label (those whose id has the least hash), none of the held-out fold, with
-    _label; and how many documents each label marks outside of it. The sample's ids are bounded, and are broadcast."""
+    """At most per_class rows of each label, none of the held-out fold, with _label: rows of the documents whose id has
+    the least hash, and of these rows the ones that `drawn` takes; and how many documents each label marks outside of the
+    fold. The sample's ids are bounded, and are broadcast."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != out_fold))
     known = known.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label"))
     counts = {r["_label"]: r["n"] for r in known.groupBy("_label").agg(F.count("*").alias("n")).collect()}
     ids = least_hashes(known, "_label", per_class)
-    return docs.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).drop("_id"), counts
+    return drawn(docs.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).drop("_id"), "_label", per_class), counts

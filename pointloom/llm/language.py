@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fold, least_hashes, slices, starts
+from .common import documents, drawn, fold, slices, starts
 
 SPAN = 64
 LABELLED, WARM = 112, 16
@@ -203,11 +203,10 @@ class Network:
 
 def fit(docs: DataFrame, per_class: int = PER_CLASS) -> Network | None:
     """Trained on documents with a lang, outside of the held-out fold; at most per_class of each language (those
-    whose id has the least hash)."""
+    with the least hash of id and text)."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = slim.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT))
-    ids = least_hashes(known.select(F.col("doc_id").alias("_id"), "lang"), "lang", per_class).select("_id")
-    sample = known.join(F.broadcast(ids.distinct()), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    sample = drawn(known, "lang", per_class)
 
     def run(batches):
         starts("language")

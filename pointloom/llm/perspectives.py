@@ -3,12 +3,14 @@
 For every participant of a conversation the dialogue is rendered once, with that speaker as the assistant, the others
 as named users and system turns as they are. The result is a row for each turn of each rendering: its text, its place
 in the rendered dialogue, and the part of it that is learned (the assistant's words and the end mark). Whole dialogues
-are these rows put together (`dialogues`). Places are prefix sums in two levels, over blocks of BLOCK turn numbers and
-inside them, so a very long conversation is no single task's.
-
-Turns are in the order of turn (null first), role, text. A null role is the participant `unknown`, a null text is
-empty, a null conv_id is a conversation of its own; repeated rows are turns of their own; a conversation of system
-turns alone has no participant and no rendering; an empty table gives no rows; further columns are not read.
+are these rows put together (`dialogues`). Places are prefix sums in two levels: turns are range-partitioned by their
+order, and sums run over the parts of a conversation and inside them, so that neither a very long conversation nor one
+with many equal turn numbers is a single task's.
+
+Turns are in the order of turn (null first), role, text; equal rows are turns of their own, and interchangeable. A null
+role is the participant `unknown`, a null text is empty. Each row with a null conv_id is a conversation of its own, of
+one turn: its speaker's. A conversation of system turns alone has no participant and no rendering; a very long text is
+one turn; an empty table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
@@ -16,9 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, written
 
-BLOCK = 64
 SYSTEM = "system"
 UNKNOWN = "unknown"
 #: Marks of the rendering (fixed values).
@@ -38,10 +39,26 @@ def rotated(turns: DataFrame) -> DataFrame:
         F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role"), F.lit(UNKNOWN)).alias("speaker"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
-        F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 60))).cast("long").alias("block"),
     )
+    whole = t.where(F.col("conv_id").isNotNull())
+    # The part that a turn is dealt to is its block; written, so that every reading sees the same parts.
+    order = [F.col("conv_id"), F.col("turn").asc_nulls_first(), F.col("speaker"), F.col("text"), F.monotonically_increasing_id()]
+    blocks_of = written(whole.repartitionByRange(*order).withColumn("block", F.spark_partition_id()), "turns")
+    return _together(blocks_of).unionByName(_alone(t.where(F.col("conv_id").isNull() & (F.col("speaker") != SYSTEM))))
+
+
+def _alone(t: DataFrame) -> DataFrame:
+    """Turns that are conversations of their own, by their speakers."""
+    size = F.length("text") + len(ASSISTANT_HEAD) + len(END)
+    return t.select(
+        "conv_id", F.col("speaker").alias("perspective"), "turn", "speaker", F.concat(F.lit(ASSISTANT_HEAD), "text", F.lit(END)).alias("rendered"), F.lit(0).cast("long").alias("start"),
+        F.lit(True).alias("learned"), F.lit(len(ASSISTANT_HEAD)).cast("long").alias("learned_start"), size.cast("long").alias("learned_end"),
+    )
+
+
+def _together(t: DataFrame) -> DataFrame:
     people = t.where(F.col("speaker") != SYSTEM).select(F.col("conv_id").alias("c"), F.col("speaker").alias("perspective")).distinct()
-    rows = t.join(people, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
+    rows = t.join(people, F.col("conv_id") == F.col("c")).drop("c")
     rows = rows.withColumn("head", _head(F.col("speaker"), F.col("perspective")))
     rows = rows.withColumn("size", (F.length("head") + F.length("text") + len(END)).cast("long"))
     # First level: where each block begins.
@@ -51,7 +68,7 @@ def rotated(turns: DataFrame) -> DataFrame:
     # Second level: the turns of a block.
     inside = Window.partitionBy("conv_id", "perspective", "block").orderBy("turn", "speaker", "text").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    placed = rows.join(blocks, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("perspective") == F.col("p")) & (F.col("block") == F.col("b")))
+    placed = rows.join(blocks, (F.col("conv_id") == F.col("c")) & (F.col("perspective") == F.col("p")) & (F.col("block") == F.col("b")))
     start, learned = F.col("base") + F.col("inner"), (F.col("speaker") == F.col("perspective"))
     return placed.select(
         "conv_id",
@@ -91,7 +108,7 @@ WITH t AS (
     CASE WHEN speaker = 'system' THEN '<|system|>' || chr(10)
          WHEN speaker = perspective THEN '<|assistant|>' || chr(10)
          ELSE '<|user|> ' || speaker || ':' || chr(10) END AS head
-  FROM t JOIN people ON t.conv_id IS NOT DISTINCT FROM people.c
+  FROM t JOIN people ON t.conv_id = people.c
 ), placed AS (
   SELECT *, CAST(length(head) + length(text) + 8 AS BIGINT) AS size,
     CAST(coalesce(sum(length(head) + length(text) + 8) OVER (
@@ -104,6 +121,9 @@ SELECT conv_id, perspective, turn, speaker, head || text || '<|end|>' || chr(10)
   CASE WHEN speaker = perspective THEN start + length(head) END AS learned_start,
   CASE WHEN speaker = perspective THEN start + size END AS learned_end
 FROM placed
+UNION ALL
+SELECT conv_id, speaker, turn, speaker, '<|assistant|>' || chr(10) || text || '<|end|>' || chr(10), 0, true, 14, CAST(14 + length(text) + 8 AS BIGINT)
+FROM t WHERE conv_id IS NULL AND speaker <> 'system'
 """
 
 QUERIES = {"op6_perspective_rotation": op6_perspective_rotation}

@@ -112,7 +112,8 @@ def shard(df: DataFrame, key: Column, id_col: str, size: Column, n_shards: int =
         bases.append((r, base_n, base_b))
         base_n, base_b = base_n + n, base_b + b
     # A row for each range: their number is the parameter above.
-    table = F.broadcast(df.sparkSession.createDataFrame(bases, "_r int, _base_n bigint, _base_b bigint"))
+    rows_of = F.from_json(F.lit(json.dumps([dict(zip(("_r", "_base_n", "_base_b"), b)) for b in bases])), "array<struct<_r:int,_base_n:bigint,_base_b:bigint>>")
+    table = F.broadcast(df.sparkSession.range(1).select(F.inline(rows_of)))
     order = Window.partitionBy("_r").orderBy("_key")
     run = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = (

@@ -240,18 +240,19 @@ def _by_shuffle(own: DataFrame, items: DataFrame, threshold: float, seed: int) -
     def run(batches):
         starts("tiling")
         for b in slices(batches):
-            cover, marks = [], []
+            cover, marks, texts = [], [], []
             for text, item, i in zip(*(b.column(c).to_pylist() for c in ("text", "item", "item_id"))):
                 d, p = _hashed(text), _hashed(item)
                 at = np.flatnonzero(np.isin(Running(d).windows(seed), Running(p).windows(seed)))
                 got = _tiled(d, at, p, seed)
                 cover.append(sum(x[2] for x in got) / len(p))
                 marks.append(_marks(i, got))
-            yield pa.RecordBatch.from_arrays([b.column("_row"), b.column("_item"), b.column("item_id"), pa.array(cover, pa.float64()), pa.array(marks, _TILE_KIND)], ["_row", "_item", "item_id", "c", "t"])
+                texts.append(item if cover[-1] >= threshold else None)  # orders the tiles of items with one id
+            yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array(texts, pa.string()), b.column("item_id"), pa.array(cover, pa.float64()), pa.array(marks, _TILE_KIND)], ["_row", "item", "item_id", "c", "t"])
 
-    tiled = pairs.mapInArrow(run, f"_row long, _item long, item_id long, c double, t {_TILES}").where("c > 0")
+    tiled = pairs.mapInArrow(run, f"_row long, item string, item_id long, c double, t {_TILES}").where("c > 0")
     order = F.struct(-F.col("c"), F.col("item_id").isNull(), "item_id")
-    enough = F.when(F.col("c") >= threshold, F.struct(F.col("item_id").isNull().alias("last"), "item_id", "_item", "t"))
+    enough = F.when(F.col("c") >= threshold, F.struct(F.col("item_id").isNull().alias("last"), "item_id", "item", "t"))
     best = tiled.groupBy("_row").agg(F.max("c").alias("coverage"), F.min_by("item_id", order).alias("item_id"), F.array_sort(F.collect_list(enough)).alias("items"))
     best = best.select("_row", "coverage", "item_id", F.flatten(F.transform("items", lambda x: x["t"])).alias("tiles"))
     out = docs.join(best, "_row", "left").withColumn("coverage", F.coalesce("coverage", F.lit(0.0)))
@@ -260,7 +261,7 @@ def _by_shuffle(own: DataFrame, items: DataFrame, threshold: float, seed: int) -
 
 def decontaminated(docs: DataFrame, bench: DataFrame, threshold: float = THRESHOLD, seed: int = SEED, most_words: int = BLOCK_WORDS) -> DataFrame:
     """docs with contaminated; coverage and item_id of the item covered most (ties: the least id); the tiles of all
-    items that are covered enough. A benchmark of more than about most_words words is joined by a shuffle."""
+    items that are covered enough, by the items' ids (null last) and texts. A benchmark of more than about most_words words is joined by a shuffle."""
     own = docs.drop(*(c for c, _ in _ADDED))
     items = bench.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     words = items.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) / 5 + 1), F.lit(0.0))).first()[0]
