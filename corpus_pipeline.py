@@ -16,11 +16,14 @@ from pointloom.llm.common import documents, written
 
 #: A document goes if its language is undetermined or less likely than this.
 LEAST_LANGUAGE = 0.4
+#: What the operators read of documents, when they are trained and when they score.
+READ = ("doc_id", "text", "lang", "n_chars")
 
 
 def _filtered(docs: DataFrame, operator: Callable[[DataFrame], DataFrame], keep: Column) -> DataFrame:
-    """The rows of docs whose results keep; columns that are named like results stand aside while the operator runs."""
-    aside = {c: f"own_{n}_{c}" for n, c in enumerate(docs.columns) if c not in ("doc_id", "text", "lang")}
+    """The rows of docs whose results keep; columns that no operator reads stand aside while it runs, as they may be
+    named like its results."""
+    aside = {c: f"own_{n}_{c}" for n, c in enumerate(docs.columns) if c not in READ}
     found = operator(docs.withColumnsRenamed(aside)).where(keep)
     return found.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
 
