@@ -83,3 +83,15 @@ def test_an_edit_encodes_what_it_touches():
             text = text[:at] + new + text[at + size // 2 :]
             assert tree.encoded - before <= len(counter.cut(new)) + 8
     assert tree.text() == text and tree.total == len(counter.encoding.encode_ordinary(text))
+
+
+def test_the_pipeline_scores_quality_as_the_operator_does(spark):
+    """On a table where a score without n_chars would give other verdicts."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    good = lambda d: {r["doc_id"] for r in quality.scored(d, model).collect() if r["score"] >= quality.THRESHOLD}
+    assert good(docs) != good(docs.drop("n_chars"))
+    assert {r["doc_id"] for r in corpus_pipeline.good(spark, docs, sf).collect()} == good(docs)
