@@ -10,7 +10,8 @@ phrase can be frequent without being admitted or having a frequent phrase inside
 2. A full pass counts the family and its border over all blocks, words included.
 3. Phrases of the border that prove frequent join the family, and further passes count what is newly admitted, until no
    pass finds any: then every frequent phrase has been counted.
-4. A last pass spells out the frequent phrases and counts them by their words, so that nothing rests on hashes.
+4. Two last passes spell out the frequent phrases, and then the words that these hold, and count them as they are
+   spelled, so that nothing rests on hashes.
 
 The family travels to the tasks as a bit map of 64-bit hashes, whose size is a parameter (BITS) and does not grow with
 the data. A bit that another phrase has set only admits a phrase too many, which is counted and then found infrequent;
@@ -86,6 +87,18 @@ def encoded(docs: DataFrame) -> DataFrame:
     return written(slim.mapInArrow(run, "lang string, sampled boolean, n long, book binary, ids binary"), "blocks")
 
 
+def _word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
+    import xxhash
+
+    seed = xxhash.xxh32_intdigest(lang.encode("utf-8", "surrogatepass"))
+    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
+
+
+def _longer(h: np.ndarray, word: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of phrases of k words: of their first k - 1 words, and the last."""
+    return mixed(h * np.uint64(0x9E3779B97F4A7C15) + word + np.uint64(k))
+
+
 def _bits(family: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which hashes have their bit set in a map of 64-bit words."""
     p = hashes >> np.uint64(64 - BITS)
@@ -93,49 +106,61 @@ def _bits(family: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """The phrases of one block, level by level.
-
-    Level k has, for each place where a phrase of k words is admitted, the phrase's number in the block (numbers are
-    exact: pairs of a phrase of k - 1 words and a word), and for each number the hash and the count.
-    """
+    """The phrases of one block, level by level: those of k words begin where two of k - 1 words begin in a row."""
 
     def __init__(self, lang: str, book: bytes, ids: bytes):
-        import xxhash
-
         self.book = book.split(b" ")
         self.ids = np.frombuffer(ids, "<u4").astype(np.int64)
-        seed = xxhash.xxh32_intdigest(lang.encode("utf-8", "surrogatepass"))
-        self.words = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in self.book), np.uint64, len(self.book))
-
-    def levels(self, family: np.ndarray, longest: int = LONGEST, before: np.ndarray | None = None):
-        """Yields k, hashes, counts, first places, admitted before, for the phrases of each level: those of which all
-        shorter phrases are in the family; the last array tells of which all are in the family before, too."""
-        at = np.flatnonzero(self.ids)
-        number = self.ids[at] - 1
-        count = np.bincount(number, minlength=len(self.book))
-        first = np.zeros(len(self.book), np.int64)
-        first[number[::-1]] = at[::-1]
-        hashes, old = self.words, np.full(len(self.book), before is not None)
-        for k in range(1, longest + 1):
-            yield k, hashes, count, first, old
-            if k == longest:
-                return
-            # Places where a phrase of the family begins; two places in a row hold phrases that share all but a word.
-            keep = _bits(family, hashes)[number]
-            at, number = at[keep], number[keep]
+        self.words = _word_hashes(lang, self.book)
+
+    def counted(self, family: np.ndarray, first: int = 1, longest: int = LONGEST, before: np.ndarray | None = None):
+        """Yields hashes and counts of the phrases of first to longest words that the family admits and the one before
+        did not: those of which all shorter phrases are in it. Only hashes are compared here, place by place."""
+        if first <= 1 and before is None:
+            yield self.words, np.bincount(self.ids[self.ids > 0] - 1, minlength=len(self.book))
+        good = np.concatenate([[False], _bits(family, self.words)])[self.ids]
+        at = np.flatnonzero(good)
+        h = self.words[self.ids[at] - 1]
+        old = _bits(before, h) if before is not None else np.zeros(len(h), bool)
+        for k in range(2, longest + 1):
+            # Two places in a row where phrases of the family begin hold phrases that share all but a word.
             pair = np.flatnonzero(at[1:] == at[:-1] + 1)
             if not len(pair):
                 return
-            a, b, at = number[pair], number[pair + 1], at[pair]
-            last = self.ids[at + k] - 1
-            keys, one, number, count = np.unique(a * len(self.book) + last, return_index=True, return_inverse=True, return_counts=True)
+            old, at = old[pair] & old[pair + 1], at[pair]
+            h = _longer(h[pair], self.words[self.ids[at + k - 1] - 1], k)
+            if k >= first:
+                yield np.unique(h[~old], return_counts=True)
+            keep = _bits(family, h)
+            at, h, old = at[keep], h[keep], old[keep]
             if before is not None:
-                old &= _bits(before, hashes)
-                old = old[a[one]] & old[b[one]]
-            else:
-                old = np.zeros(len(keys), bool)
-            first = at[one]
-            hashes = mixed(hashes[keys // len(self.book)] * np.uint64(0x9E3779B97F4A7C15) + self.words[keys % len(self.book)] + np.uint64(k))
+                old &= _bits(before, h)
+
+    def spelled(self, family: np.ndarray, longest: int = LONGEST):
+        """Yields the phrases of two words and more that are in the family, and their counts; phrases are told apart by
+        numbers in the block (of a phrase and its next word), so counts are exact."""
+        number = self.ids - 1
+        at = np.flatnonzero(np.concatenate([[False], _bits(family, self.words)])[self.ids])
+        number, hashes = number[at], self.words
+        for k in range(2, longest + 1):
+            pair = np.flatnonzero(at[1:] == at[:-1] + 1)
+            if not len(pair):
+                return
+            at = at[pair]
+            keys, one, number, count = np.unique(number[pair] * len(self.book) + self.ids[at + k - 1] - 1, return_index=True, return_inverse=True, return_counts=True)
+            hashes = _longer(hashes[keys // len(self.book)], self.words[keys % len(self.book)], k)
+            good = _bits(family, hashes)
+            for i, n in zip(at[one[good]].tolist(), count[good].tolist()):
+                yield self.spell(i, k), n
+            keep = good[number]
+            at, number = at[keep], number[keep]
+
+    def of_words(self, family: np.ndarray):
+        """Yields the words that are in the family, and their counts."""
+        good = np.flatnonzero(_bits(family, self.words))
+        count = np.bincount(self.ids, minlength=len(self.book) + 1)
+        for i, n in zip(good.tolist(), count[good + 1].tolist()):
+            yield self.book[i], n
 
     def spell(self, at: int, k: int) -> bytes:
         return b" ".join(self.book[i - 1] for i in self.ids[at : at + k].tolist())
@@ -156,10 +181,9 @@ def _counted(blocks: DataFrame, family, before=None, first: int = 1, longest: in
 
         for b in batches:
             for lang, book, ids in zip(*(b.column(c).to_pylist() for c in ("lang", "book", "ids"))):
-                for k, h, n, _, known in Block(lang, book, ids).levels(new, longest, old):
-                    if k >= first:
-                        held.append((h[~known], n[~known]))
-                        size += len(held[-1][0])
+                for h, n in Block(lang, book, ids).counted(new, first, longest, old):
+                    held.append((h, n))
+                    size += len(h)
                 if size > HELD:
                     yield flush()
                     held, size = [], 0
@@ -180,7 +204,8 @@ def _marked(counts: DataFrame, least: int, family: np.ndarray) -> np.ndarray:
 
 
 def frequent_phrases(blocks: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
-    """lang, phrase, k, f: every phrase of 1 to longest words that occurs at least so often, counted exactly."""
+    """lang, phrase, k, f: every phrase of 2 to longest words that occurs at least so often, and its words, counted
+    exactly."""
     spark = blocks.sparkSession
     send = lambda family: spark.sparkContext.broadcast(family.tobytes())
     family = np.zeros(1 << (BITS - 6), np.uint64)
@@ -196,22 +221,72 @@ def frequent_phrases(blocks: DataFrame, least: int = LEAST, longest: int = LONGE
         if (grown == family).all():
             break
         before, family = family, grown
-    sure = send(frequent)
+    whole = written(_spelled(blocks, send(frequent), lambda block, bits: block.spelled(bits, longest), least), "phrases")
+    # Of words, those count that the phrases hold.
+    held = whole.select("lang", F.explode(F.array_distinct(F.split("phrase", " "))).alias("word")).distinct()
+
+    def hashed(batches):
+        for b in batches:
+            h = [int(_word_hashes(lang, [w.encode("utf-8", "surrogatepass")])[0]) for lang, w in zip(b.column("lang").to_pylist(), b.column("word").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(h, np.uint64).view(np.int64))], ["h"])
+
+    needed = _marked(held.mapInArrow(hashed, "h long").withColumn("n", F.lit(1)), 1, np.zeros_like(frequent))
+    words = _spelled(blocks, send(needed), lambda block, bits: block.of_words(bits), least)
+    return whole.unionByName(written(words, "words"))
+
+
+#: Phrases that a task adds up before it passes them on, by hash of the phrase to so many dealers.
+SPELLED, DEALERS = 500_000, 256
+
+
+def _spelled(blocks: DataFrame, family, of, least: int) -> DataFrame:
+    """lang, phrase, k, f: what of(block, family) yields of all blocks, added up by the phrases themselves. Tasks pass on
+    what they have added up as packed rows, one for each dealer; phrases meet there."""
+    kind = pa.schema([("dealer", pa.int32()), ("lang", pa.string()), ("phrases", pa.binary()), ("counts", pa.binary())])
+
+    def run(batches):
+        import xxhash
 
-    def spelled(batches):
         starts("collocations")
-        bits = np.frombuffer(sure.value, np.uint64)
+        bits, sums, size = np.frombuffer(family.value, np.uint64), defaultdict(lambda: defaultdict(int)), 0
+
+        def flush():
+            rows = []
+            for lang, found in sums.items():
+                dealt = defaultdict(list)
+                for phrase in found:
+                    dealt[xxhash.xxh32_intdigest(phrase) % DEALERS].append(phrase)
+                for d, phrases in dealt.items():
+                    rows.append({"dealer": d, "lang": lang, "phrases": b"\n".join(phrases), "counts": np.array([found[x] for x in phrases], "<i8").tobytes()})
+            sums.clear()
+            return pa.RecordBatch.from_pylist(rows, kind)
+
         for b in batches:
             for lang, book, ids in zip(*(b.column(c).to_pylist() for c in ("lang", "book", "ids"))):
-                block = Block(lang, book, ids)
-                for k, h, n, at, _ in block.levels(bits, longest):
-                    good = np.flatnonzero(_bits(bits, h))
-                    if len(good):
-                        text = [block.spell(i, k).decode() for i in at[good].tolist()]
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(good)), pa.array(text, pa.string()), pa.array(np.full(len(good), k, np.int32)), pa.array(n[good].astype(np.int64))], ["lang", "phrase", "k", "f"])
-
-    found = blocks.mapInArrow(spelled, "lang string, phrase string, k int, f long").groupBy("lang", "phrase").agg(F.max("k").alias("k"), F.sum("f").alias("f"))
-    return written(found.where(F.col("f") >= least), "phrases")
+                found = sums[lang]
+                size -= len(found)
+                for phrase, n in of(Block(lang, book, ids), bits):
+                    found[phrase] += n
+                size += len(found)
+                if size > SPELLED:
+                    yield flush()
+                    size = 0
+        if size:
+            yield flush()
+
+    def merge(batches):
+        sums = defaultdict(int)
+        for b in batches:
+            for lang, phrases, counts in zip(*(b.column(c).to_pylist() for c in ("lang", "phrases", "counts"))):
+                for phrase, n in zip(phrases.split(b"\n"), np.frombuffer(counts, "<i8").tolist()):
+                    sums[lang, phrase] += n
+        found = [(lang, x.decode(), x.count(b" ") + 1, n) for (lang, x), n in sums.items() if n >= least]
+        for a in range(0, len(found), 10_000):
+            columns = list(zip(*found[a : a + 10_000]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int64()))], ["lang", "phrase", "k", "f"])
+
+    dealt = blocks.mapInArrow(run, "dealer int, lang string, phrases binary, counts binary")
+    return dealt.repartition("dealer").mapInArrow(merge, "lang string, phrase string, k int, f long")
 
 
 def scored(phrases: DataFrame, totals: DataFrame, most: int = MOST) -> DataFrame:
