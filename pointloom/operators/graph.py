@@ -5,6 +5,8 @@ Edges are (src, dst[, w]); node ids are long. Loops stop when nothing changes; a
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -159,20 +161,20 @@ def _reached(start: DataFrame, inside: DataFrame) -> DataFrame:
 
 
 def traced(parents: DataFrame, rounds: int | None = None) -> DataFrame:
-    """child, ancestor, steps for every ancestor. parents: child, parent. Raises on a cycle: when the rounds, as many
-    as there are children unless given, have not emptied the front."""
-    front = written(parents.select("child", F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("steps")), "front")
-    up = parents.select(F.col("child").alias("c"), F.col("parent").alias("p"))
-    found, done = front, 0
-    if rounds is None:
-        rounds = parents.select("child").distinct().count()
-    while not front.isEmpty():
-        if done > rounds:
-            raise ValueError("a cycle, or paths longer than the rounds allowed")
-        front = written(front.join(up, F.col("ancestor") == F.col("c")).select("child", F.col("p").alias("ancestor"), (F.col("steps") + 1).alias("steps")), "front")
-        found = found.unionByName(front)
-        done += 1
-    return found
+    """child, ancestor, steps for every ancestor, by doubling: a round joins the ancestors at the greatest distance yet
+    with their own, so a chain takes as many rounds as its length has binary digits. parents: child, parent. Raises on a
+    cycle (a node that is its own ancestor), or on paths longer than 2 to the power of rounds."""
+    found = written(parents.select("child", F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("steps")), "traced")
+    for k in itertools.count():
+        if not found.where("child = ancestor").isEmpty():
+            raise ValueError("the graph has a cycle")
+        far = found.where(F.col("steps") == 2**k)
+        if far.isEmpty():
+            return found
+        if rounds is not None and k >= rounds:
+            raise ValueError("paths longer than the rounds allowed")
+        more = far.join(found.select(F.col("child").alias("c"), F.col("ancestor").alias("p"), F.col("steps").alias("s")), F.col("ancestor") == F.col("c"))
+        found = written(found.unionByName(more.select("child", F.col("p").alias("ancestor"), (F.col("steps") + F.col("s")).alias("steps"))), "traced")
 
 
 def best_parents(nodes: DataFrame, edges: DataFrame) -> DataFrame:

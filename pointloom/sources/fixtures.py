@@ -6,6 +6,8 @@ needs is read. `SQL` has the same derivations for DuckDB, as common table expres
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +66,31 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def lattice(spark: SparkSession, sf_dir: str) -> tuple[int, DataFrame]:
+    """The width of a square grid that grows with the line items (a power of two, about the root of their number), and
+    x, y, val of the cells that have some: parts by suppliers, modulo the width."""
+    li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")
+    width = 1 << max(1, int(math.log2(max(4, li.count())) / 2))
+    return width, li.groupBy((F.col("l_partkey") % width).alias("x"), (F.col("l_suppkey") % width).alias("y")).agg(F.count("*").alias("val"))
+
+
+def mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """face, v1, x1, y1, v2, x2, y2, v3, x3, y3: two counter-clockwise triangles for each cell of the lattice that has
+    line items and neighbours above; its corners are a little out of place."""
+    width, cells = lattice(spark, sf_dir)
+    at = lambda i, j: (F.col("x") + i, F.col("y") + j)
+
+    def corner(n: int, i: int, j: int) -> list:
+        x, y = at(i, j)
+        dx, dy = F.pmod(x * 7 + y * 13, F.lit(11)) / 11.0 - 0.5, F.pmod(x * 5 + y * 3, F.lit(7)) / 7.0 - 0.5
+        return [(y * width + x).alias(f"v{n}"), (x + 0.3 * dx).alias(f"x{n}"), (y + 0.3 * dy).alias(f"y{n}")]
+
+    cells = cells.where((F.col("x") < width - 1) & (F.col("y") < width - 1))
+    face = 2 * (F.col("y") * width + F.col("x"))
+    lower = cells.select(face.alias("face"), *corner(1, 0, 0), *corner(2, 1, 0), *corner(3, 1, 1))
+    return lower.unionByName(cells.select((face + 1).alias("face"), *corner(1, 0, 0), *corner(2, 1, 1), *corner(3, 0, 1)))
+
+
 SQL = {
     "points": "points AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, label FROM embeddings)",
     "contours": "contours AS (SELECT user_id AS contour_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS DOUBLE) AS x, value AS y, value AS strength FROM events)",
@@ -72,11 +99,18 @@ polygons AS (SELECT label AS polygon_id, row_number() OVER (PARTITION BY label O
     "edges": "edges AS (SELECT l_partkey AS src, -l_suppkey AS dst, min(l_quantity) AS w FROM lineitem GROUP BY ALL)",
     "pixels": f"""counts AS (SELECT l_partkey % {GRID} AS x, l_suppkey % {GRID} AS y, count(*) AS val FROM lineitem GROUP BY ALL),
 pixels AS (SELECT a.i AS x, b.i AS y, coalesce(val, 0) AS val FROM range({GRID}) a(i) CROSS JOIN range({GRID}) b(i) LEFT JOIN counts ON counts.x = a.i AND counts.y = b.i)""",
+    "lattice": """width AS (SELECT CAST(1 << greatest(1, CAST(floor(log2(greatest(4, count(*))) / 2) AS INTEGER)) AS BIGINT) AS w FROM lineitem),
+lattice AS (SELECT l_partkey % w AS x, l_suppkey % w AS y, count(*) AS val FROM lineitem, width GROUP BY ALL)""",
+    "mesh": """mesh AS (SELECT face, y1 * w + x1 AS v1, x1 + 0.3 * ((x1 * 7 + y1 * 13) % 11 / 11.0 - 0.5) AS x1, y1 + 0.3 * ((x1 * 5 + y1 * 3) % 7 / 7.0 - 0.5) AS y1,
+ y2 * w + x2 AS v2, x2 + 0.3 * ((x2 * 7 + y2 * 13) % 11 / 11.0 - 0.5) AS x2, y2 + 0.3 * ((x2 * 5 + y2 * 3) % 7 / 7.0 - 0.5) AS y2,
+ y3 * w + x3 AS v3, x3 + 0.3 * ((x3 * 7 + y3 * 13) % 11 / 11.0 - 0.5) AS x3, y3 + 0.3 * ((x3 * 5 + y3 * 3) % 7 / 7.0 - 0.5) AS y3
+ FROM (SELECT w, 2 * (y * w + x) AS face, x AS x1, y AS y1, x + 1 AS x2, y AS y2, x + 1 AS x3, y + 1 AS y3 FROM lattice, width WHERE x < w - 1 AND y < w - 1
+ UNION ALL SELECT w, 2 * (y * w + x) + 1, x, y, x + 1, y + 1, x, y + 1 FROM lattice, width WHERE x < w - 1 AND y < w - 1))""",
     "tree": """tree AS (SELECT 'r' || r_regionkey AS child, 'root' AS parent FROM region
 UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation
 UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer)""",
 }
-NEEDS = {"polygons": ("points",)}
+NEEDS = {"polygons": ("points",), "mesh": ("lattice",)}
 
 
 def with_sql(*names: str, recursive: bool = False) -> str:
