@@ -10,7 +10,7 @@ import itertools
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from .tables import written
+from .tables import Growing, let_go, written
 
 ROUNDS = 60
 
@@ -34,7 +34,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e, now = _settling(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        new, now = _settling(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        let_go(e)
+        e = new
         if now == seen:
             break
         seen = now
@@ -51,21 +53,23 @@ def undirected(edges: DataFrame) -> DataFrame:
 def shortest_paths(edges: DataFrame, source: DataFrame, rounds: int | None = None) -> DataFrame:
     """node, dist, parent, relaxed until nothing improves (Bellman-Ford). source: node. Ties take the least parent. Only
     nodes that improved send in the next round. Raises on a negative cycle: when the rounds, as many as there are nodes
-    unless given, have not emptied the front."""
-    best = written(source.select("node", F.lit(0.0).alias("dist"), F.lit(None).cast("long").alias("parent")).distinct(), "dist")
-    front, done = best, 0
+    unless given, have not emptied the front. Distances that a round improves are added to one folder."""
+    front, done = written(source.select("node", F.lit(0.0).alias("dist"), F.lit(None).cast("long").alias("parent")).distinct(), "front"), 0
+    found = Growing(front, "dist")
     if rounds is None:
-        rounds = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).unionByName(best.select("node")).distinct().count()
+        rounds = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).unionByName(front.select("node")).distinct().count()
     while not front.isEmpty():
         if done > rounds:
             raise ValueError("a negative cycle, or paths longer than the rounds allowed")
         sent = front.join(edges, front["node"] == edges["src"]).groupBy(F.col("dst").alias("node")).agg(F.min(F.struct((F.col("dist") + F.col("w")).alias("dist"), F.col("src").alias("parent"))).alias("s"))
         sent = sent.select("node", "s.dist", "s.parent")
-        old = best.select(F.col("node").alias("n"), F.col("dist").alias("d"))
-        front = written(sent.join(old, F.col("node") == F.col("n"), "left").where("d IS NULL OR dist < d").select("node", "dist", "parent"), "front")
-        best = written(best.join(front.select("node"), "node", "left_anti").unionByName(front), "dist")
+        old = found.table().select(F.col("node").alias("n"), F.col("dist").alias("d")).groupBy("n").agg(F.min("d").alias("d"))
+        new = written(sent.join(old, F.col("node") == F.col("n"), "left").where("d IS NULL OR dist < d").select("node", "dist", "parent"), "front")
+        let_go(front)
+        front = new
+        found.add(front)
         done += 1
-    return best
+    return found.table().groupBy("node").agg(F.min(F.struct("dist", "parent")).alias("s")).select("node", "s.dist", "s.parent")
 
 
 def breadth_first(edges: DataFrame, source: DataFrame, rounds: int | None = None) -> DataFrame:
@@ -102,20 +106,20 @@ def longest_ranks(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     Raises on a cycle: a round in which no node is ready."""
     nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
     edges = written(edges.select("src", "dst").distinct(), "edges")
-    done, rank = None, 0
-    left, rest = written(nodes, "nodes"), edges
+    rank, left, rest = 0, written(nodes, "nodes"), edges
+    done = Growing(left.limit(0).withColumn("rank", F.lit(0).cast("long")), "ranks")
     while not left.isEmpty():
         if rounds is not None and rank > rounds:
             raise ValueError("paths longer than the rounds allowed")
         ready = written(left.join(rest.select(F.col("dst").alias("node")), "node", "left_anti"), "ready")
         if ready.isEmpty():
             raise ValueError("the graph has a cycle")
-        now = ready.withColumn("rank", F.lit(rank).cast("long"))
-        done = now if done is None else done.unionByName(now)
-        left = written(left.join(ready, "node", "left_anti"), "nodes")
-        rest = written(rest.join(ready.withColumnRenamed("node", "src"), "src", "left_anti"), "edges")
+        done.add(ready.withColumn("rank", F.lit(rank).cast("long")))
+        fewer = written(left.join(ready, "node", "left_anti"), "nodes"), written(rest.join(ready.withColumnRenamed("node", "src"), "src", "left_anti"), "edges")
+        let_go(left, rest, ready)
+        left, rest = fewer
         rank += 1
-    return done if done is not None else nodes.withColumn("rank", F.lit(0).cast("long"))
+    return done.table()
 
 
 def strong_components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
@@ -174,7 +178,9 @@ def traced(parents: DataFrame, rounds: int | None = None) -> DataFrame:
         if rounds is not None and k >= rounds:
             raise ValueError("paths longer than the rounds allowed")
         more = far.join(found.select(F.col("child").alias("c"), F.col("ancestor").alias("p"), F.col("steps").alias("s")), F.col("ancestor") == F.col("c"))
-        found = written(found.unionByName(more.select("child", F.col("p").alias("ancestor"), (F.col("steps") + F.col("s")).alias("steps"))), "traced")
+        new = written(found.unionByName(more.select("child", F.col("p").alias("ancestor"), (F.col("steps") + F.col("s")).alias("steps"))), "traced")
+        let_go(found)
+        found = new
 
 
 def best_parents(nodes: DataFrame, edges: DataFrame) -> DataFrame:

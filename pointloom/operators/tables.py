@@ -28,4 +28,31 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_at = path
+    return table
+
+
+def let_go(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more: what came out of them has been written, or collected. Frames
+    that were not returned by `written` stay as they are."""
+    for t in tables:
+        path = t.__dict__.pop("written_at", None)
+        if path:
+            at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Growing:
+    """A table that rounds add to: one folder, so that its plan does not grow with the rounds."""
+
+    def __init__(self, first: DataFrame, name: str = "growing"):
+        self.spark, self.schema = first.sparkSession, first.schema
+        self.path = f"{scratch_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        self.add(first)
+
+    def add(self, more: DataFrame) -> None:
+        more.write.mode("append").option("compression", "zstd").parquet(self.path)
+
+    def table(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
