@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..operators import graph, kernels
-from ..operators.tables import written
+from ..operators.tables import let_go, written
 from ..sources import fixtures
 from .aggregates import _EIGEN
 from .scalars import _RING_SQL, ring
@@ -29,26 +29,31 @@ def _nation_sql(rounds: int) -> str:
     return sql + f" SELECT a, b, {rs('d', 4)} AS d FROM d{rounds}"
 
 
-@reg.query(_nation_sql(5))
-def all_pairs_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Least distances between nations, from suppliers' to those of the customers they deliver to, over any number of
-    edges: the distance table times itself, least for plus, until it no longer changes. A customer without an order
-    gives its nation only."""
+def nation_distances(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Edges between nations (a, b, d: suppliers' to those of the customers they deliver to), and least distances over
+    any number of edges: the distance table times itself, least for plus, until it no longer changes. A customer without
+    an order gives its nation only."""
     s, c, o, li = (fixtures.table(spark, sf_dir, t) for t in ("supplier", "customer", "orders", "lineitem"))
     trade = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("l_suppkey", "o_custkey").distinct()
     e = trade.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("s_nationkey").alias("a"), F.col("c_nationkey").alias("b")).agg(F.min(F.abs(F.col("s_acctbal") - F.col("c_acctbal"))).alias("d"))
+    e = written(e, "edges")
     own = s.select(F.col("s_nationkey").alias("a")).unionByName(c.select(F.col("c_nationkey").alias("a"))).where("a IS NOT NULL").distinct().select("a", F.col("a").alias("b"), F.lit(0.0).alias("d"))
     d = written(e.unionByName(own).groupBy("a", "b").agg(F.min("d").alias("d")), "paths")
     for _ in range(own.count() + 1):
         q = d.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("d").alias("d2"))
         new = written(d.join(q, "b").groupBy("a", F.col("c").alias("b2")).agg(F.min(F.col("d") + F.col("d2")).alias("d")).withColumnRenamed("b2", "b"), "paths")
         same = new.join(d, ["a", "b", "d"], "left_anti").isEmpty()
+        let_go(d)
         d = new
         if same:
-            break
-    else:
-        raise RuntimeError("the paths did not settle")
-    return d.select("a", "b", r("d", 4).alias("d"))
+            return e, d
+    raise RuntimeError("the paths did not settle")
+
+
+@reg.query(_nation_sql(5))
+def all_pairs_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least distances between nations over any number of edges."""
+    return nation_distances(spark, sf_dir)[1].select("a", "b", r("d", 4).alias("d"))
 
 
 @reg.query(f"""{with_sql('points')}, m AS (SELECT label, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_pop(x) AS xx, covar_pop(x, y) AS xy, var_pop(y) AS yy FROM points GROUP BY label),

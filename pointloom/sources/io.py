@@ -71,6 +71,90 @@ def read_grey(spark: SparkSession, path: str) -> DataFrame:
     return cells.select("file", (F.col("k") % F.col("width")).alias("x"), F.floor(F.col("k") / F.col("width")).alias("y"), F.col("v").cast("long").alias("val"))
 
 
+def read_images(spark: SparkSession, path: str) -> DataFrame:
+    """file, band, x, y, val of bit, grey and colour images (P1 to P6, plain and binary; values of one byte or, above
+    255, two, the first one greater). A file is a row, and is unpacked where it is read; a file that is none of these,
+    or is cut short, is an error."""
+
+    def unpacked(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            for name, raw in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
+                kind, wide, high, most, at = _header(name, raw)
+                bands = 3 if kind in (3, 6) else 1
+                n = wide * high * bands
+                if kind == 1:  # bits may stand together
+                    v = np.frombuffer(_without_notes(raw[at:]), np.uint8)
+                    v = v[(v == 48) | (v == 49)].astype(np.int64) - 48
+                elif kind < 4:
+                    v = np.array(_without_notes(raw[at:]).split(), np.int64)
+                elif kind == 4:
+                    stride = -(-wide // 8)
+                    rows = np.frombuffer(raw, np.uint8, offset=at)[: stride * high]
+                    v = np.unpackbits(rows.reshape(-1, stride), axis=1)[:, :wide].ravel().astype(np.int64) if len(rows) == stride * high else rows[:0]
+                else:
+                    width = 2 if most > 255 else 1
+                    v = np.frombuffer(raw[at : at + n * width], ">u2" if width == 2 else np.uint8).astype(np.int64)
+                if len(v) < n:
+                    raise ValueError(f"{name} is cut short")
+                k = np.arange(n)
+                cells = {"band": k % bands, "x": k // bands % wide, "y": k // bands // wide, "val": v[:n]}
+                yield pa.RecordBatch.from_pydict({"file": [name] * n} | {c: pa.array(x.astype(np.int64)) for c, x in cells.items()})
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(unpacked, "file string, band long, x long, y long, val long")
+
+
+def _without_notes(raw: bytes) -> bytes:
+    import re
+
+    return re.sub(rb"#[^\n]*", b"", raw)
+
+
+def _header(name: str, raw: bytes) -> tuple[int, int, int, int, int]:
+    """Kind, width, height, greatest value, and where the values begin; notes run from # to the end of a line."""
+    import re
+
+    space = rb"(?:\s|#[^\n]*\n)+"
+    m = re.match(rb"P([1-6])" + space + rb"(\d+)" + space + rb"(\d+)", raw)
+    if m is None:
+        raise ValueError(f"{name} is no image of this kind")
+    kind, wide, high = (int(x) for x in m.groups())
+    if kind in (1, 4):
+        return kind, wide, high, 1, m.end() + 1
+    top = re.compile(space + rb"(\d+)").match(raw, m.end())
+    if top is None:
+        raise ValueError(f"{name} has no greatest value")
+    return kind, wide, high, int(top[1]), top.end() + 1
+
+
+def image_bytes(cells: DataFrame, kind: int, width: int, height: int, most: int = 255) -> DataFrame:
+    """One row, content: the cells (band, x, y, val) as a binary image of kind 4, 5 or 6; missing cells are 0, and values
+    are cut off at the greatest. Lines are packed where their cells meet; the header and the lines are put together last,
+    as a file is one row."""
+    bands = 3 if kind == 6 else 1
+
+    def line(batch):
+        import numpy as np
+        import pyarrow as pa
+
+        row = np.zeros((width, bands), np.int64)
+        row[batch.column("x").to_numpy(), batch.column("band").to_numpy()] = np.clip(batch.column("val").to_numpy(), 0, 1 if kind == 4 else most)
+        packed = np.packbits(row[:, 0].astype(np.uint8)) if kind == 4 else row.astype(">u2" if most > 255 else np.uint8)
+        return pa.table({"y": pa.array([batch.column("y")[0].as_py()], pa.int64()), "line": pa.array([packed.tobytes()], pa.binary())})
+
+    inside = cells.where(f"x >= 0 AND x < {width} AND y >= 0 AND y < {height} AND band >= 0 AND band < {bands}")
+    lines = inside.select(*[F.col(c).cast("long").alias(c) for c in ("band", "x", "y", "val")]).groupBy("y").applyInArrow(line, "y long, line binary")
+    size = -(-width // 8) if kind == 4 else width * bands * (2 if most > 255 else 1)
+    every = cells.sparkSession.range(height).select(F.col("id").alias("y")).join(lines, "y", "left")
+    blank = F.unhex(F.repeat(F.lit("00"), F.lit(size)))
+    head = f"P{kind}\n{width} {height}\n" + ("" if kind == 4 else f"{most}\n")
+    hexes = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", F.hex(F.coalesce("line", blank)).alias("h")))), lambda x: x["h"]), "")
+    return every.agg(F.unhex(F.concat(F.lit(head.encode().hex()), hexes)).alias("content"))
+
+
 def grey_text(cells: DataFrame, width: int, height: int) -> DataFrame:
     """One row, text: the cells (x, y, val) as a plain grey image, scaled to 0-255; missing cells are 0."""
     s = cells.agg(F.min("val").alias("lo"), F.max("val").alias("hi")).first()
