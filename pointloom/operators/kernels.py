@@ -139,32 +139,31 @@ def warped_cost(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def assigned(cost: np.ndarray) -> np.ndarray:
-    """Column for each row with the least total cost (rows <= columns): shortest augmenting paths with potentials."""
+    """Column for each row with the least total cost (rows <= columns). Rows come in one by one: what it costs to reach
+    each column, over columns whose rows move on to others, is relaxed until it settles; the cheapest free column is
+    taken, and the rows on the way move."""
     n, m = cost.shape
-    row_of = np.full(m + 1, -1)
-    u, v = np.zeros(n), np.zeros(m + 1)
-    for i in range(n):
-        row_of[m] = i
-        j0, least, used, way = m, np.full(m + 1, np.inf), np.zeros(m + 1, bool), np.full(m + 1, -1)
-        while row_of[j0] >= 0:
-            used[j0] = True
-            k = row_of[j0]
-            free = ~used[:m]
-            reduced = cost[k] - u[k] - v[:m]
-            better = free & (reduced < least[:m])
-            least[:m][better], way[:m][better] = reduced[better], j0
-            j1 = int(np.where(free, least[:m], np.inf).argmin())
-            step = least[j1]
-            u[row_of[used]] += step
-            v[used] -= step
-            least[:m][free] -= step
-            j0 = j1
-        while j0 != m:
-            row_of[j0], j0 = row_of[way[j0]], way[j0]
+    holder = np.full(m, -1)
+    for row in range(n):
+        reach, over = cost[row].astype(float), np.full(m, -1)
+        held = np.flatnonzero(holder >= 0)
+        while len(held):
+            moved = (reach[held] - cost[holder[held], held])[:, None] + cost[holder[held]]
+            best = moved.argmin(0)
+            value = moved[best, np.arange(m)]
+            nearer = value < reach - 1e-12 * (1 + np.abs(reach))
+            if not nearer.any():
+                break
+            reach[nearer], over[nearer] = value[nearer], held[best[nearer]]
+        free = np.flatnonzero(holder < 0)
+        column = int(free[reach[free].argmin()])
+        while column >= 0:
+            before = int(over[column])
+            holder[column] = row if before < 0 else holder[before]
+            column = before
     out = np.full(n, -1)
-    for j in range(m):
-        if row_of[j] >= 0:
-            out[row_of[j]] = j
+    taken = np.flatnonzero(holder >= 0)
+    out[holder[taken]] = taken
     return out
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,33 +67,61 @@ def components_above(cells: DataFrame, threshold: float, width: int, offsets: li
     return on.join(roots, on["i"] == roots["node"], "left").select("x", "y", F.coalesce("root", "i").alias("component"))
 
 
+def lowest(at: np.ndarray, value: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """For each place, the least over all others of their value and the squared distance: the lower envelope of
+    parabolas, in one pass over the places that have a value (at ascending), and a search. NaN without any."""
+    known = ~np.isnan(value)
+    q, f = at[known].astype(float), value[known]
+    if not len(q):
+        return np.full(len(to), np.nan)
+    best, begin = [0], [-np.inf]
+    for i in range(1, len(q)):
+        while True:
+            j = best[-1]
+            meet = ((f[i] + q[i] * q[i]) - (f[j] + q[j] * q[j])) / (2 * (q[i] - q[j]))
+            if meet > begin[-1]:
+                break
+            best.pop()
+            begin.pop()
+        best.append(i)
+        begin.append(meet)
+    k = np.array(best)[np.searchsorted(begin, to, "right") - 1]
+    return f[k] + (to - q[k]) ** 2
+
+
+def _along(cells: DataFrame, line: str, along: str, value: str, out: str) -> DataFrame:
+    """line, along, out: `lowest` of each line of the raster, which is a task's; a line is bounded by width or height."""
+
+    def run(batch):
+        import pyarrow as pa
+
+        x, v = batch.column(along).to_numpy(), batch.column(value).to_numpy(zero_copy_only=False).astype(float)
+        order = np.argsort(x, kind="stable")
+        found = lowest(x[order], v[order], x)
+        return pa.table({line: batch.column(line), along: batch.column(along), out: pa.array(found, from_pandas=True)})
+
+    kinds = dict(cells.dtypes)
+    slim = cells.select(line, along, F.col(value).cast("double").alias(value))
+    return slim.groupBy(line).applyInArrow(run, f"{line} {kinds[line]}, {along} {kinds[along]}, {out} double")
+
+
 def distance_transform(cells: DataFrame, on: Column, width: int, height: int) -> DataFrame:
     """x, y, d2: squared Euclidean distance to the nearest cell of `on`, exactly, in two passes: along rows by the
-    nearest set cell on either side (windows), then along columns. The second pass pairs the cells of one column, so
-    its rows grow with the height; a column is bounded by the raster's height."""
+    nearest set cell on either side (windows), then along columns by the lower envelope, in time linear in the cells."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("y").orderBy("x")
     left = F.last(F.when(on, F.col("x")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     right = F.first(F.when(on, F.col("x")), ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    row = cells.select("x", "y", F.least(F.col("x") - left, right - F.col("x")).alias("g"))
-    other = row.where("g IS NOT NULL").select("x", F.col("y").alias("y2"), "g")
-    d = row.select("x", "y").join(other, "x").groupBy("x", "y").agg(F.min(F.col("g") * F.col("g") + (F.col("y") - F.col("y2")) * (F.col("y") - F.col("y2"))).alias("d2"))
-    return cells.select("x", "y").join(d, ["x", "y"], "left")
+    g = F.least(F.col("x") - left, right - F.col("x"))
+    row = cells.select("x", "y", (g * g).alias("g2"))
+    return _along(row, "x", "y", "g2", "d2").select("x", "y", F.round("d2").cast("long").alias("d2"))
 
 
 def seeded_distance(cells: DataFrame) -> DataFrame:
     """x, y, d2: the least, over all cells with a seed, of the seed and the squared distance to it; null without any.
-    cells: x, y, seed (null where there is none). Exact in two passes, rows then columns; a line of the raster is an
-    array in one row, which its width or height bounds."""
-
-    def nearest(df: DataFrame, line: str, along: str, value: str, out: str) -> DataFrame:
-        lines = df.groupBy(line).agg(F.collect_list(F.struct(along, value)).alias("c"))
-        gap = lambda p, q: (p[along] - q[along]) * (p[along] - q[along])
-        best = F.transform("c", lambda p: F.struct(p[along].alias(along), F.array_min(F.transform("c", lambda q: q[value] + gap(p, q))).alias(out)))
-        return lines.select(line, F.explode(best).alias("b")).select(line, f"b.{along}", f"b.{out}")
-
-    return nearest(nearest(cells, "y", "x", "seed", "row"), "x", "y", "row", "d2")
+    cells: x, y, seed (null where there is none). Exact in two passes, rows then columns, each by a lower envelope."""
+    return _along(_along(cells, "y", "x", "seed", "row"), "x", "y", "row", "d2").select("x", "y", "d2")
 
 
 def city_block(cells: DataFrame, on: Column) -> DataFrame:
