@@ -4,15 +4,15 @@ A linear-chain conditional random field with two labels marks each line as conte
 gives the best labels of a document, and the share of its words on content lines decides whether it is kept. Beside
 that stand plain counts of the text (see `COUNTS`) and the base rule on them, which a document has to pass first.
 
-The field is trained in numpy (forward-backward, gradient ascent with Adam) on a bounded sample of labelled documents,
-PER_CLASS of each label of `quality`, with weak labels of lines. A line is boilerplate where it says so itself: symbols,
-shouting, few words said again and again, a line that the text had before, a notice of rights, or a short line that
-stands between different lines in several documents of the sample. Other lines of a good document are content. Other
-lines of a bad document are left open, and the field fills them in (their labels are summed out), unless no line of it
-says anything: then the document's label stands in. Lines without a word are open. The short lines that the sample
-repeats, at most MOST_REPEATED_LINES of them, are part of the field. Whole documents of junk would teach it that labels
-never change, so each good document of the sample is learned from a second time with up to three boilerplate lines of
-the sample put between its own, half of these as lines that are not known.
+The field sees a line's ratios of characters, its lengths, its words (each hashed to one of WORD_SLOTS weights, whose mean
+counts), the share of words that good documents have in common, and the lengths of the lines beside it. It is trained in numpy (forward-backward, gradient ascent with Adam) on a
+bounded sample of labelled documents, PER_CLASS rows of each label of `quality` with TRAINING_CHARS characters each. Its
+labels come from what it does not see: a line is boilerplate if the text had it before, or if it is short and stands
+between different lines in NEIGHBOURHOODS places of the corpus at least, all documents counted. Other lines
+take their document's label at first, content in a good one and boilerplate in a bad one; then, for ROUNDS rounds, the
+field's own probabilities open the labels that it does not believe (they are summed out), and it is trained on. Lines
+without a word are open. Whole documents of junk would teach it that labels never change, so each good document of the
+sample is learned from a second time with up to MOST_PLANTED boilerplate lines of the sample put between its own.
 
 Null and empty texts have no words: they fail the base rule. Very long texts are decoded whole. A null doc_id is
 carried; repeated rows get the same verdict; equal scores fall to content; without labels every line is content;
@@ -29,12 +29,14 @@ from pyspark.sql import functions as F
 from .common import Words, documents, gram_hashes, labelled_sample, mixed, slices, starts
 
 PER_CLASS = 1000
-STEPS = 150
+#: Steps of the first training and of each further round; a label with a posterior below DOUBT is opened.
+STEPS, MORE_STEPS, ROUNDS, DOUBT = 120, 60, 2, 0.5
 RIDGE = 0.05
 #: A document stays if at least this share of its words lies on content lines.
 CONTENT_SHARE = 1 / 3
-#: A short line has at most so many words; it is repeated if it has so many different neighbourhoods in the sample.
-SHORT_LINE, NEIGHBOURHOODS, MOST_REPEATED_LINES = 25, 5, 4096
+#: A short line has at most so many words; it is repeated if it has so many different neighbourhoods.
+SHORT_LINE, NEIGHBOURHOODS = 25, 5
+MOST_PLANTED = 6
 LEAST_WORDS = 20
 MOST_REPEATED = 30
 REPEAT_WINDOW = 8
@@ -43,10 +45,6 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOLS = b"#*$%&|<>"
 FOLDS, HELD_OUT = 5, 0
 
-#: Words of notices of rights (fixed values), with what may stand behind or before them.
-_NOTICES = ("license", "licensed", "licence", "copyright", "reserved", "cookies")
-_NOTICE_WORDS = [x for w in _NOTICES for c in (w, w.capitalize(), w.upper()) for x in (c, c + ".", c + ",", c + ":", "(" + c, c + ")")]
-
 _SETS = {"symbols": SYMBOLS, "capitals": bytes(range(65, 91)), "exclaims": b"!", "bars": b"|", "digits": b"0123456789", "ends": b".?!:;", "brackets": b"{}[]()=;_/\\@"}
 _TABLES = {k: np.isin(np.arange(256), np.frombuffer(v, np.uint8)) for k, v in _SETS.items()}
 _SYMBOL_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
@@ -54,21 +52,72 @@ _EDGES = np.array([1e-9, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 0.9, 0.999])
 _WORD_EDGES = np.array([1, 2, 3, 5, 8, 12, 20, 35, 60, 120])
 _RATIOS = ("symbols", "capitals", "exclaims", "bars", "digits", "ends", "brackets", "repeated", "followed")
 _WIDTH = len(_EDGES) + 1
-#: Bins of each ratio, bins of the words in a line and of their mean length, then flags.
-FEATURES = len(_RATIOS) * _WIDTH + 2 * (len(_WORD_EDGES) + 1) + 7
+_SIZES = len(_WORD_EDGES) + 2
+#: A word is common if so many good documents of the sample have it in lines that do not show to be boilerplate.
+COMMON = 3
+#: Bins of each ratio; of the words in a line, of their mean length, of the words in the line before and after (with one
+#: for none); of the share of common words; a constant; then the words' slots.
+WORD_SLOTS = 1 << 16
+_BINS = (len(_RATIOS) + 1) * _WIDTH + 4 * _SIZES + 1
+FEATURES = _BINS + WORD_SLOTS
 _COLUMNS = len(_RATIOS) + 6
-_KNOWN = len(_RATIOS) + 4  # the column of lines known to be repeated
+_SIZE, _BEFORE, _AFTER, _SHARE = (len(_RATIOS) + k for k in (0, 2, 3, 4))  # columns of sizes
+
+
+def beside(active: np.ndarray, n_lines: np.ndarray) -> None:
+    """Fills in the columns of the lines before and after, by the sizes of the lines of each text."""
+    base = len(_RATIOS) * _WIDTH
+    size = active[_SIZE] - base
+    none = _SIZES - 1
+    before, after = np.concatenate([[none], size[:-1]]), np.concatenate([size[1:], [none]])
+    first = np.cumsum(n_lines) - n_lines
+    before[first], after[first + n_lines - 1] = none, none
+    active[_BEFORE], active[_AFTER] = base + 2 * _SIZES + before, base + 3 * _SIZES + after
+
 
+def slots_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(48)).astype(np.int64)
 
-def _notice_hashes() -> np.ndarray:
-    import xxhash
 
-    return np.array([xxhash.xxh64_intdigest(x) for x in _NOTICE_WORDS], np.uint64)
+def familiar(active: np.ndarray, words: np.ndarray, hashes: np.ndarray, common: np.ndarray) -> None:
+    """Fills in the column of the share of common words (sorted hashes)."""
+    line = np.repeat(np.arange(len(words)), words)
+    share = np.bincount(line, np.isin(hashes, common), len(words)) / np.maximum(1, words)
+    active[_SHARE] = len(_RATIOS) * _WIDTH + 4 * _SIZES + np.searchsorted(_EDGES, share, "right")
 
 
-def counted(texts: list[str | None], repeated: np.ndarray = np.zeros(0, np.uint64)) -> tuple[dict[str, np.ndarray], list[np.ndarray], np.ndarray, dict[str, np.ndarray]]:
-    """The counts of each text; active features (line x feature, as indices) of all lines; lines of each text; of each
-    line its words, a hash of them, and whether it shows by itself that it is boilerplate. repeated: hashes, sorted."""
+def _line_hashes(w: Words, word_line: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A hash of each line's words in order; 0 without any."""
+    first = np.cumsum(n) - n
+    place = np.arange(len(w.hash)) - np.repeat(first, n)
+    out = np.zeros(len(n), np.uint64)
+    if len(w.hash):
+        out[n > 0] = np.add.reduceat(mixed(w.hash + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), first[n > 0])
+    return out
+
+
+def neighbourhoods(texts: list[str | None], sought: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the short lines that are sought (sorted hashes): the line, and a hash of the lines before and after it, each
+    pair once."""
+    w = Words(texts, lower=False)
+    line_at = np.concatenate([[0], np.flatnonzero(w.data == 10) + 1])[:-1]
+    word_line = np.searchsorted(line_at, w.at, "right") - 1
+    n = np.bincount(word_line, minlength=len(line_at))
+    h = _line_hashes(w, word_line, n)
+    if not len(h):
+        return h, h
+    before, after = np.concatenate([[0], h[:-1]]).astype(np.uint64), np.concatenate([h[1:], [0]]).astype(np.uint64)
+    first = np.searchsorted(line_at, w.text_at)
+    first = first[first < len(h)]
+    before[first], after[first[1:] - 1] = 0, 0
+    at = np.flatnonzero((n > 0) & (n <= SHORT_LINE) & np.isin(h, sought))
+    pairs = np.unique(np.stack([h[at], mixed(mixed(before[at] + np.uint64(1)) + after[at])], 1), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def counted(texts: list[str | None]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """The counts of each text; active features (column x line, as indices) of all lines; lines of each text; of each
+    line its words, a hash of them, and whether its text had it before; the hash of each word."""
     w = Words(texts, lower=False)
     data, n_texts = w.data, len(texts)
     line_at = np.concatenate([[0], np.flatnonzero(data == 10) + 1])[:-1]  # each text ends with a line end here
@@ -127,33 +176,24 @@ def counted(texts: list[str | None], repeated: np.ndarray = np.zeros(0, np.uint6
     active = [i * _WIDTH + np.searchsorted(_EDGES, ratios[k], "right") for i, k in enumerate(_RATIOS)]
     base = len(_RATIOS) * _WIDTH
     active.append(base + np.searchsorted(_WORD_EDGES, n, "right"))
-    active.append(base + len(_WORD_EDGES) + 1 + np.searchsorted(_WORD_EDGES, size / some, "right"))
-    base += 2 * (len(_WORD_EDGES) + 1)
-    notice = np.zeros(len(line_at), bool)
-    notice[word_line[np.isin(w.hash, _notice_hashes())]] = True
-    place = np.arange(len(w.hash)) - np.searchsorted(word_line, word_line)
-    line_hash = np.zeros(len(line_at), np.uint64)
-    if len(w.hash):
-        np.add.at(line_hash, word_line, mixed(w.hash + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-    known = (n > 0) & (n <= SHORT_LINE) & np.isin(line_hash, repeated)
-    active.append(np.where(dup, base, base + 1))
-    active.append(np.where(notice, base + 2, base + 3))
-    active.append(np.where(known, base + 4, base + 5))
-    active.append(np.full(len(line_at), base + 6))
-    evident = dup | notice | (ratios["symbols"] > 0.04) | (ratios["symbols"] + ratios["brackets"] > 0.12) | (ratios["exclaims"] > 0.4)
-    evident |= (n >= 6) & ((ratios["repeated"] > 0.65) | (ratios["followed"] > 0.3)) | (n > 2) & (ratios["capitals"] > 0.5)
-    return counts, active, n_lines, {"words": n, "hash": line_hash, "evident": evident & (n > 0)}
+    active.append(base + _SIZES + np.searchsorted(_WORD_EDGES, size / some, "right"))
+    active += [np.zeros(len(line_at), np.int64)] * 3 + [np.full(len(line_at), _BINS - 1)]
+    active = np.stack(active).astype(np.int64) if len(line_at) else np.zeros((_COLUMNS, 0), np.int64)
+    if len(line_at):
+        beside(active, n_lines)
+    return counts, active, n_lines, {"words": n, "hash": _line_hashes(w, word_line, n), "again": dup & (n > 0), "hashes": w.hash}
 
 
 class Field:
     """Weights of the features (for content, less those for boilerplate) and of the transitions."""
 
     def __init__(self):
-        self.w, self.t, self.repeated = np.zeros(FEATURES), np.zeros((2, 2)), np.zeros(0, np.uint64)
+        self.w, self.t, self.common = np.zeros(FEATURES), np.zeros((2, 2)), np.zeros(0, np.uint64)
 
-    def emissions(self, active: list[np.ndarray]) -> np.ndarray:
-        """For each line, content's score less boilerplate's."""
-        return sum(self.w[a] for a in active)
+    def emissions(self, active: np.ndarray, words: np.ndarray, slots: np.ndarray) -> np.ndarray:
+        """For each line, content's score less boilerplate's; words: of each line, slots: of each word."""
+        line = np.repeat(np.arange(len(words)), words)
+        return self.w[active].sum(0) + np.bincount(line, self.w[_BINS + slots], len(words)) / np.maximum(1, words)
 
     def decode(self, e: np.ndarray, n_lines: np.ndarray) -> np.ndarray:
         """Viterbi over all texts in step: 1 for content. Ties fall to content."""
@@ -209,47 +249,63 @@ class Field:
                 pairs[u, v] = (w_line[i] * np.exp(a[i - 1, u] + self.t[u, v] + e[i, v] + b[i, v] - z_line[i])).sum()
         return float((weights * z).sum()), np.exp(a[:, 1] + b[:, 1] - z_line), pairs
 
-    def gradient(self, active: list[np.ndarray], y: np.ndarray, n: np.ndarray, weights: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """Of the weighted log-likelihood of the labels y (1 content, 0 boilerplate, -1 open: both are summed out)."""
-        e = np.stack([np.zeros(len(y)), self.emissions(active)], 1)
+    def gradient(self, active: np.ndarray, words: np.ndarray, slots: np.ndarray, y: np.ndarray, n: np.ndarray, weights: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the weighted log-likelihood of the labels y (1 content, 0 boilerplate, -1 open: both are summed out); and
+        each line's probability of content, whatever its label."""
+        e = np.stack([np.zeros(len(y)), self.emissions(active, words, slots)], 1)
         held = e.copy()
         held[y == 1, 0] = held[y == 0, 1] = -1e9
         z1, p1, pairs1 = self.marginals(held, n, weights)
         z0, p0, pairs0 = self.marginals(e, n, weights)
         d = np.repeat(weights, n) * (p1 - p0)
-        return z1 - z0, sum(np.bincount(c, d, FEATURES) for c in active), pairs1 - pairs0
-
-    def train(self, docs: list[tuple[list[np.ndarray], np.ndarray]], weights: np.ndarray) -> "Field":
-        """Gradient ascent; docs: active features and labels of each line."""
-        order = np.argsort([-len(y) for _, y in docs], kind="stable")
-        docs, weights = [docs[i] for i in order], weights[order]
-        n = np.array([len(y) for _, y in docs])
-        active = [np.concatenate([a[j] for a, _ in docs]) for j in range(len(docs[0][0]))]
-        y = np.concatenate([y for _, y in docs])
+        g = sum(np.bincount(c, d, FEATURES) for c in active)
+        g += np.bincount(_BINS + slots, np.repeat(d / np.maximum(1, words), words), FEATURES)
+        return z1 - z0, g, pairs1 - pairs0, p0
+
+    def train(self, docs: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], weights: np.ndarray, steps: int = STEPS) -> list[np.ndarray]:
+        """Gradient ascent; docs: active features, words, slots and labels. Returns each line's probability of content."""
+        order = np.argsort([-len(d[3]) for d in docs], kind="stable")
+        n = np.array([len(docs[i][3]) for i in order])
+        active = np.concatenate([docs[i][0] for i in order], 1)
+        words, slots, y = (np.concatenate([docs[i][k] for i in order]) for k in (1, 2, 3))
+        weights = weights[order]
         moments = [np.zeros(FEATURES + 4), np.zeros(FEATURES + 4)]
-        for step in range(1, STEPS + 1):
-            _, g, gt = self.gradient(active, y, n, weights)
+        for step in range(1, steps + 1):
+            _, g, gt, p = self.gradient(active, words, slots, y, n, weights)
             grad = np.concatenate([g - RIDGE * self.w, (gt - RIDGE * self.t).ravel()])
             moments[0] = 0.9 * moments[0] + 0.1 * grad
             moments[1] = 0.999 * moments[1] + 0.001 * grad**2
             move = 0.1 * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.999**step)) + 1e-9)
             self.w += move[:FEATURES]
             self.t += move[FEATURES:].reshape(2, 2)
-        return self
+        cut = np.split(p, np.cumsum(n)[:-1])
+        out: list = [None] * len(docs)
+        for i, x in zip(order, cut):
+            out[i] = x
+        return out
+
+
+def _repeated_lines(docs: DataFrame, sought: np.ndarray) -> np.ndarray:
+    """Which of the sought lines (hashes) stand in NEIGHBOURHOODS different neighbourhoods at least, in all documents.
+    Copies of whole documents are one neighbourhood. A task passes on NEIGHBOURHOODS of a line at most, which is enough
+    to know, so a line that most documents have is a few rows of each."""
+    held = docs.sparkSession.sparkContext.broadcast(np.unique(sought).tobytes())
 
+    def run(batches):
+        starts("line_labels")
+        known, seen = np.frombuffer(held.value, np.uint64), {}
+        for b in slices(batches):
+            fresh = []
+            for h, k in zip(*(x.tolist() for x in neighbourhoods(b.column("text").to_pylist(), known))):
+                of = seen.setdefault(h, set())
+                if len(of) < NEIGHBOURHOODS and k not in of:
+                    of.add(k)
+                    fresh.append((h, k))
+            if fresh:
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.uint64).view(np.int64)) for c in zip(*fresh)], ["h", "k"])
 
-def _repeated_lines(lines: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Hashes of short lines that stand in several neighbourhoods; lines: hashes and words of each document's lines.
-    Copies of whole documents are one neighbourhood."""
-    none = np.zeros(1, np.uint64)
-    h = np.concatenate([x for x, _ in lines])
-    before, after = (np.concatenate([f(x) for x, _ in lines]) for f in (lambda x: np.concatenate([none, x[:-1]]), lambda x: np.concatenate([x[1:], none])))
-    words = np.concatenate([w for _, w in lines])
-    short = (words > 0) & (words <= SHORT_LINE)
-    seen = np.unique(np.stack([h, mixed(mixed(before + np.uint64(1)) + after)], 1)[short], axis=0)
-    found, places = np.unique(seen[:, 0], return_counts=True)
-    top = np.argsort(-places, kind="stable")[:MOST_REPEATED_LINES]
-    return np.sort(found[top][places[top] >= NEIGHBOURHOODS])
+    found = docs.select("text").mapInArrow(run, "h long, k long").distinct().groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= NEIGHBOURHOODS)
+    return np.sort(found.select("h").toArrow().column("h").to_numpy().astype(np.int64).view(np.uint64))  # no more than are sought
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Field:
@@ -260,43 +316,67 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Field
     def run(batches):
         starts("line_labels")
         for b in slices(batches):
-            _, active, n, line = counted(b.column("text").to_pylist())
-            cuts = np.cumsum(n)[:-1]
-            cut = lambda x: pa.array([y.tobytes() for y in np.split(x, cuts)])
-            columns = [cut(np.stack(active, 1).astype(np.int16)), cut(line["hash"]), cut(line["words"].astype(np.int32)), cut(line["evident"].astype(np.int8))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_label"), *columns], ["doc_id", "y", "a", "h", "n", "e"])
+            counts, active, n, line = counted(b.column("text").to_pylist())
+            lines, words = np.cumsum(n)[:-1], np.cumsum(counts["n_words"])[:-1]
+            cut = lambda x, at: pa.array([y.tobytes() for y in np.split(x, at)])
+            columns = [cut(active.T.astype(np.int32), lines), cut(line["hash"], lines), cut(line["words"].astype(np.int32), lines), cut(line["again"].astype(np.int8), lines), cut(line["hashes"], words)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_label"), *columns], ["doc_id", "y", "a", "h", "n", "e", "s"])
 
-    got = sample.mapInArrow(run, "doc_id long, y int, a binary, h binary, n binary, e binary").collect()  # bounded by per_class
+    got = sample.mapInArrow(run, "doc_id long, y int, a binary, h binary, n binary, e binary, s binary").collect()  # bounded by per_class
     field = Field()
     if not got:
         return field
-    got.sort(key=lambda r: (r["doc_id"], r["y"], r["a"]))
+    got.sort(key=lambda r: (r["doc_id"], r["y"], r["a"], r["h"]))
     lines = [(np.frombuffer(r["h"], np.uint64), np.frombuffer(r["n"], np.int32)) for r in got]
-    field.repeated = _repeated_lines(lines)
-    rows = []
-    for r, (h, n) in zip(got, lines):
-        a = np.frombuffer(r["a"], np.int16).reshape(-1, _COLUMNS).T.astype(np.int64)
-        again = (n > 0) & (n <= SHORT_LINE) & np.isin(h, field.repeated)
-        a[_KNOWN] = np.where(again, FEATURES - 3, FEATURES - 2)  # the workers could not know these yet
-        evident = (np.frombuffer(r["e"], np.int8) > 0) | again
-        y = np.where(evident, 0, 1 if r["y"] >= 1 else -1 if evident.any() else 0)
-        rows.append((a, np.where(n > 0, y, -1)))
+    repeated = _repeated_lines(slim, np.concatenate([h[(n > 0) & (n <= SHORT_LINE)] for h, n in lines]))
     good = np.array([int(r["y"] >= 1) for r in got])
-    rng, mixed_rows = np.random.default_rng(5), []
-    pool = np.concatenate([a[:, y == 0] for a, y in rows], 1)
-    of, size = np.unique(pool[-4:-1], axis=1, return_inverse=True, return_counts=True)[1:]  # kinds by their flags, each as often
-    chance = 1 / (len(size) * size[of.ravel()])
-    for i in np.flatnonzero(good) if pool.shape[1] else ():
-        a, y = rows[i]
-        some = 1 + rng.integers(3)
-        at = rng.integers(0, len(y) + 1, some)
-        put = pool[:, rng.choice(pool.shape[1], some, p=chance)]
-        put[_KNOWN, rng.random(some) < 0.5] = FEATURES - 2  # half of them as if unknown, so that other signs are learned
-        mixed_rows.append((np.insert(a, at, put, 1), np.insert(y, at, 0)))
+    shown = [(n > 0) & ((np.frombuffer(r["e"], np.int8) > 0) | (n <= SHORT_LINE) & np.isin(h, repeated)) for r, (h, n) in zip(got, lines)]
+    hashes = [np.frombuffer(r["s"], np.uint64) for r in got]
+    own = [np.unique(h[np.repeat(~e, n)]) for h, e, (_, n), g in zip(hashes, shown, lines, good) if g]
+    seen, times = np.unique(np.concatenate([*own, np.zeros(0, np.uint64)]), return_counts=True)
+    field.common = seen[times >= COMMON]
+    rows = []
+    for r, (_, n), evident, h in zip(got, lines, shown, hashes):
+        y = np.where(n > 0, np.where(evident, 0, int(r["y"] >= 1)), -1)
+        a, n = np.frombuffer(r["a"], np.int32).reshape(-1, _COLUMNS).T.astype(np.int64), n.astype(np.int64)
+        familiar(a, n, h, field.common)
+        rows.append((a, n, slots_of(h), y))
+    mixed_rows = _planted(rows, good, shown)
     kind = np.concatenate([good, np.full(len(mixed_rows), 2)])
-    rows = [(list(a), y) for a, y in rows + mixed_rows]
+    docs_ = rows + mixed_rows
     share = np.array([1 / max(1, (kind == c).sum()) for c in (0, 1, 2)])
-    return field.train(rows, share[kind] * len(kind) / 3 / np.array([max(1, len(y)) ** 0.5 for _, y in rows]))
+    weights = share[kind] * len(kind) / 3 / np.array([max(1, len(d[3])) ** 0.5 for d in docs_])
+    p = field.train(docs_, weights)
+    for _ in range(ROUNDS):
+        for i, (a, n, s, y) in enumerate(rows):
+            believed = np.where(good[i] > 0, p[i], 1 - p[i])
+            docs_[i] = (a, n, s, np.where(shown[i] | (n == 0) | (believed >= DOUBT), y, -1))
+        p = field.train(docs_, weights, MORE_STEPS)
+    return field
+
+
+def _planted(rows: list, good: np.ndarray, shown: list[np.ndarray]) -> list:
+    """Good documents with up to MOST_PLANTED boilerplate lines put between their own: lines that show to be boilerplate, and
+    lines of bad documents, in equal parts where there are both."""
+    cut = lambda r: np.split(r[2], np.cumsum(r[1])[:-1])
+    pools = [{}, {}]  # each line once, however often it is there
+    for r, g, e in zip(rows, good, shown):
+        for k, part in enumerate(cut(r)):
+            if r[1][k] and (e[k] or not g):
+                pools[0 if e[k] else 1].setdefault(part.tobytes(), (r[0][:, k], part))
+    pools = [list(x.values()) for x in pools if x]
+    rng, out = np.random.default_rng(5), []
+    for r in (r for r, g in zip(rows, good) if g and pools):
+        parts, some = cut(r), 1 + rng.integers(MOST_PLANTED)
+        at = np.sort(rng.integers(0, len(r[1]) + 1, some))
+        put = [(pool := pools[rng.integers(len(pools))])[rng.integers(len(pool))] for _ in range(some)]
+        a = np.insert(r[0], at, np.stack([x[0] for x in put], 1), 1)
+        beside(a, np.array([a.shape[1]]))
+        for k, x in sorted(zip(at.tolist(), put), key=lambda z: -z[0]):
+            parts.insert(k, x[1])
+        n = np.array([len(x) for x in parts])
+        out.append((a, n, np.concatenate(parts), np.insert(r[3], at, 0)))
+    return out
 
 
 def labelled(docs: DataFrame, field: Field, share: float = CONTENT_SHARE) -> DataFrame:
@@ -308,8 +388,9 @@ def labelled(docs: DataFrame, field: Field, share: float = CONTENT_SHARE) -> Dat
     def run(batches):
         starts("line_labels")
         for b in slices(batches):
-            counts, active, n_lines, line = counted(b.column("text").to_pylist(), field.repeated)
-            content = field.decode(field.emissions(active), n_lines) == 1
+            counts, active, n_lines, line = counted(b.column("text").to_pylist())
+            familiar(active, line["words"], line["hashes"], field.common)
+            content = field.decode(field.emissions(active, line["words"], slots_of(line["hashes"])), n_lines) == 1
             cuts = np.cumsum(n_lines)
             first = cuts - n_lines
             on = np.add.reduceat(line["words"] * content, first)
