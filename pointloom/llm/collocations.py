@@ -166,6 +166,14 @@ class Block:
         return b" ".join(self.book[i - 1] for i in self.ids[at : at + k].tolist())
 
 
+def _blocks(batches):
+    """lang and Block, one at a time: a batch holds many, and only one of them is unpacked."""
+    for b in batches:
+        for i in range(b.num_rows):
+            lang, book, ids = (b.column(c)[i].as_py() for c in ("lang", "book", "ids"))
+            yield lang, Block(lang, book, ids)
+
+
 def _counted(blocks: DataFrame, family, before=None, first: int = 1, longest: int = LONGEST) -> DataFrame:
     """h, n: counts, by hash, of the phrases of first to longest words that the family admits and the one before did not."""
 
@@ -175,18 +183,21 @@ def _counted(blocks: DataFrame, family, before=None, first: int = 1, longest: in
         held, size = [], 0
 
         def flush():
-            h, where = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
-            n = np.bincount(where, weights=np.concatenate([x[1] for x in held])).astype(np.int64)
+            h, n = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+            held.clear()
+            order = np.argsort(h)
+            h, n = h[order], n[order]
+            first_of = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            h, n = h[first_of], np.add.reduceat(n, first_of)
             return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
-        for b in batches:
-            for lang, book, ids in zip(*(b.column(c).to_pylist() for c in ("lang", "book", "ids"))):
-                for h, n in Block(lang, book, ids).counted(new, first, longest, old):
-                    held.append((h, n))
-                    size += len(h)
-                if size > HELD:
-                    yield flush()
-                    held, size = [], 0
+        for _, block in _blocks(batches):
+            for h, n in block.counted(new, first, longest, old):
+                held.append((h, n))
+                size += len(h)
+            if size > HELD:
+                yield flush()
+                size = 0
         if size:
             yield flush()
 
@@ -261,16 +272,15 @@ def _spelled(blocks: DataFrame, family, of, least: int) -> DataFrame:
             sums.clear()
             return pa.RecordBatch.from_pylist(rows, kind)
 
-        for b in batches:
-            for lang, book, ids in zip(*(b.column(c).to_pylist() for c in ("lang", "book", "ids"))):
-                found = sums[lang]
-                size -= len(found)
-                for phrase, n in of(Block(lang, book, ids), bits):
-                    found[phrase] += n
-                size += len(found)
-                if size > SPELLED:
-                    yield flush()
-                    size = 0
+        for lang, block in _blocks(batches):
+            found = sums[lang]
+            size -= len(found)
+            for phrase, n in of(block, bits):
+                found[phrase] += n
+            size += len(found)
+            if size > SPELLED:
+                yield flush()
+                size = 0
         if size:
             yield flush()
 
