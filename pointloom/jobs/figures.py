@@ -1,4 +1,5 @@
-"""Queries of the figure kernels; each group is a bounded object (a contour, a polygon, a nation's graph, a raster)."""
+"""Queries of the figure kernels; each group (a contour, a polygon, a nation's graph, a raster)
+is a task's, and has to fit one."""
 
 from __future__ import annotations
 

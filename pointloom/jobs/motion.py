@@ -95,12 +95,15 @@ def best_supporters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("a", "b", (-F.col("m.k")).alias("best"), r("m.f", 5).alias("fit"), "n")
 
 
-@reg.query()
+@reg.query(_prob_sql(3).rpartition(" SELECT ")[0].replace("WITH ", "WITH RECURSIVE ", 1) + f""", top AS MATERIALIZED (SELECT a, arg_max(vx, (round(prob, 9), -b)) AS vx, arg_max(vy, (round(prob, 9), -b)) AS vy FROM c3 GROUP BY a),
+link AS MATERIALIZED (SELECT x.a, y.a AS b FROM top x JOIN n ON n.i = x.a JOIN top y ON y.a = n.j WHERE power(x.vx-y.vx,2)+power(x.vy-y.vy,2) <= 2*{SIGMA}*{SIGMA} AND exp(-(power(x.vx-y.vx,2)+power(x.vy-y.vy,2))/(2*{SIGMA}*{SIGMA})) > 0.5),
+joined(node, low) USING KEY (node) AS (SELECT a, a FROM top UNION SELECT l.node, l.low FROM (SELECT e.b AS node, min(x.low) AS low FROM joined x JOIN link e ON e.a = x.node GROUP BY e.b) l JOIN recurring.joined o ON o.node = l.node WHERE l.low < o.low)
+SELECT node AS id, low AS motion FROM joined""")
 def motion_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points whose likeliest matches move alike and that are neighbours, in components."""
     c, n = candidates(spark, sf_dir)
     p = match_probabilities(c, n, 3)
-    top = written(p.groupBy("a").agg(F.max_by(F.struct("vx", "vy"), F.struct("prob", -F.col("b"))).alias("v")).select("a", "v.vx", "v.vy"), "likeliest")
+    top = written(p.groupBy("a").agg(F.max_by(F.struct("vx", "vy"), F.struct(F.round("prob", 9), -F.col("b"))).alias("v")).select("a", "v.vx", "v.vy"), "likeliest")
     o = top.select(F.col("a").alias("j"), F.col("vx").alias("ux"), F.col("vy").alias("uy"))
     link = top.join(n.withColumnRenamed("i", "a"), "a").join(o, "j").where(g.compatibility(F.col("vx") - F.col("ux"), F.col("vy") - F.col("uy"), SIGMA) > 0.5)
     roots = graph.components(link.select("a", F.col("j").alias("b")))

@@ -1,4 +1,4 @@
-"""Kernels over one bounded figure: smoothing, alignment, circle fits, flows, thinning, tracing, offset polygons."""
+"""Kernels over one figure, which has to fit a task: smoothing, alignment, circle fits, flows, thinning, tracing, offset polygons."""
 
 from __future__ import annotations
 
@@ -20,18 +20,21 @@ def smoothed(values: np.ndarray, rounds: int, rate: float, closed: bool) -> np.n
 
 
 def alignment_cost(a: list, b: list, skip: float, differ: float) -> float:
-    """Least cost of turning one code sequence into the other: skips on either side, and replacements."""
-    row = [j * skip for j in range(len(b) + 1)]
+    """Least cost of turning one code sequence into the other: skips on either side, and replacements. A line of the
+    table at a time; skips along the line are a running least."""
+    other, steps = np.asarray(b), skip * np.arange(len(b) + 1)
+    row = steps.astype(float)
     for i, x in enumerate(a, 1):
-        new = [i * skip]
-        for j, y in enumerate(b, 1):
-            new.append(min(row[j] + skip, new[-1] + skip, row[j - 1] + (0.0 if x == y else differ)))
-        row = new
-    return row[-1]
+        above = row + skip
+        above[0] = i * skip
+        above[1:] = np.minimum(above[1:], row[:-1] + np.where(other == x, 0.0, differ))
+        row = np.minimum.accumulate(above - steps) + steps
+    return float(row[-1])
 
 
 def fitted_circle(points: np.ndarray, rounds: int = 50) -> tuple[float, float, float]:
-    """Centre and radius with the least squared distance to the circle, by damped least squares from the mean."""
+    """Centre and radius with the least squared distance to the circle, by damped least squares from the mean. (The
+    objective is the geometric one; the difference of squared radii, which weighs far points more, is not offered.)"""
     cx, cy = points.mean(0)
     r = float(np.hypot(*(points - (cx, cy)).T).mean())
     damp = 1e-3
@@ -87,7 +90,10 @@ def max_flow(edges: list[tuple[int, int, float]], source: int, sink: int) -> tup
 
 
 def thinned(cells: np.ndarray) -> np.ndarray:
-    """A foreground mask without cells that its shape does not need, in two directions until nothing changes."""
+    """A foreground mask without cells that its shape does not need, in two directions until nothing changes: a cell goes
+    if it has two to six neighbours in one run and is on the side of the pass. All cells of a pass go at once, so the
+    result does not depend on the order of the cells. (A rule that looks for three cells in a row around each cell, in
+    raster order and in place, gives other skeletons; it is not offered.)"""
     m = np.pad(cells.astype(bool), 1)
     while True:
         before = m.sum()

@@ -54,7 +54,12 @@ def shortest_paths(edges: DataFrame, source: DataFrame, rounds: int | None = Non
     """node, dist, parent, relaxed until nothing improves (Bellman-Ford). source: node. Ties take the least parent. Only
     nodes that improved send in the next round. Raises on a negative cycle: when the rounds, as many as there are nodes
     unless given, have not emptied the front. Distances that a round improves are added to one folder."""
-    front, done = written(source.select("node", F.lit(0.0).alias("dist"), F.lit(None).cast("long").alias("parent")).distinct(), "front"), 0
+    return relaxed(edges, source.select("node", F.lit(0.0).alias("dist"), F.lit(None).cast("long").alias("parent")).distinct(), rounds)
+
+
+def relaxed(edges: DataFrame, start: DataFrame, rounds: int | None = None) -> DataFrame:
+    """shortest_paths from nodes that have a distance and a parent already. start: node, dist, parent."""
+    front, done = written(start.select("node", "dist", "parent"), "front"), 0
     found = Growing(front, "dist")
     if rounds is None:
         rounds = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).unionByName(front.select("node")).distinct().count()
@@ -63,7 +68,7 @@ def shortest_paths(edges: DataFrame, source: DataFrame, rounds: int | None = Non
             raise ValueError("a negative cycle, or paths longer than the rounds allowed")
         sent = front.join(edges, front["node"] == edges["src"]).groupBy(F.col("dst").alias("node")).agg(F.min(F.struct((F.col("dist") + F.col("w")).alias("dist"), F.col("src").alias("parent"))).alias("s"))
         sent = sent.select("node", "s.dist", "s.parent")
-        old = found.table().select(F.col("node").alias("n"), F.col("dist").alias("d")).groupBy("n").agg(F.min("d").alias("d"))
+        old = found.table().select(F.col("node").alias("n"), F.col("dist").alias("d")).join(sent.select(F.col("node").alias("n")), "n", "left_semi").groupBy("n").agg(F.min("d").alias("d"))
         new = written(sent.join(old, F.col("node") == F.col("n"), "left").where("d IS NULL OR dist < d").select("node", "dist", "parent"), "front")
         let_go(front)
         front = new

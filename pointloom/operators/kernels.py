@@ -125,16 +125,14 @@ def _circles(p: np.ndarray, tri: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def warped_cost(a: np.ndarray, b: np.ndarray) -> float:
-    """Dynamic time warping between two series of points, Euclidean."""
+    """Dynamic time warping between two series of points, Euclidean. A line of the table at a time: what comes along the
+    line is a running least of what comes from above, less the sum of the line so far."""
     d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(2))
     row = np.cumsum(d[0])
-    for i in range(1, len(a)):
-        new = np.empty_like(row)
+    for line in d[1:]:
+        so_far = np.cumsum(line)
         before = np.minimum(row, np.append(np.inf, row[:-1]))
-        new[0] = row[0] + d[i, 0]
-        for j in range(1, len(b)):
-            new[j] = d[i, j] + min(before[j], new[j - 1])
-        row = new
+        row = so_far + np.minimum.accumulate(before - (so_far - line))
     return float(row[-1])
 
 

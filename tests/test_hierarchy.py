@@ -229,3 +229,38 @@ def test_a_chain_takes_few_rounds(spark):
     assert got.count() == 599 * 600 // 2 and got.where("child - ancestor <> steps").count() == 0
     with pytest.raises(ValueError, match="cycle"):
         graph.traced(up.unionByName(spark.range(1).selectExpr("0L AS child", "599L AS parent")))
+
+
+def test_sweeps_against_a_sequential_one(spark):
+    """Alternating sweeps over ends by angle: distances, the sweeps that settle them, excluded ends, and the paths' costs."""
+    from pointloom.operators import angular
+
+    r = random.Random(6)
+    ends = [(2 * f + k, f, *(c + r.gauss(0, 0.4) for c in p)) for f in range(14) for p in [(r.uniform(-3, 3), r.uniform(-3, 3))] for k in (0, 1)]
+    df = spark.createDataFrame(ends, "node long, fragment long, x double, y double")
+    out = {4, 9}
+    moves = angular.steps(angular.turned(df, 0.0, 0.0, 0), 2.5, 1.2, spark.createDataFrame([(i,) for i in out], "node long"))
+    got = {x["node"]: (x["dist"], x["parent"], x["sweep"]) for x in angular.swept(moves, 0).collect()}
+    at = {n: (f, x, y) for n, f, x, y in ends}
+    turn = {n: (math.atan2(y, x) - math.atan2(ends[0][3], ends[0][2])) % (2 * math.pi) for n, _, x, y in ends}
+
+    def cost(a, b):
+        (f, *p), (g, *q) = at[a], at[b]
+        return 0.0 if f == g else math.dist(p, q) ** 2
+
+    links = [(a, b) for a in at for b in at if a != b and not {a, b} & out and abs(turn[a] - turn[b]) < 1.2 and (at[a][0] == at[b][0] or math.dist(at[a][1:], at[b][1:]) <= 2.5)]
+    best, quiet, k = {0: (0.0, 0)}, 0, 0
+    while quiet < 2:
+        k += 1
+        changed, moved = False, True
+        while moved:
+            moved = False
+            for a, b in links:
+                if (turn[a] < turn[b]) == (k % 2 == 1) and a in best and best[a][0] + cost(a, b) < best.get(b, (math.inf,))[0] - 1e-12:
+                    best[b] = (best[a][0] + cost(a, b), k)
+                    moved = changed = True
+        quiet = 0 if changed else quiet + 1
+    assert got.keys() == best.keys() and len(got) > 10
+    for n, (d, parent, s) in got.items():
+        assert abs(d - best[n][0]) < 1e-9 and s == best[n][1]
+        assert n == 0 or ((parent, n) in links and abs(got[parent][0] + cost(parent, n) - d) < 1e-9)
