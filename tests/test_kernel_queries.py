@@ -49,8 +49,8 @@ def test_assignment_is_one_to_one(found):
     assert len({r["a"] for r in rows}) == len({r["b"] for r in rows}) == len(rows)
 
 
-def test_motion_groups_have_their_least_point_as_root(found):
-    rows = {r["id"]: r["motion"] for r in found["motion_groups"]}
+def test_motion_groups_have_their_least_point_as_root(spark, sf):
+    rows = {r["id"]: r["motion"] for r in registry.QUERIES["motion_groups"](spark, sf).collect()}
     least = {}
     for i, root in rows.items():
         least[root] = min(i, least.get(root, i))
