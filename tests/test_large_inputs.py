@@ -26,3 +26,16 @@ def test_distances_without_a_foreground(name, spark, tmp_path):
     even = [(x, y) for x in range(64) for y in range(64)]
     pq.write_table(pa.table({"l_partkey": [x for x, _ in even], "l_suppkey": [y for _, y in even]}), tmp_path / "lineitem.parquet")
     assert agrees(spark, tmp_path, name) == []
+
+
+def embedded(folder, places, labels=None):
+    """Embeddings that begin with the given places."""
+    columns = {"vec_id": pa.array(range(len(places)), pa.int64()), "embedding": pa.array([list(p) for p in places], pa.list_(pa.float32())), "label": pa.array(labels or [4] * len(places), pa.int32())}
+    pq.write_table(pa.table(columns), folder / "embeddings.parquet")
+
+
+def test_triples_with_straight_and_short_arms(spark, tmp_path):
+    """Arms that are opposite but for 5e-6, and arms shorter than 1e-5."""
+    embedded(tmp_path, [(0.0, 0.0), (-0.01, 0.0), (0.01, 5e-8), (0.001, 0.004), (0.2, 0.2), (0.199999, 0.200004), (0.2003, 0.2), (0.2005, 0.2002)])
+    got = agrees(spark, tmp_path, "met_by_first")
+    assert got
