@@ -1,11 +1,16 @@
 """Results that only larger or other tables show, against DuckDB on the same tables, and operators against plain loops."""
 
+import math
+
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from pointloom.jobs import registry
+from pointloom.operators import blocks, clustering
 
 
 def agrees(spark, folder, name):
@@ -39,3 +44,37 @@ def test_triples_with_straight_and_short_arms(spark, tmp_path):
     embedded(tmp_path, [(0.0, 0.0), (-0.01, 0.0), (0.01, 5e-8), (0.001, 0.004), (0.2, 0.2), (0.199999, 0.200004), (0.2003, 0.2), (0.2005, 0.2002)])
     got = agrees(spark, tmp_path, "met_by_first")
     assert got
+
+
+@pytest.fixture
+def crowd():
+    """Points in few cells, with copies, and two without a place."""
+    rng = np.random.default_rng(5)
+    p = [(n, float(x), float(y)) for n, (x, y) in enumerate(rng.uniform(0, 0.5, (120, 2)))]
+    return p + [(n + 500, x, y) for n, x, y in p[:9]] + [(900, None, 0.1), (901, float("nan"), 0.1)]
+
+
+def test_blocks_against_loops(spark, crowd, monkeypatch):
+    """In blocks of at most seven points, what all pairs give."""
+    monkeypatch.setattr(blocks, "BLOCK", 7)
+    df, t = spark.createDataFrame(crowd, "id long, x double, y double"), 0.06
+    at = {n: (x, y) for n, x, y in crowd if n < 900}
+    near = {a: sorted((math.dist(at[a], at[b]), b) for b in at if b != a and math.dist(at[a], at[b]) <= t) for a in at}
+    got = {}
+    for x in blocks.nearest(df, t, 3).orderBy("a", "rank").collect():
+        got.setdefault(x["a"], []).append(x["b"])
+    assert got == {a: [b for _, b in v[:3]] for a, v in near.items() if v}
+    assert {x["node"]: x["height"] for x in blocks.neighbours(df, t).collect()} == {a: len(v) for a, v in near.items()}
+    two = {a: {b for _, b in v} | {c for _, b in v for _, c in near[b]} - {a} for a, v in near.items()}
+    assert {x["id"]: x["n"] for x in blocks.two_steps(df, t).collect()} == {a: len(v) for a, v in two.items() if v}
+    held = df.withColumn("height", F.col("id") % 10)
+    best = {a: max(((b % 10, -b) for _, b in v if b % 10 > a % 10), default=None) for a, v in near.items()}
+    assert {x["node"]: x["parent"] for x in blocks.highest(held, t).collect()} == {a: -m[1] for a, m in best.items() if m}
+
+
+def test_links_that_a_block_keeps(spark, monkeypatch):
+    """300 points within reach of each other are joined by fewer rows than pairs, and are one cluster."""
+    monkeypatch.setattr(blocks, "BLOCK", 60)
+    df = spark.createDataFrame([(n, n / 1e5, 0.0) for n in range(300)], "id long, x double, y double")
+    assert blocks.linked(df, 0.03).count() < 3000  # of 44,850
+    assert {x["cluster"] for x in clustering.single_linkage(df, 0.03).collect()} == {0}
