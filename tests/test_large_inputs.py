@@ -78,3 +78,13 @@ def test_links_that_a_block_keeps(spark, monkeypatch):
     df = spark.createDataFrame([(n, n / 1e5, 0.0) for n in range(300)], "id long, x double, y double")
     assert blocks.linked(df, 0.03).count() < 3000  # of 44,850
     assert {x["cluster"] for x in clustering.single_linkage(df, 0.03).collect()} == {0}
+
+
+def test_pair_degrees_against_loops(spark, crowd, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK", 7)
+    t, at = 0.06, {n: (x, y) for n, x, y in crowd if n < 900}
+    near = {a: {b for b in at if math.dist(at[a], at[b]) <= t} for a in at}  # with itself
+    links = {(a, b) for a in at for b in near[a] if a < b}
+    want = {(a, b): len({(min(c, d), max(c, d)) for c in near[a] for d in near[b] if (min(c, d), max(c, d)) in links} - {(a, b)}) for a, b in links}
+    df = spark.createDataFrame(crowd, "id long, x double, y double")
+    assert {(x["a"], x["b"]): x["n"] for x in blocks.pair_degrees(df, t).collect()} == {p: n for p, n in want.items() if n}
