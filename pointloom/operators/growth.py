@@ -56,15 +56,3 @@ def grown(links: DataFrame, nodes: DataFrame, sources: DataFrame, apart: bool =
         front = new
         found.add(front)
     return found.table()
-
-
-def cores(pairs: DataFrame, near: DataFrame, parallel: float, across: float) -> DataFrame:
-    """id: pairs that have neighbours in parallel on both sides, none of them longer. pairs: id, mx, my, z, theta; near:
-    a, b (neighbours, both ways)."""
-    q = pairs.select(F.col("id").alias("b"), *[F.col(c).alias(f"q{c}") for c in ("mx", "my", "z", "theta")])
-    n = near.join(pairs.withColumnRenamed("id", "a"), "a").join(q, "b").where(F.abs(F.cos(F.col("theta") - F.col("qtheta"))) > parallel)
-    dx, dy = F.col("qmx") - F.col("mx"), F.col("qmy") - F.col("my")
-    sine = F.try_divide(F.cos("theta") * dy - F.sin("theta") * dx, F.sqrt(dx * dx + dy * dy))
-    n = n.withColumn("sine", sine).where(F.abs("sine") > across)
-    found = n.groupBy("a").agg(F.count_if(F.col("sine") > 0).alias("up"), F.count_if(F.col("sine") < 0).alias("down"), F.count_if(F.col("qz") > F.col("z")).alias("longer"))
-    return found.where("up > 0 AND down > 0 AND longer = 0").select(F.col("a").alias("id"))

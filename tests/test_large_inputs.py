@@ -88,3 +88,65 @@ def test_pair_degrees_against_loops(spark, crowd, monkeypatch):
     want = {(a, b): len({(min(c, d), max(c, d)) for c in near[a] for d in near[b] if (min(c, d), max(c, d)) in links} - {(a, b)}) for a, b in links}
     df = spark.createDataFrame(crowd, "id long, x double, y double")
     assert {(x["a"], x["b"]): x["n"] for x in blocks.pair_degrees(df, t).collect()} == {p: n for p, n in want.items() if n}
+
+
+def core_or_not(at, t, parallel, across, some):
+    """Of some pairs (a < b) whether they are cores, by looks at all pairs. at: places by id."""
+    ids = sorted(at)
+    p = np.array([at[n] for n in ids])
+    near = np.array([[math.dist(u, v) <= t for v in p] for u in p])
+    c, d = np.nonzero(np.triu(near, 1))
+    turn, size = np.arctan2(*(p[d] - p[c]).T[::-1]), np.array([math.dist(p[i], p[j]) for i, j in zip(c, d)])
+    middle = (p[c] + p[d]) / 2
+    found = {}
+    for a, b in some:
+        i, j = ids.index(a), ids.index(b)
+        on = (near[i, c] & near[j, d]) | (near[i, d] & near[j, c])
+        on &= ~((c == i) & (d == j))
+        theta = np.arctan2(*(p[j] - p[i])[::-1])
+        way = middle - (p[i] + p[j]) / 2
+        far = np.hypot(*way.T)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            sine = (math.cos(theta) * way[:, 1] - math.sin(theta) * way[:, 0]) / far
+        on &= (far > 0) & (np.abs(np.cos(theta - turn)) > parallel) & (np.abs(sine) > across)
+        found[a, b] = bool((sine[on] > 0).any() and (sine[on] < 0).any() and not (size[on] > math.dist(p[i], p[j])).any())
+    return found
+
+
+def test_pair_cores_against_loops(spark, crowd, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK", 7)
+    t, at = 0.06, {n: (x, y) for n, x, y in crowd if n < 900}
+    links = [(a, b) for a in at for b in at if a < b and math.dist(at[a], at[b]) <= t]
+    want = {p for p, core in core_or_not(at, t, 0.8, 0.5, links).items() if core}
+    found = blocks.pair_cores(spark.createDataFrame(crowd, "id long, x double, y double"), t, 0.8, 0.5)
+    assert {(x["a"], x["b"]) for x in found.collect()} == want and want
+    linked = blocks.linked_pairs(found.withColumn("id", F.col("a") * (1 << 31) + F.col("b")), t)
+    near = lambda u, v: math.dist(at[u], at[v]) <= t
+    touch = {(p, q) for p in want for q in want if p != q and ((near(p[0], q[0]) and near(p[1], q[1])) or (near(p[0], q[1]) and near(p[1], q[0])))}
+    got = {tuple((x[c] >> 31, x[c] & (2**31 - 1)) for c in "ab") for x in linked.collect()}
+    assert got <= touch
+
+    def parts(links):
+        of = {p: p for p in want}
+        for _ in want:
+            for p, q in links:
+                of[p] = of[q] = min(of[p], of[q])
+        return of
+
+    assert parts(got) == parts(touch)
+
+
+@pytest.mark.parametrize("name", ["pair_cores", "core_groups"])
+def test_cores_of_a_crowd(name, spark, tmp_path):
+    """400 points within reach of each other: 79,800 pairs, all of them neighbours, so 6.4 billion pairs of pairs."""
+    rng = np.random.default_rng(8)
+    places = rng.uniform(0, 0.02, (400, 2)).astype(np.float32)
+    embedded(tmp_path, places.tolist())
+    at = dict(enumerate(places.astype(float)))
+    got = registry.QUERIES[name](spark, str(tmp_path)).collect()
+    if name == "core_groups":
+        assert len(got) == 1 and got[0]["n"] >= 1
+        return
+    got = {(x["a"], x["b"]) for x in got}
+    some = [*got, *((a, b) for a in range(0, 400, 40) for b in range(a + 1, 400, 37))]
+    assert got and core_or_not(at, 0.03, 0.8, 0.5, some) == {p: p in got for p in some}
