@@ -379,11 +379,12 @@ def _roots(keys: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
             roots = components(edges)
             break
         near = (den * F.least("n", "pivot_n") >= num * F.greatest("n", "pivot_n")) & (F.col("root") != F.col("pivot_root"))
-        pairs = live.where("key <> pivot").where(near).select("key", "n", "pivot", "pivot_n").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["key", "pivot"], "left_anti")
-        pairs = written(pairs, "pairs")
-        met = pairs.select("key", "pivot")
+        pairs = live.where("key <> pivot").where(near).select("key", "n", "pivot", "pivot_n")
+        # One row for a pair, however many keys it shares: a join with those tried would be planned before the rows of
+        # equal pairs are one.
+        pairs = pairs.withColumn("new", F.lit(True)) if tried is None else pairs.withColumn("new", F.lit(True)).unionByName(tried)
+        pairs = written(pairs.groupBy("key", "n", "pivot", "pivot_n").agg(F.min("new").alias("new")).where("new").drop("new"), "pairs")
+        met = pairs.withColumn("new", F.lit(False))
         tried = met if tried is None else tried.unionByName(met)
         found = written(_links(pairs, reps, num, den), "links")
         edges = found if edges is None else edges.unionByName(found)

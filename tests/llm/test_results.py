@@ -269,6 +269,31 @@ def test_jaccard_of_large_groups(spark, monkeypatch, rounds):
     assert {x["doc_id"]: x["component_id"] for x in got.collect()} == comp
 
 
+def test_jaccard_pairs_are_one_before_they_are_compared(spark, monkeypatch):
+    """Texts that share a passage, and so many keys, but do not link: no join sees a pair once for each of its keys, and
+    no pair is compared twice."""
+    tables, keep = [], jaccard.written
+
+    def written(df, name):
+        table = keep(df, name)
+        if name == "pairs":
+            tables.append((df._jdf.queryExecution().optimizedPlan().toString(), [(r["key"], r["pivot"]) for r in table.collect()]))
+        return table
+
+    monkeypatch.setattr(jaccard, "written", written)
+    monkeypatch.setattr(jaccard, "ROUNDS", 3)
+    r = random.Random(4)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join([f"v{r.randrange(9999)}" for _ in range(4)] + passage + [f"v{r.randrange(9999)}" for _ in range(4)])) for i in range(80)]
+    rows += [(80 + i, " ".join([*rows[i][1].split()[:-1], f"z{i}"])) for i in range(20)]
+    comp, _ = brute_components(dict(rows), 4, 85, 100)
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100)
+    assert {x["doc_id"]: x["component_id"] for x in got.collect()} == comp
+    pairs = [p for _, found in tables for p in found]
+    assert len(tables) > 1 and len(set(pairs)) == len(pairs)
+    assert not any("Join LeftAnti" in plan for plan, _ in tables)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 120), (120, 110), (7, 7)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
