@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pointloom.jobs import registry
 from pointloom.operators import blocks, clustering
+from pointloom.sources import fixtures
 
 
 def agrees(spark, folder, name):
@@ -150,3 +151,25 @@ def test_cores_of_a_crowd(name, spark, tmp_path):
     got = {(x["a"], x["b"]) for x in got}
     some = [*got, *((a, b) for a in range(0, 400, 40) for b in range(a + 1, 400, 37))]
     assert got and core_or_not(at, 0.03, 0.8, 0.5, some) == {p: p in got for p in some}
+
+
+def test_lattice_tasks_grow_with_the_line_items(spark, sf, monkeypatch):
+    """The tasks that count cells, and all that is made of them there, are as many as the line items ask for."""
+    _, cells = fixtures.lattice(spark, sf)
+    want = sorted(tuple(r) for r in cells.collect())
+    n = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    monkeypatch.setattr(fixtures, "TASK", n // 9)
+    _, cells = fixtures.lattice(spark, sf)
+    assert cells.rdd.getNumPartitions() >= 9  # of 4 otherwise
+    assert sorted(tuple(r) for r in cells.collect()) == want
+
+
+def test_textures_at_the_borders_of_tiles(spark, tmp_path):
+    """Cells at the borders and corners of tiles, and few others; each cell is shuffled to its tiles only."""
+    rng = np.random.default_rng(3)
+    edge = [(x, y) for x in (0, 1, 61, 62, 63, 64, 65, 66, 127) for y in (0, 2, 62, 63, 64, 65, 127)]
+    rows = edge * 5 + [tuple(map(int, p)) for p in rng.integers(0, 128, (16500, 2))]
+    pq.write_table(pa.table({"l_partkey": [x for x, _ in rows], "l_suppkey": [y for _, y in rows]}), tmp_path / "lineitem.parquet")
+    assert agrees(spark, tmp_path, "texture_bands")
+    plan = registry.QUERIES["texture_bands"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1  # the cells
