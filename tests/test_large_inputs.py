@@ -173,3 +173,17 @@ def test_textures_at_the_borders_of_tiles(spark, tmp_path):
     assert agrees(spark, tmp_path, "texture_bands")
     plan = registry.QUERIES["texture_bands"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 1  # the cells
+
+
+@pytest.mark.parametrize("name", ["triples_of_points", "pair_metrics", "ordered_pairs"])
+def test_pairs_are_unpacked_where_they_are(name, spark, tmp_path, monkeypatch):
+    """Points in blocks and pieces of a few; between the blocks and the rows nothing is joined, sorted or shuffled."""
+    monkeypatch.setattr(blocks, "BLOCK", 9)
+    monkeypatch.setattr(blocks, "PIECE", 20)
+    rng = np.random.default_rng(11)
+    places = rng.normal(0, 0.03, (90, 2)).astype(np.float32).tolist()
+    embedded(tmp_path, places + places[:3])
+    assert len(agrees(spark, tmp_path, name)) > 500
+    plan = registry.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    above = plan.split("FlatMapGroups")
+    assert len(above) == 2 and not any(x in above[0] for x in ("Join", "Sort", "Repartition", "Aggregate"))
