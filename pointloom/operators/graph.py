@@ -10,9 +10,10 @@ import itertools
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from .tables import Growing, let_go, written
+from .tables import Growing, bucketed, let_go, written
 
-ROUNDS = 60
+#: Rounds in which a loop must settle; rounds of a path search before it counts how many there may be.
+ROUNDS, UNCOUNTED = 60, 16
 
 
 def _settling(df: DataFrame, name: str) -> tuple[DataFrame, tuple]:
@@ -47,7 +48,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def undirected(edges: DataFrame) -> DataFrame:
     cols = [c for c in edges.columns if c not in ("src", "dst")]
-    return edges.select("src", "dst", *cols).unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *cols))
+    ways = [F.struct(F.col(a).alias("src"), F.col(b).alias("dst"), *cols) for a, b in (("src", "dst"), ("dst", "src"))]
+    return edges.select(F.explode(F.array(*ways)).alias("e")).select("e.*")
 
 
 def shortest_paths(edges: DataFrame, source: DataFrame, rounds: int | None = None) -> DataFrame:
@@ -61,19 +63,20 @@ def relaxed(edges: DataFrame, start: DataFrame, rounds: int | None = None) -> Da
     """shortest_paths from nodes that have a distance and a parent already. start: node, dist, parent."""
     front, done = written(start.select("node", "dist", "parent"), "front"), 0
     found = Growing(front, "dist")
-    if rounds is None:
-        rounds = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).unionByName(front.select("node")).distinct().count()
-    while not front.isEmpty():
-        if done > rounds:
-            raise ValueError("a negative cycle, or paths longer than the rounds allowed")
-        sent = front.join(edges, front["node"] == edges["src"]).groupBy(F.col("dst").alias("node")).agg(F.min(F.struct((F.col("dist") + F.col("w")).alias("dist"), F.col("src").alias("parent"))).alias("s"))
-        sent = sent.select("node", "s.dist", "s.parent")
-        old = found.table().select(F.col("node").alias("n"), F.col("dist").alias("d")).join(sent.select(F.col("node").alias("n")), "n", "left_semi").groupBy("n").agg(F.min("d").alias("d"))
-        new = written(sent.join(old, F.col("node") == F.col("n"), "left").where("d IS NULL OR dist < d").select("node", "dist", "parent"), "front")
-        let_go(front)
-        front = new
-        found.add(front)
-        done += 1
+    with bucketed(edges.select("src", "dst", "w"), "src", "edges") as edges:
+        while not front.isEmpty():
+            if rounds is None and done >= UNCOUNTED:
+                rounds = edges.select(F.explode(F.array("src", "dst")).alias("node")).unionByName(start.select("node")).distinct().count()
+            if rounds is not None and done > rounds:
+                raise ValueError("a negative cycle, or paths longer than the rounds allowed")
+            sent = front.join(edges, front["node"] == edges["src"]).groupBy(F.col("dst").alias("node")).agg(F.min(F.struct((F.col("dist") + F.col("w")).alias("dist"), F.col("src").alias("parent"))).alias("s"))
+            sent = written(sent.select("node", "s.dist", "s.parent"), "sent")
+            old = found.table().select(F.col("node").alias("n"), F.col("dist").alias("d")).join(sent.select(F.col("node").alias("n")), "n", "left_semi").groupBy("n").agg(F.min("d").alias("d"))
+            new = written(sent.join(old, F.col("node") == F.col("n"), "left").where("d IS NULL OR dist < d").select("node", "dist", "parent"), "front")
+            let_go(front, sent)
+            front = new
+            found.add(front)
+            done += 1
     return found.table().groupBy("node").agg(F.min(F.struct("dist", "parent")).alias("s")).select("node", "s.dist", "s.parent")
 
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pointloom.jobs import registry
-from pointloom.operators import blocks, clustering
+from pointloom.operators import blocks, clustering, graph, tables
 from pointloom.sources import fixtures
 
 
@@ -187,3 +187,18 @@ def test_pairs_are_unpacked_where_they_are(name, spark, tmp_path, monkeypatch):
     plan = registry.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     above = plan.split("FlatMapGroups")
     assert len(above) == 2 and not any(x in above[0] for x in ("Join", "Sort", "Repartition", "Aggregate"))
+
+
+def test_path_searches_make_their_edges_once(spark, monkeypatch):
+    """A line of 12 nodes takes 12 rounds; its edges are computed once, and read from several buckets."""
+    monkeypatch.setattr(tables, "BUCKET", 4)
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(n):
+        made.add(1)
+        return n
+
+    line = spark.range(1, 12).select("id").repartition(2).select(F.udf(seen, "long")("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    source = spark.createDataFrame([(1,)], "node long")
+    assert {r["node"]: r["hops"] for r in graph.breadth_first(line, source).collect()} == {n: n - 1 for n in range(1, 13)}
+    assert made.value == 11
