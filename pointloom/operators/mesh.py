@@ -13,12 +13,15 @@ from ..functions import geometry as g
 from . import graph, lists
 
 
-def sides(faces: DataFrame) -> DataFrame:
-    """face, side, a, ax, ay, b, bx, by, o, ox, oy, len: each face's sides from a to b, with the vertex opposite."""
+def sides(faces: DataFrame, *more: Column) -> DataFrame:
+    """face, side, a, ax, ay, b, bx, by, o, ox, oy, len: each face's sides from a to b, with the vertex opposite; and more
+    of the face."""
     parts = []
     for k, (i, j, o) in enumerate(((1, 2, 3), (2, 3, 1), (3, 1, 2)), 1):
         parts.append(F.struct(F.lit(k).alias("side"), *[F.col(f"{c}{n}").alias(m) for n, m3 in ((i, ("a", "ax", "ay")), (j, ("b", "bx", "by")), (o, ("o", "ox", "oy"))) for c, m in zip(("v", "x", "y"), m3)]))
-    s = faces.select("face", F.explode(F.array(*parts)).alias("s")).select("face", "s.*")
+    held = faces.select("*", *more)
+    s = held.select("face", *held.columns[len(faces.columns) :], F.explode(F.array(*parts)).alias("s"))
+    s = s.select(*[c for c in s.columns if c != "s"], "s.*")
     return s.withColumn("len", g.distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))
 
 
@@ -50,11 +53,10 @@ def adjacent(e: DataFrame) -> DataFrame:
 def similar(faces: DataFrame, t: float) -> DataFrame:
     """face, label: faces joined over edges whose length is more than t of the longest side of either face; the label is
     the least face."""
-    s = sides(faces)
-    longest = s.groupBy("face").agg(F.max("len").alias("most"))
-    near = adjacent(edges(faces))
-    near = near.join(longest.select(F.col("face").alias("f1"), F.col("most").alias("m1")), "f1").join(longest.select(F.col("face").alias("f2"), F.col("most").alias("m2")), "f2")
-    near = near.where(F.col("len") / F.greatest("m1", "m2") > t)
+    longest = F.greatest(*[g.distance(*[F.col(f"{c}{n}") for n in pair for c in "xy"]) for pair in ((1, 2), (2, 3), (3, 1))])
+    s = sides(faces, longest.alias("most")).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), "face", "len", "most")
+    near = s.groupBy("u", "v").agg(F.count("*").alias("n"), F.min("face").alias("f1"), F.max("face").alias("f2"), F.max("len").alias("len"), F.max("most").alias("most"))
+    near = near.where("n = 2").where(F.col("len") / F.col("most") > t)
     roots = graph.components(near.select(F.col("f1").alias("a"), F.col("f2").alias("b")))
     return faces.select("face").join(roots, F.col("face") == F.col("node"), "left").select("face", F.coalesce("root", "face").alias("label"))
 

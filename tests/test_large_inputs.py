@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pointloom.jobs import registry
-from pointloom.operators import blocks, clustering, graph, tables
+from pointloom.operators import blocks, clustering, graph, growth, mesh, tables
 from pointloom.sources import fixtures
 
 
@@ -202,3 +202,35 @@ def test_path_searches_make_their_edges_once(spark, monkeypatch):
     source = spark.createDataFrame([(1,)], "node long")
     assert {r["node"]: r["hops"] for r in graph.breadth_first(line, source).collect()} == {n: n - 1 for n in range(1, 13)}
     assert made.value == 11
+
+
+def counted(spark, df, key):
+    """df, and how often its rows are computed."""
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(n):
+        made.add(1)
+        return n
+
+    return df.withColumn(key, F.udf(seen, "long")(key)), made
+
+
+def test_growth_joins_links_with_heights_once(spark):
+    links, made = counted(spark, spark.createDataFrame([(n, n + 1) for n in range(8)], "a long, b long"), "a")
+    nodes = spark.createDataFrame([(n, h) for n, h in enumerate((5, 5, 3, 2, 1, 2, 4, 4, 4))], "node long, height long")
+    around = growth.surveyed(links.repartition(2), nodes)
+    n = made.value
+    top = growth.peaks(links, nodes, around)
+    assert {(r["node"], r["source"]) for r in top.collect()} == {(0, 0), (1, 0), (6, 6), (7, 6), (8, 6)}
+    found = growth.grown(links, nodes, top, apart=False, around=around).collect()
+    assert {(r["node"], r["source"], r["time"]) for r in found if r["time"]} == {(2, 0, 1), (3, 0, 2), (5, 6, 1), (4, 6, 2)}
+    assert made.value == n
+
+
+def test_similar_faces_read_the_mesh_twice(spark):
+    """Two faces on a long diagonal, and one beside them: once for the sides, once for the faces returned."""
+    faces = [(0, 1, 0.0, 0.0, 2, 1.0, 0.0, 3, 1.0, 1.0), (1, 1, 0.0, 0.0, 3, 1.0, 1.0, 4, 0.0, 1.0), (5, 2, 1.0, 0.0, 5, 2.0, 0.0, 3, 1.0, 1.0)]
+    columns = "face long, " + ", ".join(f"v{n} long, x{n} double, y{n} double" for n in (1, 2, 3))
+    df, made = counted(spark, spark.createDataFrame(faces, columns), "face")
+    assert {(r["face"], r["label"]) for r in mesh.similar(df, 0.8).collect()} == {(0, 0), (1, 0), (5, 5)}
+    assert made.value == 6
