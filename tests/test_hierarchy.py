@@ -45,6 +45,18 @@ def test_agglomeration_equals_the_sequential_order(spark, seed, island):
     assert got == sequential(rows, 0.14)
 
 
+def test_agglomeration_of_a_crowd_writes_few_tables(spark, monkeypatch):
+    """160 points, all within reach of many: as the sequential rule in one cell and in several, and few tables on the way."""
+    r, made, write = random.Random(3), [], linkage.written
+    rows = [(i, r.gauss(0, 0.1), r.gauss(0, 0.1), 0.0) for i in range(160)]
+    df, want = spark.createDataFrame(rows, "id long, x double, y double, z double"), sequential(rows, 0.08)
+    monkeypatch.setattr(linkage, "written", lambda df, name="table": made.append(name) or write(df, name))
+    for island, most in ((20_000, 6), (60, 30)):
+        made.clear()
+        assert {x["id"]: x["cluster"] for x in linkage.centroid_linkage(df, 0.08, island=island).collect()} == want
+        assert len(made) <= most
+
+
 def test_agglomeration_of_odd_input(spark):
     schema = "id long, x double, y double, z double"
     assert linkage.centroid_linkage(spark.createDataFrame([], schema), 1.0).count() == 0
