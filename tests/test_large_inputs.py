@@ -9,7 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from pointloom.jobs import registry
+from pointloom.jobs import registry, triples
 from pointloom.operators import blocks, clustering, graph, growth, mesh, tables
 from pointloom.sources import fixtures
 
@@ -47,6 +47,17 @@ def test_triples_with_straight_and_short_arms(spark, tmp_path):
     assert got
 
 
+def test_labels_of_a_crowd(spark, tmp_path, monkeypatch):
+    """Points in blocks of a few; what supports a triple comes out of blocks, and no pairs of points are joined."""
+    monkeypatch.setattr(blocks, "BLOCK", 9)
+    places = np.random.default_rng(12).normal(0, 0.03, (90, 2)).astype(np.float32).tolist()
+    embedded(tmp_path, places + places[:3])
+    assert len({x[-1] for x in agrees(spark, tmp_path, "triple_labels")}) > 20
+    t = tables.written(triples.triples(fixtures.points(spark, str(tmp_path))))
+    plan = triples.supporters(t)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroups") == 1 and "sqrt" not in plan.lower()
+
+
 @pytest.fixture
 def crowd():
     """Points in few cells, with copies, and two without a place."""
