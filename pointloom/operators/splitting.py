@@ -100,7 +100,9 @@ def recursive_split(points: DataFrame, min_size: int = 10, updates: int = 2, tol
     while not live.isEmpty():
         nodes = written(_fitted(live), "nodes")
         wide = nodes.where((F.col("w_n") >= min_size) & (cost("w") < math.inf))
-        halves = _halved(live.join(wide.select(*KEY), KEY, "left_semi"), wide, updates, tolerance, most)
+        open_ = written(live.join(wide.select(*KEY), KEY, "left_semi"), "wide")
+        halves = _halved(open_, wide, updates, tolerance, most)
+        let_go(open_)
         parts = halves.groupBy(*KEY).agg(*[m for k in "ab" for m in _moments((F.col("half") == ("0" if k == "a" else "1")).cast("double"), k)])
         parts = parts.select(*KEY, "a_n", "b_n", *_normal("a"), *_normal("b")).join(nodes, KEY)
         gain = written(parts.where(cost("w") > cost("a") + cost("b")).select(*KEY), "gain")
@@ -113,9 +115,11 @@ def recursive_split(points: DataFrame, min_size: int = 10, updates: int = 2, tol
 
 def elongation_split(points: DataFrame, min_size: int = 10, t: float = 8.0, updates: int = 2, tolerance: float = 0.1, most: int = 100) -> DataFrame:
     """grp, path, id, x, y: clusters of min_size points or more that are less elongated than t are split once."""
-    live = points.select("grp", F.lit("").alias("path"), "id", "x", "y")
+    live = written(points.select("grp", F.lit("").alias("path"), "id", "x", "y"), "open")
     round_ = written(_fitted(live).where((F.col("w_n") >= min_size) & (elongation("w") < t)), "nodes")
-    halves = _halved(live.join(round_.select(*KEY), KEY, "left_semi"), round_, updates, tolerance, most)
+    wide = written(live.join(round_.select(*KEY), KEY, "left_semi"), "wide")
+    halves = _halved(wide, round_, updates, tolerance, most)
+    let_go(wide)
     return live.join(round_.select(*KEY), KEY, "left_anti").unionByName(halves.select("grp", F.col("half").alias("path"), "id", "x", "y"))
 
 

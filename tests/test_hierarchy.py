@@ -151,6 +151,20 @@ def test_recursive_splits(spark):
     assert splitting.recursive_split(df.limit(0)).count() == 0
 
 
+def test_a_split_computes_its_points_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(n):
+        made.add(1)
+        return n
+
+    r = np.random.default_rng(6)
+    rows = [(1, i, *map(float, r.normal(0, 1, 2))) for i in range(60)]
+    df = spark.createDataFrame(rows, "grp long, id long, x double, y double").withColumn("id", F.udf(seen, "long")("id"))
+    assert splitting.elongation_split(df, tolerance=1e-4).count() == 60
+    assert made.value == 60
+
+
 # --- lists, outlines, growth, radii --------------------------------------------
 
 
