@@ -57,6 +57,49 @@ def test_agglomeration_of_a_crowd_writes_few_tables(spark, monkeypatch):
         assert len(made) <= most
 
 
+def test_agglomeration_of_a_crowd_in_cells(spark, monkeypatch):
+    """3,000 points, a threshold of many spacings: cells are as wide as all only when few clusters are left."""
+    r, kernel, seen = np.random.default_rng(4), linkage._kernel, spark.sparkContext.accumulator(0)
+    rows = [(i, *map(float, p)) for i, p in enumerate(np.c_[r.uniform(0, 1, (3000, 2)), r.uniform(0, 0.02, 3000)])]
+
+    def counted(*args):
+        run = kernel(*args)
+
+        def counting(key, batch):
+            seen.add(int(batch.num_rows > 1200))
+            return run(key, batch)
+
+        return counting
+
+    monkeypatch.setattr(linkage, "_kernel", counted)
+    df = spark.createDataFrame(rows, "id long, x double, y double, z double")
+    got = {x["id"]: x["cluster"] for x in linkage.centroid_linkage(df, 0.06, island=300).collect()}
+    gone, left = linkage.merged([(i, 1, *p) for i, *p in rows], 0.06)
+    to = dict(gone)
+
+    def root(i):
+        while i in to:
+            i = to[i]
+        return i
+
+    assert got == {i: root(i) for i, *_ in rows} and len(left) > 50
+    assert seen.value == 0
+
+
+def test_levels_join_islands_that_meet():
+    """One level for all, and many small ones: as one list, with extents that grow each time that islands are joined."""
+    r = np.random.default_rng(9)
+    rows = sorted((i, int(n), *map(float, p)) for i, (n, p) in enumerate(zip(r.integers(1, 5, 400), r.uniform(0, 1, (400, 3)) * (1, 1, 0.1))))
+    want = {(x[0], x[1]) for x in linkage.merged(rows, 0.06)[1]}
+    for steps in (1, 12):
+        state, times = [np.array(c) for c in zip(*[x[:2] for x in rows])] + [np.array([x[2:] for x in rows])], 0
+        for k in range(steps):
+            *state, _, extents = linkage._level(*state, 0.06 * (k + 1) / steps)
+            assert extents == sorted(extents)
+            times = max(times, len(extents))
+        assert set(zip(state[0].tolist(), state[1].tolist())) == want and times > 1
+
+
 def test_agglomeration_of_odd_input(spark):
     schema = "id long, x double, y double, z double"
     assert linkage.centroid_linkage(spark.createDataFrame([], schema), 1.0).count() == 0
