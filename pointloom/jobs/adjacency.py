@@ -91,7 +91,7 @@ def similar_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
 @reg.query()
 def mesh_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The boundary as rings of directed edges, in order (checked against a walk in the tests)."""
-    return mesh.outlines(fixtures.mesh(spark, sf_dir))
+    return mesh.outlines(fixtures.mesh(spark, sf_dir), fixtures.tasks(fixtures.table(spark, sf_dir, "lineitem")))
 
 
 @reg.query(f"""{with_sql('polygons')}, n AS (SELECT polygon_id, pos, id, count(*) OVER w AS n, min(id) OVER w AS head, arg_min(pos, id) OVER w AS p0 FROM polygons WINDOW w AS (PARTITION BY polygon_id))

@@ -6,6 +6,10 @@ boundary. Edges of three faces and more are no mesh: `checked` counts them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,20 +109,46 @@ def flat_sides(faces: DataFrame) -> DataFrame:
     return s.select("face", F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), "len", (F.col("len") - F.least(la, lb)).alias("flatness"))
 
 
-def outlines(faces: DataFrame) -> DataFrame:
+def _turns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From corners (v, a, b: the vertices before and after v in a face) in the order of v and a: of each boundary edge the
+    next one in the same fan of faces, as node and next."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        v = table.column("v").to_numpy()
+        whole = int(np.searchsorted(v, v[-1])) if len(v) else 0  # the last vertex may go on
+        held = table.slice(whole)
+        if whole:
+            yield _fans(table.slice(0, whole))
+    if held is not None and len(held):
+        yield _fans(held)
+
+
+def _fans(corners: pa.Table) -> pa.RecordBatch:
+    v, a, b = (corners.column(c).to_numpy() for c in ("v", "a", "b"))
+    key, after = v << 32 | a, v << 32 | b
+    to = np.minimum(np.searchsorted(key, after), len(key) - 1)
+    inner = key[to] == after
+    begins = np.ones(len(key), bool)
+    begins[to[inner]] = False
+    first = np.flatnonzero(begins)
+    last = np.where(inner, to, np.arange(len(key)))
+    for _ in range(len(key).bit_length()):
+        if not inner[last[first]].any():
+            break
+        last = last[last]
+    ends = last[first]
+    return pa.RecordBatch.from_pydict({"node": pa.array(a[first] << 32 | v[first]), "next": pa.array(after[ends], mask=inner[ends])})
+
+
+def outlines(faces: DataFrame, tasks: int | None = None) -> DataFrame:
     """vertex, to, ring, pos: the boundary as rings of directed edges with the mesh on their left. A ring's edges are
     named a * 2^32 + b of their ends (vertices below 2^31); where outlines touch in a vertex, each goes on to the next
-    boundary edge of the same fan of faces, which pointer doubling over the fans finds."""
-    s = sides(faces).select("face", "side", "a", "b")
-    code = lambda a, b: F.col(a) * (1 << 32) + F.col(b)
-    half = s.select(code("a", "b").alias("h"), code("b", "a").alias("twin"), "face", "side", "a", "b")
-    after = half.select("face", (F.col("side") % 3 + 1).alias("next_side"), "h")
-    on = half.join(after.select("face", F.col("h").alias("before"), F.col("next_side").alias("side")), ["face", "side"])  # before: the side before it
-    # From an inner side to the one that follows its twin; boundary sides end the chain.
-    twins = on.select(F.col("before").alias("twin"), F.col("h").alias("follows"))
-    turn = half.join(twins, "twin", "left").select(F.col("h").alias("node"), F.col("follows").alias("next"))
-    border = half.join(half.select(F.col("h").alias("twin")), "twin", "left_anti").select("h", "a", "b")
-    to = lists.jumped(turn).select(F.col("node").alias("follow"), F.col("last").alias("next"))
-    links = border.join(on.select(F.col("before").alias("h"), F.col("h").alias("follow")), "h").join(to, "follow").select(F.col("h").alias("node"), "next")
-    found = lists.ranked(links)
-    return found.join(border, F.col("node") == F.col("h")).select(F.col("a").alias("vertex"), F.col("b").alias("to"), F.col("list").alias("ring"), "pos", "closed")
+    boundary edge of the same fan of faces. Corners are shuffled to their vertices once, and only boundary edges leave
+    these tasks."""
+    each = F.explode(F.array(*[F.struct(F.col(f"v{k}").cast("long").alias("v"), F.col(f"v{i}").cast("long").alias("a"), F.col(f"v{j}").cast("long").alias("b")) for i, k, j in ((3, 1, 2), (1, 2, 3), (2, 3, 1))]))
+    corners = faces.select(each.alias("c")).select("c.*")
+    corners = corners.repartition(tasks, "v") if tasks else corners.repartition("v")
+    found = lists.ranked(corners.sortWithinPartitions("v", "a").mapInArrow(_turns, "node long, next long"))
+    return found.select(F.shiftright("node", 32).alias("vertex"), F.col("node").bitwiseAND((1 << 32) - 1).alias("to"), F.col("list").alias("ring"), "pos", "closed")

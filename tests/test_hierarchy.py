@@ -222,6 +222,55 @@ def test_lists_against_walks(spark):
     assert lists.ranked(spark.createDataFrame([], "node long, next long")).count() == 0
 
 
+@pytest.mark.parametrize("ranges", [1000, 60, 7])
+def test_lists_over_several_ranges(spark, monkeypatch, ranges):
+    """Names in the order of the lists and against it: rings and lists of several parts in a range, and of several ranges."""
+    monkeypatch.setattr(lists, "RANGE", ranges)
+    r = random.Random(7)
+    names = [*range(100, 160), *range(400, 340, -1), *(r.randrange(1000, 2000) for _ in range(30))]
+    names = list(dict.fromkeys(names))
+    r.shuffle(cuts := [k for k in range(10, len(names), 10)])
+    rows, want, at = [], {}, 0
+    for k, to in enumerate(sorted([*cuts, len(names)])):
+        part, at = names[at:to], to
+        if k % 4 == 3:
+            r.shuffle(part)
+        ring = k % 2 == 0
+        rows += list(zip(part, [*part[1:], part[0] if ring else None]))
+        if ring:
+            i = part.index(min(part))
+            part = part[i:] + part[:i]
+        want |= {n: (part[0], p, ring) for p, n in enumerate(part)}
+    long = list(range(3000, 3200))
+    r.shuffle(long)
+    rows += list(zip(long, [*long[1:], 9999]))
+    want |= {n: (long[0], p, False) for p, n in enumerate(long)}
+    wide = list(range(5000, 5100, 2)) + list(range(5099, 5000, -2))
+    rows += list(zip(wide, [*wide[1:], wide[0]]))
+    want |= {n: (5000, p, True) for p, n in enumerate(wide)}
+    r.shuffle(rows)
+    got = {x["node"]: (x["list"], x["pos"], x["closed"]) for x in lists.ranked(spark.createDataFrame(rows, "node long, next long")).collect()}
+    assert got == want
+
+
+def test_outlines_write_boundary_edges_only(spark, sf, monkeypatch):
+    """No table on the way has more rows than the boundary has edges; in ranges of a few edges, the same rings."""
+    seen, write = [], lists.written
+
+    def counted(df, name="table"):
+        table = write(df, name)
+        seen.append(table.count())
+        return table
+
+    want = {tuple(x) for x in mesh.outlines(fixtures.mesh(spark, sf)).collect()}
+    monkeypatch.setattr(lists, "written", counted)
+    assert {tuple(x) for x in mesh.outlines(fixtures.mesh(spark, sf)).collect()} == want
+    assert max(seen) <= len(want) < 3 * fixtures.mesh(spark, sf).count() / 2
+    monkeypatch.setattr(lists, "RANGE", 200)
+    assert {tuple(x) for x in mesh.outlines(fixtures.mesh(spark, sf), 5).collect()} == want
+    assert max(seen) <= len(want)
+
+
 def test_outlines_against_a_walk(spark, sf):
     faces = fixtures.mesh(spark, sf).collect()
     half = {}
