@@ -102,6 +102,12 @@ def test_pair_degrees_against_loops(spark, crowd, monkeypatch):
     assert {(x["a"], x["b"]): x["n"] for x in blocks.pair_degrees(df, t).collect()} == {p: n for p, n in want.items() if n}
 
 
+def test_blocks_are_dealt_over_many_tasks(spark, crowd):
+    """Blocks take different times: each shuffle partition's share goes to several tasks (one task each before)."""
+    df = spark.createDataFrame(crowd, "id long, x double, y double")
+    assert all(f(df, 0.06).rdd.getNumPartitions() >= 16 for f in (blocks.pair_degrees, blocks.neighbours))
+
+
 def core_or_not(at, t, parallel, across, some):
     """Of some pairs (a < b) whether they are cores, by looks at all pairs. at: places by id."""
     ids = sorted(at)
