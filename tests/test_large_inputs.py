@@ -58,6 +58,22 @@ def test_labels_of_a_crowd(spark, tmp_path, monkeypatch):
     assert plan.count("FlatMapGroups") == 1 and "sqrt" not in plan.lower()
 
 
+def test_labels_keep_no_supporters(spark, tmp_path, monkeypatch):
+    """200 points near each other: supporters from the front are many times the triples, and no table holds them."""
+    embedded(tmp_path, np.random.default_rng(13).uniform(0, 0.03, (200, 2)).astype(np.float32).tolist())
+    seen, write = [], triples.written
+
+    def counted(df, name="table"):
+        table = write(df, name)
+        seen.append(table.count())
+        return table
+
+    monkeypatch.setattr(triples, "written", counted)
+    assert len({x["prob"] for x in registry.QUERIES["triple_labels"](spark, str(tmp_path)).collect()}) > 20
+    t = triples.triples(fixtures.points(spark, str(tmp_path)))
+    assert max(seen) <= t.count() + 200 < triples.supporters(t).count() / 5
+
+
 @pytest.fixture
 def crowd():
     """Points in few cells, with copies, and two without a place."""
