@@ -9,7 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from pointloom.jobs import registry, triples
+from pointloom.jobs import motion, registry, triples
 from pointloom.operators import blocks, clustering, graph, growth, mesh, tables
 from pointloom.sources import fixtures
 
@@ -74,6 +74,22 @@ def test_labels_keep_no_supporters(spark, tmp_path, monkeypatch):
     assert max(seen) <= t.count() + 200 < triples.supporters(t).count() / 5
 
 
+def test_sums_of_velocities_that_all_agree(spark, tmp_path):
+    """A crowd in a few cells, with some points far out: sums over powers of velocities are those of one pair at a time."""
+    rng = np.random.default_rng(14)
+    places = np.concatenate([rng.normal(0, 0.02, (500, 2)), rng.uniform(-0.15, 0.15, (120, 2))]).astype(np.float32).tolist()
+    embedded(tmp_path, places + places[:3], rng.integers(0, 10, 623).tolist())
+    c = motion.candidates(spark, str(tmp_path))
+    c = c.withColumn("prob", F.rand(3) + 0.1)
+    c = tables.written(c)
+    got, want = ({(x["a"], x["b"]): (x["s"], x["dx"], x["dy"]) for x in f(c).collect()} for f in (motion.sums, motion.supported))
+    assert got.keys() == want.keys() and len(got) > 5000
+    assert all(abs(u - v) <= 1e-12 * w[0] for k, w in want.items() for u, v in zip(got[k], w))
+    longest = {x["a"]: x["v"] for x in c.groupBy("a").agg(F.max(F.hypot("vx", "vy")).alias("v")).collect()}
+    assert 100 < sum(v < motion.SIGMA / 2**0.5 for v in longest.values()) < len(longest) - 100
+    assert agrees(spark, tmp_path, "velocity_relaxation")
+
+
 @pytest.fixture
 def crowd():
     """Points in few cells, with copies, and two without a place."""
