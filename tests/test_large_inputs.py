@@ -137,7 +137,7 @@ def test_pair_degrees_against_loops(spark, crowd, monkeypatch):
 def test_blocks_are_dealt_over_many_tasks(spark, crowd):
     """Blocks take different times: each shuffle partition's share goes to several tasks (one task each before)."""
     df = spark.createDataFrame(crowd, "id long, x double, y double")
-    assert all(f(df, 0.06).rdd.getNumPartitions() >= 16 for f in (blocks.pair_degrees, blocks.neighbours))
+    assert all(f(df, 0.06).rdd.getNumPartitions() >= 16 for f in (blocks.pair_degrees, blocks.neighbours, lambda p, t: blocks.pair_cores(p, t, 0.8, 0.5)))
 
 
 def core_or_not(at, t, parallel, across, some):
